@@ -180,9 +180,19 @@ def _items(cell: str) -> list[str]:
     return [p.strip() for p in cell.split(";") if p.strip()]
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A constant dimension table.  Built through Arrow so Catalyst sees a local
     relation of exactly known size and picks the broadcast itself."""
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), repr(rows), schema.to_string())
+    if key not in _TABLES:
+        _TABLES[key] = _local_table(spark, rows, schema)
+    return _TABLES[key]
+
+
+def _local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(cols, schema)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))

@@ -35,12 +35,15 @@ def connected_components(edges: DataFrame, scope: list[str], max_rounds: int = 6
 
     ``edges`` has the scope columns plus a, b.  Components never cross scopes.
     """
-    e = cut_lineage(edges.select(*scope, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .filter(F.col("u") != F.col("v")).distinct())
+    e = (edges.select(*scope, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+         .filter(F.col("u") != F.col("v")).distinct().persist())
     for _ in range(max_rounds):
-        many = e.groupBy(*scope, "u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*scope, "u")
-        chained = e.select(*scope, F.col("v").alias("u")).join(e.select(*scope, "u"), [*scope, "u"], "left_semi")
-        if many.union(chained).isEmpty():
+        ends = e.select(*scope, F.explode(F.array(
+            F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+            F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+        unfinished = ends.groupBy(*scope, "x.node").agg(F.sum("x.up").alias("up"), F.sum("x.down").alias("down")) \
+            .filter("up > 1 or (up > 0 and down > 0)")
+        if unfinished.isEmpty():
             roots = e.select(*scope, F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return e.select(*scope, F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         e = cut_lineage(_contract(_contract(e, scope, True), scope, False))

@@ -14,6 +14,7 @@ from carelattice.lexicon import Lexicon
 from carelattice.operators.components import connected_components
 from carelattice.operators.grounding import CONCEPT_COLUMNS, specialties_or_default
 from carelattice.operators.similarity import similar_pairs
+from carelattice.session import cut_lineage
 
 MERGE_THRESHOLD = 0.84  # fixed value
 _CLUSTER = ["patient_id", "block", "cluster_key"]
@@ -48,12 +49,9 @@ def clusters(gfacts: DataFrame) -> DataFrame:
 def merge_edges(cl: DataFrame) -> DataFrame:
     """Pairs of clusters of one patient to merge.  Two known concepts never merge by
     spelling, so similarity runs on distinct labels with at least one unknown side."""
-    labels = cl.select("block", F.col("canonical").alias("label"), F.col("concept_id").isNotNull().alias("known"))
-    unknown = labels.filter(~F.col("known")).select("block", "label").distinct()
-    known = labels.filter("known").select("block", "label").distinct()
-    inside = similar_pairs(unknown, None, MERGE_THRESHOLD)
-    across = similar_pairs(unknown, known, MERGE_THRESHOLD)
-    pairs = inside.select("block", "a", "b").union(across.select("block", "a", "b"))
+    labels = cl.groupBy("block", F.col("canonical").alias("label")).agg(
+        F.min(F.col("concept_id").isNull()).alias("left"), F.lit(True).alias("right"))
+    pairs = similar_pairs(labels, MERGE_THRESHOLD).select("block", "a", "b")
     left = cl.select("patient_id", "block", F.col("canonical").alias("a"), F.col("cluster_key").alias("ka"))
     right = cl.select("patient_id", "block", F.col("canonical").alias("b"), F.col("cluster_key").alias("kb"))
     return (left.join(pairs, ["block", "a"]).join(right, ["patient_id", "block", "b"])
@@ -111,8 +109,9 @@ def entity_aliases(members: DataFrame) -> DataFrame:
 
 
 def resolve(facts: DataFrame, lex: Lexicon | None = None, block_by_event_kind: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(entities, members)."""
+    """(entities, members).  The cluster table is small beside the facts and read by every
+    later step, so it is cut from the event lineage once, by a reliable checkpoint."""
     gf = graph_facts(facts, block_by_event_kind)
-    rooted = cluster_roots(clusters(gf))
+    rooted = cluster_roots(cut_lineage(clusters(gf)))
     entities = golden_records(rooted, lex)
     return entities, entity_members(gf, rooted, entities)

@@ -25,10 +25,8 @@ OPTIONAL = {
 
 def with_optional(df: DataFrame) -> DataFrame:
     """Fill in the optional event columns a feed may lack."""
-    for name, kind in OPTIONAL.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df
+    missing = [F.lit(None).cast(kind).alias(name) for name, kind in OPTIONAL.items() if name not in df.columns]
+    return df.select("*", *missing)
 
 
 def relevance(kind: Column, label: Column) -> Column:
@@ -46,13 +44,12 @@ def evidence_quote(value: Column, value_is_num: Column, raw_text: Column) -> Col
 def attach_sources(events: DataFrame, sources: DataFrame | None) -> DataFrame:
     """Left join to the source rows.  Without sources the events' own source_type is used."""
     events = with_optional(events)
+    none = F.lit(None).cast("string")
     if sources is None:
-        return events.withColumn("source_title", F.lit(None).cast("string")) \
-                     .withColumn("raw_text", F.lit(None).cast("string"))
-    s = sources.select("patient_id", "source_id", F.col("source_type").alias("_type"),
-                       F.col("title").alias("source_title"), F.substring("raw_text", 1, QUOTE_LENGTH).alias("raw_text"))
-    joined = events.join(s, ["patient_id", "source_id"], "left")
-    return joined.withColumn("source_type", F.col("_type")).drop("_type")
+        return events.select("*", none.alias("source_title"), none.alias("raw_text"))
+    s = sources.select("patient_id", "source_id", "source_type", F.col("title").alias("source_title"),
+                       F.substring("raw_text", 1, QUOTE_LENGTH).alias("raw_text"))
+    return events.drop("source_type").join(s, ["patient_id", "source_id"], "left")
 
 
 def candidate_facts(events: DataFrame, sources: DataFrame | None = None, lex: Lexicon | None = None) -> DataFrame:
@@ -60,16 +57,14 @@ def candidate_facts(events: DataFrame, sources: DataFrame | None = None, lex: Le
     c = ground(attach_sources(events, sources), lex)
     ai = F.coalesce("ai_extracted", F.lit(False))
     score = F.coalesce(F.col("ai_score"), F.when(ai, F.col("ai_confidence")))
-    c = (c.withColumn("ai_extracted", ai).withColumn("ai_score", score)
-         .withColumn("uncertain", F.coalesce("uncertain", F.lit(False)))
-         .withColumn("negated", F.coalesce("negated", F.lit(False)))
-         .withColumn("evidence_quote", evidence_quote(F.col("value"), F.col("value_is_num"), F.col("raw_text")))
-         .withColumn("unit", F.coalesce("unit", "ref_unit"))
-         .withColumn("relevance", relevance(F.col("kind"), F.col("label")))
-         .withColumn("lab_flag", F.when(F.col("concept_kind") == "lab", lab_flag(
-             F.col("concept_kind"), F.col("ref_low"), F.col("ref_high"), F.col("value")))))
-    c = c.withColumn("confidence", _score(F.lit(1)))
-    return c.drop("raw_text")
+    c = c.withColumns({
+        "ai_extracted": ai, "ai_score": score, "uncertain": F.coalesce("uncertain", F.lit(False)),
+        "negated": F.coalesce("negated", F.lit(False)),
+        "evidence_quote": evidence_quote(F.col("value"), F.col("value_is_num"), F.col("raw_text")),
+        "unit": F.coalesce("unit", "ref_unit"), "relevance": relevance(F.col("kind"), F.col("label")),
+        "lab_flag": F.when(F.col("concept_kind") == "lab", lab_flag(
+            F.col("concept_kind"), F.col("ref_low"), F.col("ref_high"), F.col("value")))})
+    return c.withColumn("confidence", _score(F.lit(1))).drop("raw_text")
 
 
 def _score(sources: Column) -> Column:
@@ -92,10 +87,10 @@ def validate(candidates: DataFrame) -> DataFrame:
               .when(F.col("confidence") < CONFIDENCE_REJECT, "Low extraction confidence")
               .when(bad_date, "Invalid observed date"))
     status = review_status(F.col("confidence"), F.col("uncertain"))
-    return (candidates.withColumn("accepted", reject.isNull())
-            .withColumn("review_status", status)
-            .withColumn("review_reason", F.coalesce(reject, F.when(
-                status == "needs_review", "Needs review due to uncertainty or medium confidence"))))
+    return candidates.withColumns({
+        "accepted": reject.isNull(), "review_status": status,
+        "review_reason": F.coalesce(reject, F.when(
+            status == "needs_review", "Needs review due to uncertainty or medium confidence"))})
 
 
 def review_items(validated: DataFrame) -> DataFrame:
@@ -126,9 +121,9 @@ def with_validity(df: DataFrame, recorded_at: Column) -> DataFrame:
     def keep(name: str, default: Column) -> Column:
         return F.coalesce(F.col(name), default) if name in df.columns else default
 
-    return (df.withColumn("recorded_at", keep("recorded_at", recorded_at))
-            .withColumn("valid_from", keep("valid_from", F.col("observed_at")))
-            .withColumn("valid_to", keep("valid_to", F.when(F.col("status") == "resolved", F.col("observed_at")))))
+    return df.withColumns({
+        "recorded_at": keep("recorded_at", recorded_at), "valid_from": keep("valid_from", F.col("observed_at")),
+        "valid_to": keep("valid_to", F.when(F.col("status") == "resolved", F.col("observed_at")))})
 
 
 def source_counts(facts: DataFrame) -> DataFrame:
@@ -140,14 +135,13 @@ def source_counts(facts: DataFrame) -> DataFrame:
 def corroborate(facts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Rescore by the number of agreeing sources; status is re-derived only where the score moved."""
     counts = source_counts(facts) if counts is None else counts
-    f = facts.withColumn("label_key", F.lower("normalized_label"))
-    j = f.join(counts, ["patient_id", "kind", "label_key"], "left").drop("label_key")
+    j = facts.withColumn("label_key", F.lower("normalized_label")).join(
+        counts, ["patient_id", "kind", "label_key"], "left").drop("label_key")
     j = j.withColumn("source_count", F.coalesce("source_count", F.lit(1)))
-    new = _score(F.col("source_count"))
-    return (j.withColumn("_new", new)
-            .withColumn("review_status", F.when(F.col("_new") == F.col("confidence"), F.col("review_status"))
-                        .otherwise(review_status(F.col("_new"), F.col("uncertain"))))
-            .withColumn("confidence", F.col("_new")).drop("_new"))
+    j = j.withColumn("_new", _score(F.col("source_count")))
+    status = F.when(F.col("_new") == F.col("confidence"), F.col("review_status")) \
+              .otherwise(review_status(F.col("_new"), F.col("uncertain")))
+    return j.withColumns({"review_status": status, "confidence": F.col("_new")}).drop("_new")
 
 
 def attach_first_chunk(facts: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -50,23 +50,20 @@ def ground(df: DataFrame, lex: Lexicon | None = None, label: str = "label", kind
     """Add concept_id, known, concept_kind, canonical, normalized_label and the concept's attributes."""
     lex = lex or Lexicon.default()
     spark = df.sparkSession
-    text = F.lower(collapse_space(F.coalesce(F.col(label), F.lit(""))))
-    out = df.withColumn("_text", text).withColumn("_target", concept_kind(F.col(kind)))
-    aliases = lex.aliases(spark)
+    raw = F.coalesce(F.col(label), F.lit(""))
+    out = df.select("*", F.lower(collapse_space(raw)).alias("_text"), concept_kind(F.col(kind)).alias("_target"))
     out = out.join(
-        aliases, (F.col("_text") == F.col("alias_key"))
+        lex.aliases(spark), (F.col("_text") == F.col("alias_key"))
         & (F.col("_target").isNull() | (F.col("alias_kind") == F.col("_target"))), "left")
-    out = out.withColumn("concept_id", F.coalesce(
-        F.col("alias_concept_id"), contained_concept(F.col("_text"), F.col("_target"), lex)))
-    out = out.drop("alias_key", "alias_kind", "alias_concept_id")
-    out = out.join(lex.concept_table(spark), "concept_id", "left")
+    out = out.select(*df.columns, "_target", F.coalesce(
+        F.col("alias_concept_id"), contained_concept(F.col("_text"), F.col("_target"), lex)).alias("concept_id"))
     known = F.col("concept_id").isNotNull()
-    generic = title_case(F.coalesce(F.col(label), F.lit("")))
-    return (out.withColumn("known", known)
-            .withColumn("concept_kind", F.coalesce(F.col("c_kind"), F.col("_target"), F.lit("condition")))
-            .withColumn("canonical", F.when(known, F.col("c_canonical")).otherwise(generic))
-            .withColumn("normalized_label", F.when(known, F.col("c_canonical")).otherwise(fix_acronyms(generic)))
-            .drop("_text", "_target", "c_kind", "c_canonical"))
+    generic = F.when(~known, title_case(raw))
+    return out.join(lex.concept_table(spark), "concept_id", "left").select(
+        *df.columns, "concept_id", known.alias("known"),
+        F.coalesce(F.col("c_kind"), F.col("_target"), F.lit("condition")).alias("concept_kind"),
+        F.coalesce(F.col("c_canonical"), generic).alias("canonical"),
+        F.coalesce(F.col("c_canonical"), fix_acronyms(generic)).alias("normalized_label"), *CONCEPT_COLUMNS)
 
 
 def normalize_labels(df: DataFrame, lex: Lexicon | None = None, label: str = "label", kind: str = "kind") -> DataFrame:

@@ -131,9 +131,11 @@ def barrier_relationships(entities: DataFrame, lex: Lexicon | None = None) -> Da
     lex = lex or Lexicon.default()
     barriers = entities.filter(F.col("kind") == "barrier")
     targets = entities.filter(F.col("kind").isin("condition", "medication", "lab"))
-    one = F.lit("care").alias("block")
-    pairs = similar_pairs(barriers.select(one, F.col("canonical_label").alias("label")).distinct(),
-                          targets.select(one, F.col("canonical_label").alias("label")).distinct(), BARRIER_THRESHOLD)
+    is_barrier = F.col("kind") == "barrier"
+    labels = (entities.filter(F.col("kind").isin("barrier", "condition", "medication", "lab"))
+              .groupBy(F.lit("care").alias("block"), F.col("canonical_label").alias("label"))
+              .agg(F.max(is_barrier).alias("left"), F.max(~is_barrier).alias("right")))
+    pairs = similar_pairs(labels, BARRIER_THRESHOLD)
     same = barriers.select(F.col("canonical_label").alias("from_label")).distinct().join(
         targets.select(F.col("canonical_label").alias("to_label")).distinct(),
         F.col("from_label") == F.col("to_label")).withColumn("score", F.lit(1.0))

@@ -39,41 +39,34 @@ def _signatures(items: Column, share: float, width: int, tag: str) -> Column:
     return F.when(n == 1, F.transform(items, lambda e: F.concat(F.lit(tag + "1"), e))).otherwise(pairs)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
-    """(block, a, b, score) for labels of one block with similarity >= threshold and a != b.
+def similar_pairs(labels: DataFrame, threshold: float) -> DataFrame:
+    """(block, a, b, score) for pairs of labels of one block with similarity >= threshold.
 
-    ``left``/``right`` have columns block, label (distinct rows).  With ``right`` None the
-    join is within ``left`` and each unordered pair appears once (a < b).
+    ``labels`` has distinct rows (block, label, left, right); a pair needs a on the left
+    side, b on the right side and a != b.  Where both labels are on both sides the pair
+    appears once (a < b).
     """
     dice_share = threshold / (2 - threshold)
     width = 2 if math.ceil(2 * dice_share - 1e-9) >= 2 else 1
-    both = left.select("block", "label") if right is None else \
-        left.select("block", "label").union(right.select("block", "label")).distinct()
-    feats = both.withColumn("_g", multiset(bigrams(F.col("label")))) \
-                .withColumn("_t", F.array_distinct(word_tokens(F.col("label"))))
-    grams = _ordered(feats, "_g", ["block", "label"])
-    sig = grams.select("block", "label", F.explode(_signatures(F.col("_g"), dice_share, width, "g")).alias("_sig"))
+    keys = ["block", "label", "left", "right"]
+    feats = labels.select(*keys, multiset(bigrams(F.col("label"))).alias("_g"),
+                          F.array_distinct(word_tokens(F.col("label"))).alias("_t"))
+    grams = _ordered(feats, "_g", keys).select(*keys, F.explode(_signatures(F.col("_g"), dice_share, width, "g")).alias("_sig"))
     if width == 2:
-        # sets of at most five tokens reach the threshold only when equal, larger ones by prefix pairs
-        small = F.array(F.concat(F.lit("t="), F.array_join(F.array_sort("_t"), "\u0001")))
-        equal = feats.filter((F.size("_t") > 0) & (F.size("_t") <= _equal_only(threshold))).select(
-            "block", "label", F.explode(small).alias("_sig"))
-        large = _ordered(feats.filter(F.size("_t") > _equal_only(threshold)), "_t", ["block", "label"]).select(
-            "block", "label", F.explode(_signatures(F.col("_t"), threshold, 2, "t")).alias("_sig"))
-        sig = sig.union(equal).union(large)
+        # sets of at most n tokens reach the threshold only when equal, larger ones by prefix pairs
+        n = _equal_only(threshold)
+        equal = feats.filter((F.size("_t") > 0) & (F.size("_t") <= n)).select(
+            *keys, F.concat(F.lit("t="), F.array_join(F.array_sort("_t"), "\u0001")).alias("_sig"))
+        large = _ordered(feats.filter(F.size("_t") > n), "_t", keys).select(
+            *keys, F.explode(_signatures(F.col("_t"), threshold, 2, "t")).alias("_sig"))
+        sig = grams.union(equal).union(large)
     else:
-        toks = _ordered(feats, "_t", ["block", "label"])
-        sig = sig.union(toks.select("block", "label",
-                                    F.explode(_signatures(F.col("_t"), threshold, 1, "t")).alias("_sig")))
-    a = sig.select("block", "_sig", F.col("label").alias("a"))
-    b = sig.select("block", "_sig", F.col("label").alias("b"))
-    if right is None:
-        pairs = a.join(b, ["block", "_sig"]).filter(F.col("a") < F.col("b"))
-    else:
-        l_only = left.select("block", F.col("label").alias("a"))
-        r_only = right.select("block", F.col("label").alias("b"))
-        pairs = (a.join(l_only, ["block", "a"], "left_semi").join(b.join(r_only, ["block", "b"], "left_semi"),
-                                                                 ["block", "_sig"]))
+        sig = grams.union(_ordered(feats, "_t", keys).select(
+            *keys, F.explode(_signatures(F.col("_t"), threshold, 1, "t")).alias("_sig")))
+    a = sig.filter("left").select("block", "_sig", F.col("label").alias("a"), F.col("right").alias("_ra"))
+    b = sig.filter("right").select("block", "_sig", F.col("label").alias("b"), F.col("left").alias("_lb"))
+    pairs = a.join(b, ["block", "_sig"]).filter(
+        (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~(F.col("_ra") & F.col("_lb"))))
     return (pairs.select("block", "a", "b").distinct()
             .withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold))
 

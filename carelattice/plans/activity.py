@@ -38,22 +38,18 @@ VOCABULARY = [
 def health_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, seq, patient_id, source_id, source_type, kind, label, unit, value, observed_at, status."""
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
-    sizes: dict[str, int] = {}
-    for kind, *_ in VOCABULARY:
-        sizes[kind] = sizes.get(kind, 0) + 1
-    vocab = local_table(
-        spark, [(k, s, sizes[k], lab, u, lo, hi) for k, s, lab, u, lo, hi in VOCABULARY],
-        pa.schema([("kind", pa.string()), ("slot", pa.int64()), ("slots", pa.int64()), ("label", pa.string()),
-                   ("unit", pa.string()), ("lo", pa.float64()), ("hi", pa.float64())]))
+    by_kind: dict[str, list[dict]] = {}
+    for kind, _, label, unit, lo, hi in VOCABULARY:
+        by_kind.setdefault(kind, []).append(dict(label=label, unit=unit, lo=lo, hi=hi))
+    entry = pa.struct([("label", pa.string()), ("unit", pa.string()), ("lo", pa.float64()), ("hi", pa.float64())])
+    vocab = local_table(spark, list(by_kind.items()), pa.schema([("kind", pa.string()), ("entries", pa.list_(entry))]))
     eid = F.col("event_id")
     kind = (F.when(eid % 41 == 0, "note").when(eid % 37 == 0, "care_task").when(eid % 29 == 0, "barrier")
             .when(F.col("event_type") == "click", "medication").when(F.col("event_type") == "purchase", "lab")
             .when(F.col("event_type") == "error", "condition").when(F.col("event_type") == "signup", "symptom")
             .otherwise("vital"))
-    slots = F.lit(None).cast("bigint")
-    for name, n in sizes.items():
-        slots = F.when(kind == name, F.lit(n).cast("bigint")).otherwise(slots)
-    typed = log.withColumn("kind", kind).withColumn("slot", eid % slots)
+    typed = log.withColumn("kind", kind).join(vocab, "kind").select(
+        "*", F.inline(F.array(F.get("entries", (eid % F.size("entries")).cast("int")))))
     source_no = eid % 7 % 3
     scaled = F.col("lo") + F.col("value") / 500.0 * (F.col("hi") - F.col("lo"))
     value = (F.when(F.col("lo").isNull(), None)
@@ -62,7 +58,7 @@ def health_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.floor(60 + F.col("value") / 500.0 * 45).cast("int").cast("string")))
              .otherwise(F.concat(F.floor(scaled).cast("int").cast("string"), F.lit("."),
                                  (F.floor(scaled * 10).cast("bigint") % 10).cast("string"))))
-    return (typed.join(vocab.drop("slots"), ["kind", "slot"])
+    return (typed
             .select(F.concat(F.lit("evt_"), eid).alias("event_id"), eid.alias("seq"),
                     F.col("user_id").alias("patient_id"),
                     F.concat(F.lit("src_"), F.col("user_id"), F.lit("_"), source_no).alias("source_id"),

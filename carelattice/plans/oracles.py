@@ -18,7 +18,9 @@ def lit(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return "TRUE" if v else "FALSE"
-    if isinstance(v, (int, float)):
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    if isinstance(v, int):
         return repr(v)
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(lit(x) for x in v) + "]::VARCHAR[]"

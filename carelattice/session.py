@@ -14,6 +14,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -21,7 +22,8 @@ def local_session(cores: int | str = 8, app: str = "carelattice", **conf: str) -
     """A session for tests and the local benchmark."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {**RECOMMENDED, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                "spark.driver.memory": "12g", **conf}
+                "spark.driver.memory": "12g",
+                "spark.ui.showConsoleProgress": "false", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
