@@ -30,7 +30,9 @@ def trend_aggregates(value: Column, at: str = "observed_at", seq: str = "seq") -
             F.max_by(F.col("unit"), F.when(value.isNotNull(), order)).alias("last_unit"),
             F.min(F.when(value.isNotNull(), F.col(at))).alias("first_observed_at"),
             F.max(F.when(value.isNotNull(), F.col(at))).alias("last_observed_at"),
-            F.min(F.when(value.isNotNull(), F.col(seq))).alias("first_numeric_seq")]
+            F.min(F.when(value.isNotNull(), F.col(seq))).alias("first_numeric_seq"),
+            F.min_by(F.col(seq), F.when(value.isNotNull(), F.struct((-F.unix_micros(at)).alias("t"), F.col(seq))))
+            .alias("newest_seq")]
 
 
 def judge(df: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def trend_summary(events: DataFrame, lex: Lexicon | None = None, grounded: bool
         F.when(F.coalesce(F.col("ref_unit"), F.lit("")) != "", F.col("ref_unit"))
         .otherwise(F.col("last_unit")).alias("unit"),
         "points", "first_value", "last_value", "delta", F.col("moved").alias("direction"), "worsening",
-        "first_observed_at", "last_observed_at")
+        "first_observed_at", "last_observed_at", "newest_seq")
 
 
 # -- metric tools: raw labels, strictly numeric values -----------------------------------------

@@ -7,16 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.functions.text import stable_id
+from carelattice.lexicon import Lexicon
 from carelattice.operators import contradictions as contra
 from carelattice.operators import entities as ent
 from carelattice.operators import facts as fx
+from carelattice.operators import graph as gr
+from carelattice.operators import proposals as pr
 from carelattice.operators import relationships as rel
+from carelattice.operators import reports as rp
 from carelattice.operators import risk
+from carelattice.operators import search as se
 from carelattice.operators import trends as tr
 from carelattice.operators.grounding import ground
 from carelattice.plans import oracles as o
 from carelattice.plans.activity import health_events, health_sources
+from carelattice.sources import chunks as ch
+from carelattice.sources import conversations as cv
+from carelattice.sources import extracted as ex
+from carelattice.sources import notes as nt
+from carelattice.sources import transcripts as ts_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,7 +291,6 @@ def latest_readings(spark, sf):
 
 @register("monitoring_gaps", RISK + "SELECT patient_id, canonical AS medication, array_to_string(monitor, ', ') AS monitor_labs, first_event FROM gaps")
 def monitoring_gaps(spark, sf):
-    from carelattice.lexicon import Lexicon
     g = risk.monitoring_gaps(risk.concept_summary(health_events(spark, sf)), Lexicon.default())
     return g.select("patient_id", F.col("canonical").alias("medication"),
                     F.array_join("monitor_labs", ", ").alias("monitor_labs"), "first_event")
@@ -315,3 +323,269 @@ def alert_sources(spark, sf):
 @register("alert_counts", RISK + "SELECT patient_id, count(*) AS alerts, count(*) FILTER (WHERE severity = 'high') AS high_alerts FROM alerts GROUP BY 1")
 def alert_counts(spark, sf):
     return risk.alert_counts(_alerts(spark, sf)[0])
+
+
+# -- lexical and vector search -----------------------------------------------------------------
+
+def tokens_sql(text: str) -> str:
+    return (f"list_filter(string_split_regex(regexp_replace(lower({text}), '[^A-Za-z0-9_\\s.%/-]', ' ', 'g'), '\\s+'), "
+            f"lambda t: length(t) > 1 AND NOT list_contains({o.STOPS}, t))")
+
+
+CORPUS = f"tok AS (SELECT doc_id, {tokens_sql("concat_ws(' ', source, text)")} AS tokens FROM documents)"
+POSTS = """post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY 1, 2, 3),
+dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+size AS (SELECT count(*) AS n, avg(len(tokens)) AS al FROM tok)"""
+
+
+def bm25_sql(queries: str, k: int) -> str:
+    return f"""q0 AS (SELECT query_id, unnest({tokens_sql('query_text')}) AS term FROM ({queries})),
+q AS (SELECT query_id, term, count(*) AS qtf FROM q0 GROUP BY 1, 2),
+lex AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf / (tf + 0.5::DOUBLE + 1.5::DOUBLE * (dl / al)))) AS score, count(*) AS matched
+  FROM q JOIN post USING (term) JOIN dfreq USING (term) CROSS JOIN size GROUP BY 1, 2),
+lexk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex QUALIFY rank <= {k})"""
+
+
+def _corpus(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", F.col("source").alias("title"), "text")
+
+
+def _bench_queries(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+@register("bm25_topk", o.with_(CORPUS, POSTS, bm25_sql("SELECT item_id AS query_id, text AS query_text FROM benchmark", 8))
+          + "SELECT query_id, doc_id, round(score, 6) AS score, matched, rank FROM lexk")
+def bm25_topk(spark, sf):
+    hits = se.bm25(_corpus(spark, sf), _bench_queries(spark, sf))
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"),
+                       F.size("matched_terms").cast("bigint").alias("matched"), "rank")
+
+
+@register("posting_df", o.with_(CORPUS, POSTS) + "SELECT term, df FROM dfreq")
+def posting_df(spark, sf):
+    return se.document_frequency(se.postings(se.tokenized(_corpus(spark, sf), []), []), [])
+
+
+@register("index_stats", o.with_(CORPUS, POSTS) + """SELECT (SELECT count(*) FROM tok) AS documents, 0 AS event_documents, (SELECT sum(len(tokens))::BIGINT FROM tok) AS tokens,
+  (SELECT count(*) FROM dfreq) AS terms""")
+def index_stats(spark, sf):
+    return se.index_stats(se.tokenized(_corpus(spark, sf), []), [])
+
+
+DOCS = """ed AS (SELECT patient_id, CASE WHEN raw_text IS NOT NULL THEN concat('doc_src_', source_id) ELSE concat('doc_src_meta_', source_id) END AS doc_id, source_id, NULL::VARCHAR AS event_id,
+   source_type, title, CASE WHEN raw_text IS NOT NULL THEN raw_text ELSE concat(title, ' ', CASE source_type WHEN 'emr' THEN 'EMR' WHEN 'voice' THEN 'Voice' WHEN 'doctor_note' THEN 'Clinician note' ELSE 'Manual' END) END AS text FROM sources
+  UNION ALL SELECT patient_id, concat('doc_evt_', event_id), source_id, event_id, 'event', label, concat_ws(' ', kind, label, value, unit, status) FROM he)"""
+
+
+@register("evidence_documents", o.with_(o.HE, o.SOURCES, DOCS) + "SELECT * FROM ed")
+def evidence_documents(spark, sf):
+    e, s = _events_sources(spark, sf)
+    return se.evidence_documents(s, e).drop("observed_at")
+
+
+PATIENT_BM25 = f"""ptok AS (SELECT patient_id, doc_id, event_id, {tokens_sql("concat_ws(' ', title, text)")} AS tokens FROM ed),
+ppost AS (SELECT patient_id, doc_id, dl, term, count(*) AS tf FROM (SELECT patient_id, doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM ptok) GROUP BY ALL),
+pdf AS (SELECT patient_id, term, count(*) AS df FROM ppost GROUP BY ALL),
+psize AS (SELECT patient_id, count(*) AS n, avg(len(tokens)) AS al FROM ptok GROUP BY ALL),
+aq AS (SELECT patient_id, alert_key, unnest({tokens_sql("concat_ws(' ', title, explanation, replace(questions, '; ', ' '))")}) AS term FROM alerts),
+aqt AS (SELECT patient_id, alert_key, term, count(*) AS qtf FROM aq GROUP BY ALL),
+alex AS (SELECT patient_id, alert_key, doc_id, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf / (tf + 0.5::DOUBLE + 1.5::DOUBLE * (dl / al)))) AS score
+  FROM aqt JOIN ppost USING (patient_id, term) JOIN pdf USING (patient_id, term) JOIN psize USING (patient_id) GROUP BY ALL),
+acut AS (SELECT * FROM alex QUALIFY row_number() OVER (PARTITION BY patient_id, alert_key ORDER BY round(score, 9) DESC, doc_id) <= 6),
+aboost AS (SELECT a.patient_id, a.alert_key, a.doc_id, a.score + CASE WHEN ev.event_id IS NOT NULL THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+  FROM acut a JOIN ptok p ON p.patient_id = a.patient_id AND p.doc_id = a.doc_id LEFT JOIN ev ON ev.patient_id = a.patient_id AND ev.alert_key = a.alert_key AND ev.event_id = p.event_id)"""
+
+
+@register("alert_search", o.with_(o.GROUND, o.SOURCES, o.TRENDS, o.ALERTS, DOCS, PATIENT_BM25)
+          + "SELECT patient_id, alert_key, doc_id, round(score, 6) AS score FROM aboost")
+def alert_search(spark, sf):
+    a, e = _alerts(spark, sf)
+    a = shared(a)
+    docs = shared(se.evidence_documents(health_sources(e), e))
+    hits = se.alert_search(docs, a, risk.alert_evidence(a, e))
+    return hits.select("patient_id", F.col("query_id").alias("alert_key"), "doc_id", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _probes(v: DataFrame, pick=F.min_by) -> DataFrame:
+    """One query vector per label: its first (or last) member."""
+    return v.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(pick("vector", "id").alias("vector"))
+
+
+DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
+VECK = f"""probe AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS qv, arg_max(embedding, vec_id) AS qv2, min(vec_id) AS first_id FROM embeddings GROUP BY 1),
+sc AS (SELECT query_id, vec_id AS id, {DOT.format('qv', 'embedding')} AS score, {DOT.format('qv2', 'embedding')} AS score2 FROM probe CROSS JOIN embeddings)"""
+
+
+@register("vector_topk", o.with_(VECK) + """SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM sc WHERE score >= 0.25 QUALIFY rank <= 8""")
+def vector_topk(spark, sf):
+    v = _vectors(spark, sf)
+    hits = se.vector_top_k(v.drop("label"), _probes(v))
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("rrf_fusion", o.with_(VECK, """l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score >= 0.25 QUALIFY rank <= 12
+  UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, id) AS rank FROM sc WHERE score2 >= 0.25 QUALIFY rank <= 12)""")
+          + "SELECT query_id::BIGINT AS query_id, id AS item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2")
+def rrf_fusion(spark, sf):
+    v = _vectors(spark, sf)
+    one = se.vector_top_k(v.drop("label"), _probes(v), se.REMOTE_K)
+    two = se.vector_top_k(v.drop("label"), _probes(v, F.max_by), se.REMOTE_K)
+    lists = one.unionByName(two).select("query_id", F.col("id").alias("item_id"), "rank")
+    return se.reciprocal_rank_fusion(lists, ["query_id"]).withColumn("score", F.round("score", 9))
+
+
+HYBRID_Q = "SELECT p.query_id, d.text AS query_text FROM probe p JOIN documents d ON d.doc_id = p.first_id"
+
+
+@register("hybrid_search", o.with_(VECK, CORPUS, POSTS, bm25_sql(HYBRID_Q, 6), """sem AS (SELECT query_id, id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM sc WHERE score >= 0.25 QUALIFY rank <= 12),
+semd AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM sem WHERE doc_id IN (SELECT doc_id FROM documents)),
+fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM lexk WHERE query_id IN (SELECT query_id FROM semd) UNION ALL SELECT query_id, doc_id, rank FROM semd) GROUP BY 1, 2
+  UNION ALL SELECT query_id, doc_id, score FROM lexk WHERE query_id NOT IN (SELECT query_id FROM semd))""")
+          + "SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 8")
+def hybrid_search(spark, sf):
+    """Documents like a probe document: its text drives the lexical list, its vector the semantic one."""
+    v, docs = _vectors(spark, sf), _corpus(spark, sf)
+    first = v.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.min("id").alias("doc_id"))
+    queries = first.join(docs, "doc_id").select("query_id", F.col("text").alias("query_text"))
+    lexical = se.bm25(docs, queries, se.ALERT_K)
+    near = se.vector_top_k(v.drop("label"), _probes(v), se.REMOTE_K)
+    semantic = near.withColumnRenamed("id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    semantic = se.top_k(semantic.drop("rank"), ["query_id"], se.REMOTE_K)
+    fused = se.fuse(lexical, semantic, ["query_id"])
+    return fused.select("query_id", F.col("item_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+# -- conversations, notes, chunks --------------------------------------------------------------
+
+def _messages(spark, sf):
+    """The conversations with a few clinical phrases added by turn and conversation number."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    k = (F.col("conv_id") * 7 + F.col("turn")) % 9
+    extra = (F.when(k == 0, " I feel tired and have swelling.").when(k == 1, " I took advil. My insurance lapsed")
+             .when(k == 2, " there is some shortness").when(k == 3, " my lisinopril refill is late")
+             .when(k == 4, " I missed my appointment").otherwise(""))
+    lead = F.when(k == 4, "of breath at night ").otherwise("")
+    return c.select("conv_id", "turn", "role", F.concat(lead, "text", extra).alias("text"))
+
+
+MSG = """msg AS (SELECT conv_id, turn, role, concat(CASE k WHEN 4 THEN 'of breath at night ' ELSE '' END, text, CASE k WHEN 0 THEN ' I feel tired and have swelling.' WHEN 1 THEN ' I took advil. My insurance lapsed'
+   WHEN 2 THEN ' there is some shortness' WHEN 3 THEN ' my lisinopril refill is late' WHEN 4 THEN ' I missed my appointment' ELSE '' END) AS text
+   FROM (SELECT *, (conv_id * 7 + turn) % 9 AS k FROM conversations)),
+vm AS (SELECT * FROM msg WHERE role IN ('user', 'assistant') AND trim(text) <> '' AND conv_id IN (SELECT conv_id FROM msg WHERE role = 'user' AND trim(text) <> '')),
+ut AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t, lower(string_agg(text, ' ' ORDER BY turn)) AS low FROM vm WHERE role = 'user' GROUP BY 1)"""
+
+
+@register("valid_conversations", o.with_(MSG) + "SELECT conv_id, count(*) AS messages FROM vm GROUP BY 1")
+def valid_conversations(spark, sf):
+    return cv.valid_messages(_messages(spark, sf)).groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@register("conversation_transcript", o.with_(MSG) + "SELECT conv_id, turn, concat(CASE role WHEN 'assistant' THEN 'Intake' ELSE 'Patient' END, ': ', text) AS line FROM vm")
+def conversation_transcript(spark, sf):
+    return cv.transcript_lines(cv.valid_messages(_messages(spark, sf)))
+
+
+@register("conversation_history", o.with_(MSG) + """SELECT conv_id, turn, role, text FROM msg WHERE role IN ('user', 'assistant') AND trim(text) <> ''
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8""")
+def conversation_history(spark, sf):
+    return cv.history_tail(_messages(spark, sf))
+
+
+KW = o.values((i, p, k, lab, v) for i, (p, k, lab, v) in enumerate(ts_.KEYWORD_RULES))
+
+
+@register("conversation_events", o.with_(MSG, f"kw(rule, pat, kind, label, value) AS {KW}", """hit AS (SELECT conv_id, rule, kind, label, value, 'active' AS status FROM ut JOIN kw ON regexp_matches(low, pat))""")
+          + """SELECT * FROM hit UNION ALL SELECT conv_id, 6, 'note', 'Patient-reported context', substr(t, 1, 200), NULL FROM ut WHERE conv_id NOT IN (SELECT conv_id FROM hit)""")
+def conversation_events(spark, sf):
+    return cv.conversation_events(cv.valid_messages(_messages(spark, sf))).drop("event_id")
+
+
+def _list_sql(group: str, prefix: str = "") -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{prefix}{lab}' END"
+                                       for p, lab in cv.CONTEXT_RULES[group]) + "], lambda x: x IS NOT NULL)"
+
+
+@register("conversation_context", o.with_(MSG, f"""cx AS (SELECT conv_id, t, {_list_sql('symptoms')} AS s, {_list_sql('medications')} AS m, {_list_sql('barriers')} AS b,
+   list_concat(list_concat({_list_sql('symptoms', 'symptom: ')}, {_list_sql('medications', 'medication: ')}), {_list_sql('barriers', 'barrier: ')}) AS tp FROM ut)""")
+          + """SELECT conv_id, 'Intake conversation' AS title, trim(substr(t, 1, 280)) AS summary, coalesce(s[1], b[1], trim(substr(t, 1, 80))) AS chief_concern,
+  array_to_string(tp, '; ') AS topics, array_to_string(s, '; ') AS symptoms, array_to_string(m, '; ') AS medications, array_to_string(b, '; ') AS barriers,
+  (SELECT count(*) FROM vm WHERE vm.conv_id = cx.conv_id) AS message_count FROM cx""")
+def conversation_context(spark, sf):
+    c = cv.conversation_context(cv.valid_messages(_messages(spark, sf)))
+    return c.withColumns({n: joined(n) for n in ("topics", "symptoms", "medications", "barriers")})
+
+
+@register("transcript_keywords", o.with_(MSG, f"kw(rule, pat, kind, label, value) AS {KW}", """src AS (SELECT conv_id, turn, text, lower(text) AS low FROM msg WHERE trim(text) <> ''),
+hit AS (SELECT conv_id, turn, rule, kind, label, value, 'active' AS status FROM src JOIN kw ON regexp_matches(low, pat))""") + """SELECT * FROM hit
+ UNION ALL SELECT conv_id, turn, 6, 'note', 'Patient-reported context', substr(text, 1, 200), NULL FROM src WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM hit)""")
+def transcript_keywords(spark, sf):
+    m = _messages(spark, sf).select(
+        F.col("conv_id").alias("patient_id"), F.concat_ws("_", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("source_id"),
+        F.lit("2024-02-01").cast("timestamp").alias("captured_at"), "text")
+    e = ts_.transcript_events(m)[0]
+    return e.select(F.col("patient_id").alias("conv_id"), F.element_at(F.split("source_id", "_"), 3).cast("bigint").alias("turn"),
+                    "rule", "kind", "label", "value", "status")
+
+
+def _note_texts(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    k = F.col("doc_id") % 5
+    body = F.concat(F.translate("text", "\n", " "), F.when(k == 0, " Ibuprofen advised.").when(k == 1, " Cardiology in May.")
+                    .when(k == 2, " Check BMP and eGFR.").otherwise(""))
+    text = F.concat_ws("\n", F.when(k != 4, F.concat(F.lit("Clinician: Dr. "), "lang", F.lit(" ("), "source", F.lit(")"))),
+                       F.concat(F.lit("Note: "), body), F.when(k == 1, F.lit("Follow-up: Recheck in two weeks")),
+                       F.when(k == 2, F.lit("Labs: BMP, eGFR")), F.when(k == 3, F.lit("Medication: Stop naproxen")))
+    return d.select("doc_id", text.alias("text"))
+
+
+NOTE = """nt AS (SELECT doc_id, doc_id % 5 AS k, lang, source, trim(concat(replace(text, chr(10), ' '), CASE doc_id % 5 WHEN 0 THEN ' Ibuprofen advised.' WHEN 1 THEN ' Cardiology in May.' WHEN 2 THEN ' Check BMP and eGFR.' ELSE '' END)) AS body FROM documents),
+nf AS (SELECT doc_id, CASE WHEN k <> 4 THEN concat('Dr. ', lang) ELSE 'Clinician' END AS clinician, CASE WHEN k <> 4 THEN source ELSE 'Unknown' END AS specialty, body AS note,
+   CASE WHEN k = 1 THEN 'Recheck in two weeks' END AS follow_up, CASE WHEN k = 2 THEN 'BMP, eGFR' END AS lab, CASE WHEN k = 3 THEN 'Stop naproxen' END AS medication_change FROM nt)"""
+
+
+@register("note_fields", o.with_(NOTE) + "SELECT * FROM nf")
+def note_fields(spark, sf):
+    return nt.split_note(_note_texts(spark, sf)).drop("text")
+
+
+@register("note_events", o.with_(NOTE, """ne AS (SELECT doc_id, 'note' AS kind, 'Clinician note' AS label, note AS value, NULL AS status FROM nf
+ UNION ALL SELECT doc_id, 'encounter', concat(specialty, ' documentation'), NULL, NULL FROM nf
+ UNION ALL SELECT doc_id, 'care_task', follow_up, NULL, 'pending' FROM nf WHERE follow_up IS NOT NULL
+ UNION ALL SELECT doc_id, 'lab', 'Noted labs', lab, NULL FROM nf WHERE lab IS NOT NULL
+ UNION ALL SELECT doc_id, 'medication', 'Medication plan update', medication_change, 'active' FROM nf WHERE medication_change IS NOT NULL
+ UNION ALL SELECT doc_id, 'medication', 'Ibuprofen', 'Recommended by urgent care for knee pain', 'active' FROM nf WHERE contains(lower(note), 'ibuprofen')
+ UNION ALL SELECT doc_id, 'care_task', 'Cardiology visit scheduled', NULL, 'pending' FROM nf WHERE contains(lower(note), 'cardiology')
+ UNION ALL SELECT doc_id, 'care_task', 'Repeat BMP ordered', 'Due to elevated potassium and reduced eGFR', 'pending' FROM nf WHERE regexp_matches(lower(note), 'bmp|egfr|potassium'))""")
+          + "SELECT * FROM ne")
+def note_events(spark, sf):
+    n = nt.split_note(_note_texts(spark, sf)).select(
+        F.col("doc_id").alias("patient_id"), F.concat(F.lit("note_"), "doc_id").alias("source_id"),
+        F.lit("2024-02-01").cast("timestamp").alias("captured_at"), "clinician", "specialty", "note", "follow_up", "lab",
+        "medication_change")
+    return nt.note_events(nt.gate_notes(n)[0]).select(F.col("patient_id").alias("doc_id"), "kind", "label", "value", "status")
+
+
+CHUNKS = """WITH RECURSIVE d AS (SELECT doc_id, trim(text, E' \t\n\r\f\v') AS t FROM documents),
+c AS (SELECT doc_id, t, 0 AS s, CASE WHEN length(t) <= 1200 THEN length(t) ELSE NULL END AS e0 FROM d WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, t, e, NULL FROM (SELECT doc_id, t, CASE WHEN s + 1200 >= length(t) THEN length(t)
+     WHEN strpos(reverse(substr(t, s + 302, 901)), E'\n\n') > 0 THEN s + 301 + 901 - strpos(reverse(substr(t, s + 302, 901)), E'\n\n') - 1
+     WHEN strpos(reverse(substr(t, s + 302, 901)), ' .') > 0 THEN s + 301 + 901 - strpos(reverse(substr(t, s + 302, 901)), ' .') - 1 + 1
+     ELSE s + 1200 END AS e FROM c) WHERE e < length(t)),
+p AS (SELECT doc_id, t, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), length(t)) AS e FROM c),
+x AS (SELECT doc_id, s, e, trim(substr(t, s + 1, e - s), E' \t\n\r\f\v') AS txt FROM p)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS ordinal, s::INT AS start_offset, e::INT AS end_offset, txt AS text FROM x WHERE txt <> ''"""
+
+
+@register("chunks", CHUNKS)
+def chunks(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return ch.chunk_documents(d, "doc_id", "text")

@@ -1,0 +1,23 @@
+"""Named data tools: plain functions from DataFrames and arguments to a DataFrame.
+
+``as_of`` replaces the clock wherever a tool looks back in time.
+"""
+
+from __future__ import annotations
+
+from carelattice.operators.graph import explain_relationships, neighbors, search_graph
+from carelattice.operators.risk import risk_alerts
+from carelattice.operators.search import evidence_snippets
+from carelattice.operators.trends import metric_catalog, metric_series, query_events, trend_stats
+
+TOOLS = {
+    "list_metrics": metric_catalog,
+    "get_metric_series": metric_series,
+    "compute_trend": trend_stats,
+    "query_events": query_events,
+    "search_evidence": evidence_snippets,
+    "get_risk_alerts": lambda events: risk_alerts(events).select("patient_id", "title", "severity", "explanation", "alert_key"),
+    "search_graph": search_graph,
+    "get_node": neighbors,
+    "explain_relationships": explain_relationships,
+}
