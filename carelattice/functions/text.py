@@ -46,10 +46,11 @@ def fix_acronyms(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Tokens of the lexical index: duplicates kept, stop words and one-letter tokens dropped."""
-    cleaned = F.regexp_replace(F.lower(c), f"[^A-Za-z0-9_{JS_SPACE}.%/-]", " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.split(cleaned, f"[{JS_SPACE}]+"),
-                    lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    piece = "[A-Za-z0-9_.%/-]"
+    cleaned = F.regexp_replace(F.lower(c), "[^A-Za-z0-9_.%/-]", " ")
+    # whole tokens to drop are blanked before the split: plain string functions, no per-token lambda
+    dropped = F.regexp_replace(cleaned, f"(?<!{piece})(?:{piece}|{'|'.join(STOP_WORDS)})(?!{piece})", " ")
+    return F.array_remove(F.split(dropped, " +"), "")
 
 
 def word_tokens(c: Column) -> Column:

@@ -1,8 +1,8 @@
 """Connected components by alternating star contraction, on DataFrames.
 
 Each round joins edges with the smallest neighbour of a node (a map-side combined
-minimum), so hubs never gather their neighbours in one place.  Rounds are cut with a
-reliable checkpoint and stop when every component is a star around its smallest node.
+minimum), so hubs never gather their neighbours in one place.  Rounds are written to the
+shared folder and stop when every component is a star around its smallest node.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, scope: list[str], max_rounds: int = 6
     ``edges`` has the scope columns plus a, b.  Components never cross scopes.
     """
     e = (edges.select(*scope, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-         .filter(F.col("u") != F.col("v")).distinct().persist())
+         .filter(F.col("u") != F.col("v")).distinct())
+    e = cut_lineage(e)
     for _ in range(max_rounds):
         ends = e.select(*scope, F.explode(F.array(
             F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),

@@ -110,7 +110,7 @@ def entity_aliases(members: DataFrame) -> DataFrame:
 
 def resolve(facts: DataFrame, lex: Lexicon | None = None, block_by_event_kind: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entities, members).  The cluster table is small beside the facts and read by every
-    later step, so it is cut from the event lineage once, by a reliable checkpoint."""
+    later step, so it is cut from the event lineage once, by a written table."""
     gf = graph_facts(facts, block_by_event_kind)
     rooted = cluster_roots(cut_lineage(clusters(gf)))
     entities = golden_records(rooted, lex)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from carelattice.session import cut_lineage
+
 PATIENT_NODE = "node_patient"
 
 # --- fixed values -----------------------------------------------------------
@@ -183,13 +185,14 @@ def evidence_subgraph(g: Graph, focus: DataFrame) -> tuple[DataFrame, DataFrame]
     f = focus.select("patient_id", "query_id", "event_id").distinct()
     e = g.edges.select("patient_id", "edge_id", "from_node", "to_node", "relation")
     hit_ids = g.edge_evidence.join(f, ["patient_id", "event_id"]).select("patient_id", "query_id", "edge_id").distinct()
-    hit_edges = hit_ids.join(e, ["patient_id", "edge_id"])
+    hit_edges = cut_lineage(hit_ids.join(e, ["patient_id", "edge_id"]))
     seeds = g.node_events.join(f, ["patient_id", "event_id"]).select("patient_id", "query_id", "node_id")
-    start = seeds.unionByName(_ends(hit_edges)).distinct()
+    start = cut_lineage(seeds.unionByName(_ends(hit_edges)).distinct())
     clinical = e.filter((F.col("relation") != "mentioned_in") & (F.col("from_node") != PATIENT_NODE)
                         & (F.col("to_node") != PATIENT_NODE))
     hop = (clinical.join(start.withColumnRenamed("node_id", "from_node"), ["patient_id", "from_node"])
            .unionByName(clinical.join(start.withColumnRenamed("node_id", "to_node"), ["patient_id", "to_node"])))
+    hop = cut_lineage(hop.select("patient_id", "query_id", "edge_id", "from_node", "to_node", "relation"))
     kept = start.unionByName(_ends(hop)).distinct()
     hub = (e.filter(F.col("from_node") == PATIENT_NODE)
            .join(kept.withColumnRenamed("node_id", "to_node"), ["patient_id", "to_node"]))
@@ -209,7 +212,7 @@ def one_hop(g: Graph, centers: DataFrame) -> tuple[DataFrame, DataFrame]:
         "patient_id", "query_id", F.col("to_node").alias("node_id"))
     inc = c.join(e.withColumnRenamed("to_node", "node_id"), ["patient_id", "node_id"]).select(
         "patient_id", "query_id", F.col("from_node").alias("node_id"))
-    ids = c.unionByName(out).unionByName(inc).distinct()
+    ids = cut_lineage(c.unionByName(out).unionByName(inc).distinct())
     edges = (ids.withColumnRenamed("node_id", "from_node").join(e, ["patient_id", "from_node"])
              .join(ids.withColumnRenamed("node_id", "to_node"), ["patient_id", "query_id", "to_node"], "left_semi"))
     return ids.join(g.nodes, ["patient_id", "node_id"]), edges

@@ -130,8 +130,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEXICAL_K, scope: list[st
 
 
 def top_k(hits: DataFrame, group: list[str], k: int, id_col: str = "doc_id") -> DataFrame:
-    """rank <= k by score, then id.  Spark limits each group before and after the shuffle."""
-    w = W.partitionBy(*group).orderBy(F.col("score").desc(), F.col(id_col))
+    """rank <= k by score, then id.  Spark limits each group before and after the shuffle.
+    Scores equal to nine decimals are ties, since sums depend on the order of addition."""
+    w = W.partitionBy(*group).orderBy(F.round("score", 9).desc(), F.col(id_col))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -192,9 +193,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = VECTOR_K, floo
     for i in range(slices):
         part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
         block = part.agg(F.collect_list(F.struct("query_id", "vector")).alias("q")).scalar()
-        scores = F.transform(block, lambda q: F.struct(q["query_id"].alias("query_id"),
-                                                       dot(q["vector"], F.col("vector")).alias("score")))
-        hits = vectors.select("id", F.inline(F.filter(scores, lambda h: h["score"] >= floor)))
+        each = vectors.select("id", "vector", block.alias("_q")).select("id", "vector", F.explode("_q").alias("q"))
+        hits = each.select("id", F.col("q.query_id").alias("query_id"), dot(F.col("q.vector"), F.col("vector")).alias("score"))
+        hits = hits.filter(F.col("score") >= floor)
         out = hits if out is None else out.unionByName(hits)
     return top_k(out.select("query_id", "id", "score"), ["query_id"], k, "id")
 

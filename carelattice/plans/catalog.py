@@ -21,6 +21,7 @@ from carelattice.operators import trends as tr
 from carelattice.operators.grounding import ground
 from carelattice.plans import oracles as o
 from carelattice.plans.activity import health_events, health_sources
+from carelattice.session import cut_lineage
 from carelattice.sources import chunks as ch
 from carelattice.sources import conversations as cv
 from carelattice.sources import extracted as ex
@@ -50,11 +51,6 @@ def joined(c: str) -> Column:
     return F.array_join(F.col(c), "; ")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Keep an intermediate that several branches of one query read."""
-    return df.persist()
-
-
 # -- trends ------------------------------------------------------------------------------------
 
 @register("trend_summary", o.with_(o.GROUND, o.TRENDS) + f"""SELECT patient_id, label, unit, points, first_value, last_value, delta, direction, worsening,
@@ -199,7 +195,7 @@ def contradictions_value(spark, sf):
 @register("contradiction_members", o.with_(o.GROUND, o.FACTS, o.CONTRA) + """SELECT c.patient_id, c.concept_key, c.tag, f.event_id AS fact_id FROM contradictions c
   JOIN gf f ON f.patient_id = c.patient_id AND f.concept_key = c.concept_key AND (c.day IS NULL OR CAST(f.observed_at AS DATE) = c.day)""")
 def contradiction_members(spark, sf):
-    return contra.contradiction_members(shared(_facts(spark, sf)))
+    return contra.contradiction_members(cut_lineage(_facts(spark, sf)))
 
 
 # -- entities and relationships ----------------------------------------------------------------
@@ -209,9 +205,9 @@ ENT_OWN = o.with_(o.GROUND, o.FACTS, o.entities_cte(o.BARRIER_BLOCK), recursive=
 
 
 def _resolved(spark, sf, own: bool = False):
-    facts = shared(_facts(spark, sf))
+    facts = cut_lineage(_facts(spark, sf))
     entities, members = ent.resolve(facts, block_by_event_kind=own)
-    return facts, shared(entities), members
+    return facts, cut_lineage(entities), members
 
 
 ENTITIES = o.with_(o.GROUND, o.FACTS, o.entities_cte(), o.sid_cte(
@@ -278,7 +274,7 @@ RISK = o.with_(o.GROUND, o.TRENDS, o.ALERTS)
 
 def _alerts(spark, sf):
     e = health_events(spark, sf)
-    summary = shared(risk.concept_summary(e))
+    summary = cut_lineage(risk.concept_summary(e))
     return risk.risk_alerts(e, summary=summary), e
 
 
@@ -311,13 +307,13 @@ def risk_alerts(spark, sf):
 @register("alert_evidence", RISK + "SELECT patient_id, alert_key, event_id FROM ev")
 def alert_evidence(spark, sf):
     a, e = _alerts(spark, sf)
-    return risk.alert_evidence(shared(a), e).select("patient_id", "alert_key", "event_id").distinct()
+    return risk.alert_evidence(cut_lineage(a), e).select("patient_id", "alert_key", "event_id").distinct()
 
 
 @register("alert_sources", o.with_(o.GROUND, o.TRENDS, o.ALERTS) + "SELECT DISTINCT ev.patient_id, ev.alert_key, he.source_type FROM ev JOIN he USING (patient_id, event_id)")
 def alert_sources(spark, sf):
     a, e = _alerts(spark, sf)
-    return risk.alert_source_types(risk.alert_evidence(shared(a), e), e, health_sources(e))
+    return risk.alert_source_types(risk.alert_evidence(cut_lineage(a), e), e, health_sources(e))
 
 
 @register("alert_counts", RISK + "SELECT patient_id, count(*) AS alerts, count(*) FILTER (WHERE severity = 'high') AS high_alerts FROM alerts GROUP BY 1")
@@ -343,7 +339,7 @@ def bm25_sql(queries: str, k: int) -> str:
 q AS (SELECT query_id, term, count(*) AS qtf FROM q0 GROUP BY 1, 2),
 lex AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf / (tf + 0.5::DOUBLE + 1.5::DOUBLE * (dl / al)))) AS score, count(*) AS matched
   FROM q JOIN post USING (term) JOIN dfreq USING (term) CROSS JOIN size GROUP BY 1, 2),
-lexk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex QUALIFY rank <= {k})"""
+lexk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex QUALIFY rank <= {k})"""
 
 
 def _corpus(spark, sf):
@@ -402,8 +398,8 @@ aboost AS (SELECT a.patient_id, a.alert_key, a.doc_id, a.score + CASE WHEN ev.ev
           + "SELECT patient_id, alert_key, doc_id, round(score, 6) AS score FROM aboost")
 def alert_search(spark, sf):
     a, e = _alerts(spark, sf)
-    a = shared(a)
-    docs = shared(se.evidence_documents(health_sources(e), e))
+    a = cut_lineage(a)
+    docs = cut_lineage(se.evidence_documents(health_sources(e), e))
     hits = se.alert_search(docs, a, risk.alert_evidence(a, e))
     return hits.select("patient_id", F.col("query_id").alias("alert_key"), "doc_id", F.round("score", 6).alias("score"))
 
@@ -422,7 +418,7 @@ VECK = f"""probe AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS qv,
 sc AS (SELECT query_id, vec_id AS id, {DOT.format('qv', 'embedding')} AS score, {DOT.format('qv2', 'embedding')} AS score2 FROM probe CROSS JOIN embeddings)"""
 
 
-@register("vector_topk", o.with_(VECK) + """SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+@register("vector_topk", o.with_(VECK) + """SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
   FROM sc WHERE score >= 0.25 QUALIFY rank <= 8""")
 def vector_topk(spark, sf):
     v = _vectors(spark, sf)
@@ -430,8 +426,8 @@ def vector_topk(spark, sf):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("rrf_fusion", o.with_(VECK, """l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score >= 0.25 QUALIFY rank <= 12
-  UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, id) AS rank FROM sc WHERE score2 >= 0.25 QUALIFY rank <= 12)""")
+@register("rrf_fusion", o.with_(VECK, """l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc WHERE score >= 0.25 QUALIFY rank <= 12
+  UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score2, 9) DESC, id) AS rank FROM sc WHERE score2 >= 0.25 QUALIFY rank <= 12)""")
           + "SELECT query_id::BIGINT AS query_id, id AS item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2")
 def rrf_fusion(spark, sf):
     v = _vectors(spark, sf)
@@ -444,12 +440,12 @@ def rrf_fusion(spark, sf):
 HYBRID_Q = "SELECT p.query_id, d.text AS query_text FROM probe p JOIN documents d ON d.doc_id = p.first_id"
 
 
-@register("hybrid_search", o.with_(VECK, CORPUS, POSTS, bm25_sql(HYBRID_Q, 6), """sem AS (SELECT query_id, id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+@register("hybrid_search", o.with_(VECK, CORPUS, POSTS, bm25_sql(HYBRID_Q, 6), """sem AS (SELECT query_id, id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
   FROM sc WHERE score >= 0.25 QUALIFY rank <= 12),
 semd AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM sem WHERE doc_id IN (SELECT doc_id FROM documents)),
 fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM lexk WHERE query_id IN (SELECT query_id FROM semd) UNION ALL SELECT query_id, doc_id, rank FROM semd) GROUP BY 1, 2
   UNION ALL SELECT query_id, doc_id, score FROM lexk WHERE query_id NOT IN (SELECT query_id FROM semd))""")
-          + "SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 8")
+          + "SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fu QUALIFY rank <= 8")
 def hybrid_search(spark, sf):
     """Documents like a probe document: its text drives the lexical list, its vector the semantic one."""
     v, docs = _vectors(spark, sf), _corpus(spark, sf)
@@ -589,3 +585,246 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS
 def chunks(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return ch.chunk_documents(d, "doc_id", "text")
+
+
+# -- graph -------------------------------------------------------------------------------------
+
+GRAPH = """lat2 AS (SELECT patient_id, entity_key, value AS latest_value, unit FROM mem QUALIFY row_number() OVER (PARTITION BY patient_id, entity_key ORDER BY observed_at DESC, cluster_seq, seq) = 1),
+fk AS (SELECT patient_id, kind, root, arg_min(fk, fs) AS first_kind FROM (SELECT patient_id, block AS kind, root, fk, fs FROM rooted) GROUP BY 1, 2, 3),
+nodes AS (SELECT DISTINCT patient_id, 'node_patient' AS node_id, 'patient' AS kind, concat('Patient ', patient_id) AS label, NULL::DOUBLE AS confidence, NULL::VARCHAR AS review_status FROM he
+  UNION ALL SELECT patient_id, concat('node_src_', source_id), 'source', title, NULL, NULL FROM sources
+  UNION ALL SELECT e.patient_id, e.entity_key, e.kind, CASE WHEN e.kind = 'lab' AND l.latest_value IS NOT NULL THEN concat(e.canonical_label, ': ', l.latest_value, CASE WHEN coalesce(l.unit, '') <> '' THEN concat(' ', l.unit) ELSE '' END)
+     ELSE e.canonical_label END, e.confidence, e.review_status FROM ent e JOIN lat2 l USING (patient_id, entity_key)),
+pe AS (SELECT e.patient_id, 'node_patient' AS from_node, e.entity_key AS to_node, CASE fk.first_kind WHEN 'condition' THEN 'has_condition' WHEN 'symptom' THEN 'reported' WHEN 'medication' THEN 'takes'
+   WHEN 'lab' THEN 'ordered' WHEN 'vital' THEN 'ordered' WHEN 'care_task' THEN 'needs_follow_up' WHEN 'barrier' THEN 'barrier_to' ELSE 'belongs_to_visit' END AS relation, e.confidence, e.review_status
+   FROM ent e JOIN fk ON fk.patient_id = e.patient_id AND fk.kind = e.kind AND fk.root = e.root),
+me AS (SELECT DISTINCT patient_id, entity_key AS from_node, concat('node_src_', source_id) AS to_node, 'mentioned_in' AS relation, 1.0::DOUBLE AS confidence, 'accepted' AS review_status FROM mem),
+edges AS (SELECT *, concat(from_node, '|', to_node, '|', relation) AS edge_id FROM (SELECT * FROM pe UNION ALL SELECT * FROM me UNION ALL SELECT patient_id, from_key, to_key, relation, confidence, review_status FROM rels)),
+ee AS (SELECT x.patient_id, x.edge_id, m.event_id FROM edges x JOIN mem m ON m.patient_id = x.patient_id AND ((x.from_node = 'node_patient' AND m.entity_key = x.to_node)
+   OR (x.relation = 'mentioned_in' AND m.entity_key = x.from_node AND x.to_node = concat('node_src_', m.source_id)) OR (x.relation <> 'mentioned_in' AND x.from_node <> 'node_patient' AND m.entity_key IN (x.from_node, x.to_node))))"""
+GRAPH_ALL = o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, recursive=True)
+EDGE_COLS = "patient_id, edge_id, from_node, to_node, relation, confidence, review_status"
+
+
+def _graph(spark, sf):
+    r, e, m, facts = _relationships(spark, sf)
+    ev = health_events(spark, sf)
+    patients = ev.select("patient_id").distinct().withColumn("name", F.concat(F.lit("Patient "), F.col("patient_id").cast("string")))
+    m, r = cut_lineage(m), cut_lineage(r)
+    g = gr.build(patients, health_sources(ev), e, m, r)
+    return g, m
+
+
+def _cut(g: gr.Graph) -> gr.Graph:
+    """Traversals read nodes and edges many times."""
+    return gr.Graph(cut_lineage(g.nodes), g.node_events, cut_lineage(g.edges), cut_lineage(g.edge_evidence))
+
+
+@register("graph_nodes", GRAPH_ALL + "SELECT * FROM nodes")
+def graph_nodes(spark, sf):
+    return _graph(spark, sf)[0].nodes.drop("latest_value", "unit")
+
+
+@register("graph_edges", GRAPH_ALL + f"SELECT {EDGE_COLS} FROM edges")
+def graph_edges(spark, sf):
+    return _graph(spark, sf)[0].edges.select(*EDGE_COLS.split(", "))
+
+
+@register("edge_evidence", GRAPH_ALL + "SELECT patient_id, edge_id, event_id FROM ee")
+def edge_evidence(spark, sf):
+    return _graph(spark, sf)[0].edge_evidence
+
+
+FOCUS = "fe AS (SELECT patient_id, source_type AS query_id, event_id FROM he WHERE kind = 'medication')"
+SUBGRAPH = """hit AS (SELECT DISTINCT f.patient_id, f.query_id, x.* EXCLUDE (patient_id) FROM fe f JOIN ee ON ee.patient_id = f.patient_id AND ee.event_id = f.event_id JOIN edges x ON x.patient_id = ee.patient_id AND x.edge_id = ee.edge_id),
+st AS (SELECT f.patient_id, f.query_id, m.entity_key AS node_id FROM fe f JOIN mem m ON m.patient_id = f.patient_id AND m.event_id = f.event_id UNION SELECT patient_id, query_id, from_node FROM hit UNION SELECT patient_id, query_id, to_node FROM hit),
+hop AS (SELECT st.patient_id, st.query_id, x.* EXCLUDE (patient_id) FROM st JOIN edges x ON x.patient_id = st.patient_id AND st.node_id IN (x.from_node, x.to_node) WHERE x.relation <> 'mentioned_in' AND x.from_node <> 'node_patient' AND x.to_node <> 'node_patient'),
+kept AS (SELECT * FROM st UNION SELECT patient_id, query_id, from_node FROM hop UNION SELECT patient_id, query_id, to_node FROM hop),
+hub AS (SELECT k.patient_id, k.query_id, x.* EXCLUDE (patient_id) FROM kept k JOIN edges x ON x.patient_id = k.patient_id AND x.from_node = 'node_patient' AND x.to_node = k.node_id),
+sube AS (SELECT patient_id, query_id, edge_id FROM hit UNION SELECT patient_id, query_id, edge_id FROM hop UNION SELECT patient_id, query_id, edge_id FROM hub),
+subn AS (SELECT DISTINCT patient_id, query_id, node_id FROM (SELECT * FROM kept UNION SELECT DISTINCT patient_id, query_id, 'node_patient' FROM kept) k SEMI JOIN nodes n USING (patient_id, node_id))"""
+SUB_ALL = o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, FOCUS, SUBGRAPH, recursive=True)
+
+
+def _focus(spark, sf):
+    e = health_events(spark, sf).filter(F.col("kind") == "medication")
+    return e.select("patient_id", F.col("source_type").alias("query_id"), "event_id")
+
+
+@register("evidence_subgraph", SUB_ALL + "SELECT patient_id, query_id, 'node' AS part, node_id AS id FROM subn UNION ALL SELECT patient_id, query_id, 'edge', edge_id FROM sube")
+def evidence_subgraph(spark, sf):
+    """What explains the medications each source type reports, per patient."""
+    nodes, edges = gr.query_graph(_cut(_graph(spark, sf)[0]), alert_events=_focus(spark, sf))
+    return (nodes.select("patient_id", "query_id", F.lit("node").alias("part"), F.col("node_id").alias("id"))
+            .unionByName(edges.select("patient_id", "query_id", F.lit("edge").alias("part"), F.col("edge_id").alias("id"))))
+
+
+@register("one_hop", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """ctr AS (SELECT patient_id, node_id AS query_id, node_id FROM nodes WHERE kind = 'condition'),
+ids AS (SELECT patient_id, query_id, node_id FROM ctr UNION SELECT c.patient_id, c.query_id, CASE WHEN x.from_node = c.node_id THEN x.to_node ELSE x.from_node END FROM ctr c JOIN edges x ON x.patient_id = c.patient_id AND c.node_id IN (x.from_node, x.to_node))""", recursive=True)
+          + """SELECT patient_id, query_id, 'node' AS part, node_id AS id FROM ids UNION ALL SELECT a.patient_id, a.query_id, 'edge', x.edge_id FROM ids a JOIN edges x ON x.patient_id = a.patient_id AND x.from_node = a.node_id
+ JOIN ids b ON b.patient_id = a.patient_id AND b.query_id = a.query_id AND b.node_id = x.to_node""")
+def one_hop(spark, sf):
+    g = _cut(_graph(spark, sf)[0])
+    centers = g.nodes.filter(F.col("kind") == "condition").select("patient_id", F.col("node_id").alias("query_id"), "node_id")
+    nodes, edges = gr.query_graph(g, centers=centers)
+    return (nodes.select("patient_id", "query_id", F.lit("node").alias("part"), F.col("node_id").alias("id"))
+            .unionByName(edges.select("patient_id", "query_id", F.lit("edge").alias("part"), F.col("edge_id").alias("id"))))
+
+
+@register("node_neighbors", GRAPH_ALL + """SELECT s.patient_id, s.node_id, s.relation, s.direction, s.neighbor_id, coalesce(n.label, s.neighbor_id) AS neighbor_label, n.kind AS neighbor_kind, s.confidence FROM
+ (SELECT patient_id, from_node AS node_id, relation, 'outgoing' AS direction, to_node AS neighbor_id, confidence FROM edges UNION ALL SELECT patient_id, to_node, relation, 'incoming', from_node, confidence FROM edges WHERE from_node <> to_node) s
+ LEFT JOIN nodes n ON n.patient_id = s.patient_id AND n.node_id = s.neighbor_id WHERE s.relation <> 'mentioned_in' OR n.kind = 'source'""")
+def node_neighbors(spark, sf):
+    return gr.neighbors(_cut(_graph(spark, sf)[0])).drop("edge_id")
+
+
+@register("graph_counts", GRAPH_ALL + """SELECT patient_id, (SELECT count(*) FROM nodes n WHERE n.patient_id = p.patient_id) AS nodes,
+ (SELECT count(DISTINCT CASE kind WHEN 'patient' THEN 'person' WHEN 'condition' THEN 'clinical' WHEN 'symptom' THEN 'signals' WHEN 'lab' THEN 'signals' WHEN 'medication' THEN 'treatment' WHEN 'source' THEN 'evidence' ELSE 'context' END) FROM nodes n WHERE n.patient_id = p.patient_id) AS clusters,
+ (SELECT count(*) FROM edges e WHERE e.patient_id = p.patient_id AND relation <> 'mentioned_in') AS edges, (SELECT count(DISTINCT relation) FROM edges e WHERE e.patient_id = p.patient_id) AS relations FROM (SELECT DISTINCT patient_id FROM he) p""")
+def graph_counts(spark, sf):
+    return gr.graph_counts(_cut(_graph(spark, sf)[0]))
+
+
+@register("graph_search", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """hay AS (SELECT patient_id, node_id, lower(concat(label, ' ', kind)) AS t FROM nodes UNION ALL SELECT patient_id, entity_key, lower(label) FROM mem),
+hs AS (SELECT patient_id, node_id, max(contains(t, 'kidney')::INT) + max(contains(t, 'advil')::INT) + max(contains(t, 'lab')::INT) AS score FROM hay GROUP BY 1, 2)""", recursive=True)
+          + """SELECT n.patient_id, n.node_id, n.kind, h.score::INT AS score, row_number() OVER (PARTITION BY n.patient_id ORDER BY h.score DESC, n.node_id) AS rank FROM nodes n JOIN hs h USING (patient_id, node_id) WHERE n.kind <> 'source' AND h.score > 0 QUALIFY rank <= 8""")
+def graph_search(spark, sf):
+    g, m = _graph(spark, sf)
+    return gr.search_graph(_cut(g), ent.entity_aliases(m), "kidney or advil lab").select("patient_id", "node_id", "kind", "score", "rank")
+
+
+@register("visible_edges", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """m0 AS (SELECT DISTINCT patient_id, node_id FROM (SELECT patient_id, node_id, lower(concat(label, ' ', kind)) AS t FROM nodes UNION ALL SELECT patient_id, entity_key, lower(label) FROM mem) WHERE contains(t, 'kidney')),
+kept AS (SELECT * FROM m0 UNION SELECT x.patient_id, x.from_node FROM edges x JOIN m0 ON m0.patient_id = x.patient_id AND m0.node_id = x.to_node UNION SELECT x.patient_id, x.to_node FROM edges x JOIN m0 ON m0.patient_id = x.patient_id AND m0.node_id = x.from_node)""", recursive=True)
+          + """SELECT x.patient_id, x.edge_id FROM edges x WHERE x.relation NOT IN ('takes') AND (x.patient_id, x.from_node) IN (SELECT (patient_id, node_id) FROM kept) AND (x.patient_id, x.to_node) IN (SELECT (patient_id, node_id) FROM kept)
+ AND (x.relation = 'mentioned_in' OR x.confidence IS NULL OR x.confidence >= 0.5)""")
+def visible_edges(spark, sf):
+    """Search expansion, relation switches and the weak-edge filter together."""
+    g, m = _graph(spark, sf)
+    g = _cut(g)
+    kept = gr.expanded_search(g, gr.text_matches(g, ent.entity_aliases(m), "Kidney"))
+    return gr.visible_edges(g, kept, disabled=("takes",)).select("patient_id", "edge_id")
+
+
+@register("explain_relationships", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, recursive=True) + """SELECT r.patient_id, r.relation, concat(a.canonical_label, ' ', CASE r.relation WHEN 'worsening_trend' THEN 'shows a worsening trend in' WHEN 'risk_factor_for' THEN 'is a risk factor for'
+   WHEN 'contraindicated_with' THEN 'is contraindicated with' WHEN 'possibly_related_to' THEN 'is possibly related to' ELSE r.relation END, ' ', b.canonical_label) AS phrase, r.confidence
+ FROM rels r JOIN ent a ON a.patient_id = r.patient_id AND a.entity_key = r.from_key JOIN ent b ON b.patient_id = r.patient_id AND b.entity_key = r.to_key
+ WHERE contains(lower(concat(a.canonical_label, ' ', b.canonical_label)), 'kidney')""")
+def explain_relationships(spark, sf):
+    r, _, _, _ = _relationships(spark, sf)
+    return gr.explain_relationships(r, "kidney").select("patient_id", "relation", "phrase", "confidence")
+
+
+# -- reports -----------------------------------------------------------------------------------
+
+@register("patient_digest", o.with_(o.HE, """w AS (SELECT *, concat(label, CASE WHEN coalesce(value, '') <> '' THEN concat(' ', value, CASE WHEN coalesce(unit, '') <> '' THEN concat(' ', unit) ELSE '' END) ELSE '' END) AS vt FROM he),
+mm AS (SELECT *, min(seq) OVER (PARTITION BY patient_id, label) AS fs, row_number() OVER (PARTITION BY patient_id, label ORDER BY observed_at DESC, seq DESC) AS rk FROM w WHERE kind IN ('lab', 'vital'))""")
+          + """SELECT patient_id, 'Active conditions' AS section, min(seq) AS seq, label AS text FROM w WHERE kind = 'condition' AND status <> 'resolved' GROUP BY patient_id, label
+ UNION ALL SELECT patient_id, 'Current medications', min(seq), vt FROM w WHERE kind = 'medication' AND status <> 'resolved' GROUP BY patient_id, vt
+ UNION ALL (SELECT patient_id, 'Recent labs & vitals', fs, concat(vt, ' (', strftime(observed_at, '%b %Y'), ')') FROM mm WHERE rk = 1 QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY fs DESC) <= 14)
+ UNION ALL (SELECT patient_id, 'Reported symptoms', min(seq), label FROM w WHERE kind = 'symptom' GROUP BY patient_id, label QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY min(seq)) <= 10)""")
+def patient_digest(spark, sf):
+    return rp.patient_digest(health_events(spark, sf))
+
+
+SPEC = "spec(specialty, stitle, kw) AS " + o.values((s, t, s.split("_")[0]) for s, t in rp.SPECIALTY_TITLES)
+
+
+def _dl(items: str, n: str) -> str:
+    return f"concat(array_to_string({items}[1:4], ', '), CASE WHEN {n} > 4 THEN concat(', and ', {n} - 4, ' more') ELSE '' END)"
+
+
+def _top(src: str, text: str, n: int, order: str = "observed_at DESC, seq", keys: str = "patient_id") -> str:
+    return f"SELECT {keys}, list(t ORDER BY r) AS l, any_value(n) AS n FROM (SELECT {keys}, {text} AS t, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}) WHERE r <= {n} GROUP BY ALL"
+
+
+REPORT = f"""{SPEC},
+wt AS (SELECT t.*, concat(label, ' ', {o.num('first_value')}, '→', {o.num('last_value')}, CASE WHEN coalesce(unit, '') <> '' THEN concat(' ', unit) ELSE '' END) AS tx,
+   concat(label, ' trending unfavorably (', {o.num('first_value')}, '→', {o.num('last_value')}, ')') AS cx FROM trends t WHERE worsening),
+ab AS (SELECT patient_id, observed_at, seq, canonical, concat(canonical, ' ', coalesce(value, '')) AS tx, concat(canonical, ' out of range (', coalesce(value, ''), ')') AS cx FROM (SELECT *, {o.FLAG} AS flag FROM hg WHERE kind IN ('lab', 'vital') AND concept_kind = 'lab')
+   WHERE flag IN ('high', 'low') AND (cdirection = 'two_sided' OR (cdirection = 'higher_worse' AND flag = 'high') OR (cdirection = 'lower_worse' AND flag = 'low'))),
+quiet AS (SELECT patient_id, cx, max(observed_at) AS observed_at, arg_max(seq, (observed_at, -seq)) AS seq FROM ab WHERE NOT EXISTS (SELECT 1 FROM wt WHERE wt.patient_id = ab.patient_id AND wt.label = ab.canonical) GROUP BY 1, 2),
+sym AS (SELECT patient_id, canonical, max(observed_at) AS observed_at, arg_max(seq, (observed_at, -seq)) AS seq FROM hg WHERE kind = 'symptom' GROUP BY 1, 2),
+barl AS (SELECT patient_id, label, max(observed_at) AS observed_at, arg_max(seq, (observed_at, -seq)) AS seq FROM hg WHERE kind = 'barrier' GROUP BY 1, 2),
+relc AS (SELECT h.patient_id, s.specialty, h.canonical, h.observed_at, h.seq FROM hg h JOIN spec s ON list_contains(h.specialties, s.specialty) WHERE h.kind = 'condition' AND s.specialty IN ('cardiology', 'nephrology', 'endocrinology')),
+sa AS (SELECT a.*, s.specialty AS sp FROM alerts a JOIN spec s ON s.specialty = 'primary_care' OR contains(lower(a.specialty), s.kw)),
+sq AS (SELECT patient_id, sp, q, min(o) AS o FROM (SELECT patient_id, sp, unnest(string_split(questions, '; ')) AS q, (severity_rank, family, k1, coalesce(k2, -1), rule_no, generate_subscripts(string_split(questions, '; '), 1)) AS o FROM sa) GROUP BY 1, 2, 3),
+p1 AS ({_top("(SELECT * FROM hg WHERE kind = 'condition')", 'canonical', 4)}), p2 AS ({_top("(SELECT * FROM hg WHERE kind = 'medication')", 'canonical', 4)}),
+p3 AS ({_top('wt', 'tx', 5, 'last_observed_at DESC, series_key')}), p3c AS ({_top('wt', 'cx', 5, 'last_observed_at DESC, series_key')}), p4 AS ({_top('ab', 'tx', 4)}), p4c AS ({_top('quiet', 'cx', 5)}),
+p5 AS ({_top('sym', 'canonical', 4)}), p6 AS ({_top("(SELECT * FROM hg WHERE kind = 'barrier')", 'label', 4)}), p6c AS ({_top('barl', 'label', 5)}),
+p7 AS ({_top('relc', 'canonical', 4, keys='patient_id, specialty')}), p8 AS ({_top('sa', 'title', 5, 'severity_rank, family, k1, k2 NULLS FIRST, rule_no', 'patient_id, sp')}), p9 AS ({_top('sq', 'q', 5, 'o', 'patient_id, sp')}),
+rep AS (SELECT u.patient_id, s.specialty, concat(s.stitle, ' Visit Brief — Patient ', u.patient_id) AS title,
+  array_to_string(list_filter([
+    CASE WHEN p1.n > 0 THEN concat('Patient ', u.patient_id, ' has a history of ', {_dl('p1.l', 'p1.n')}, '.') ELSE concat('Patient ', u.patient_id, '''s record does not list established diagnoses yet.') END,
+    CASE WHEN p2.n > 0 THEN concat('Current medications include ', {_dl('p2.l', 'p2.n')}, '.') END,
+    CASE WHEN p3.n > 0 THEN concat('Worsening trends: ', {_dl('p3.l', 'p3.n')}, '.') WHEN p4.n > 0 THEN concat('Out-of-range results: ', {_dl('p4.l', 'p4.n')}, '.') END,
+    CASE WHEN p5.n > 0 THEN concat('Reported symptoms: ', {_dl('p5.l', 'p5.n')}, '.') END,
+    CASE WHEN p6.n > 0 THEN concat('Care barriers noted: ', {_dl('p6.l', 'p6.n')}, '.') END,
+    CASE WHEN s.specialty <> 'primary_care' AND p7.n > 0 THEN concat('Most relevant to ', lower(s.stitle), ': ', {_dl('p7.l', 'p7.n')}, '.') END], lambda x: x IS NOT NULL), ' ') AS summary,
+  list_concat(list_concat(list_concat(coalesce(p8.l, []), coalesce(p3c.l, [])), coalesce(p4c.l, [])), list_transform(coalesce(p6c.l, []), lambda b: concat('Care barrier: ', b)))[1:5] AS concerns,
+  coalesce(p9.l, [concat('What should I prioritize for ', coalesce(CASE WHEN s.specialty = 'primary_care' THEN p1.l[1] ELSE p7.l[1] END, 'my overall health'), ' before the next visit?'), 'Are any of my medications interacting or unnecessary?',
+    'Which symptoms should prompt urgent attention?', concat('What follow-up or tests do you recommend from a ', lower(s.stitle), ' perspective?')]) AS questions
+  FROM (SELECT DISTINCT patient_id FROM he) u CROSS JOIN spec s LEFT JOIN p1 USING (patient_id) LEFT JOIN p2 USING (patient_id) LEFT JOIN p3 USING (patient_id) LEFT JOIN p3c USING (patient_id) LEFT JOIN p4 USING (patient_id)
+  LEFT JOIN p4c USING (patient_id) LEFT JOIN p5 USING (patient_id) LEFT JOIN p6 USING (patient_id) LEFT JOIN p6c USING (patient_id) LEFT JOIN p7 ON p7.patient_id = u.patient_id AND p7.specialty = s.specialty
+  LEFT JOIN p8 ON p8.patient_id = u.patient_id AND p8.sp = s.specialty LEFT JOIN p9 ON p9.patient_id = u.patient_id AND p9.sp = s.specialty)"""
+
+
+def _briefs(spark, sf):
+    a, e = _alerts(spark, sf)
+    patients = e.select("patient_id").distinct().withColumn("name", F.concat(F.lit("Patient "), F.col("patient_id").cast("string")))
+    return rp.report_briefs(patients, e, cut_lineage(a), grounded=cut_lineage(ground(e))), e
+
+
+@register("specialty_report", o.with_(o.GROUND, o.TRENDS, o.ALERTS, REPORT) + """SELECT patient_id, specialty, title, summary, array_to_string(concerns, '; ') AS top_concerns, array_to_string(questions, '; ') AS questions FROM rep""")
+def specialty_report(spark, sf):
+    b, _ = _briefs(spark, sf)
+    return b.withColumns({"top_concerns": joined("top_concerns"), "questions": joined("questions")})
+
+
+@register("report_timeline", o.with_(o.GROUND, SPEC) + f"""SELECT patient_id, specialty, rank, event_id, label FROM (SELECT h.patient_id, s.specialty, h.event_id, h.label, row_number() OVER (PARTITION BY h.patient_id, s.specialty ORDER BY observed_at DESC, seq) AS rank
+  FROM hg h JOIN spec s ON CASE s.specialty WHEN 'primary_care' THEN h.kind <> 'note' WHEN 'pharmacy' THEN h.concept_kind IN ('medication', 'lab') OR h.kind = 'barrier' ELSE coalesce(list_contains(h.specialties, s.specialty), FALSE) OR h.kind = 'barrier' END) WHERE rank <= 10""")
+def report_timeline(spark, sf):
+    return rp.report_timeline(ground(health_events(spark, sf))).select("patient_id", "specialty", "rank", "event_id", "label")
+
+
+@register("report_lists", o.with_(o.HE, o.SOURCES) + """SELECT patient_id, CASE kind WHEN 'medication' THEN 2 ELSE 4 END AS section_no, CASE kind WHEN 'barrier' THEN 1 WHEN 'care_task' THEN 2 ELSE 0 END AS part, seq,
+   concat('- ', label, CASE WHEN coalesce(value, '') <> '' THEN concat(': ', value) ELSE '' END) AS text FROM he WHERE kind IN ('medication', 'symptom', 'barrier', 'care_task')
+ UNION ALL (SELECT patient_id, 3, 0, seq, concat('- ', label, ': ', coalesce(value, ''), CASE WHEN coalesce(unit, '') <> '' THEN concat(' ', unit) ELSE '' END, ' (', month(observed_at), '/', day(observed_at), '/', year(observed_at), ')') FROM he WHERE kind IN ('lab', 'vital')
+   QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY observed_at DESC, seq) <= 12)
+ UNION ALL SELECT patient_id, 6, 0, NULL, concat('- ', title, ' (', source_type, ')') FROM sources""")
+def report_lists(spark, sf):
+    e, s = _events_sources(spark, sf)
+    return rp.report_lists(e, s).drop("observed_at")
+
+
+@register("recent_events", o.with_(o.HE) + "SELECT patient_id, event_id, label FROM he QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY observed_at DESC, seq) <= 5")
+def recent_events(spark, sf):
+    from pyspark.sql import Window as W
+    w = W.partitionBy("patient_id").orderBy(*rp.newest())
+    e = health_events(spark, sf).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 5)
+    return e.select("patient_id", "event_id", "label")
+
+
+# -- proposals ---------------------------------------------------------------------------------
+
+@register("extracted_facts", o.with_(o.GROUND, """x0 AS (SELECT DISTINCT kind, label, CASE WHEN a.aid IS NOT NULL THEN a.aid END AS cid0, l.txt FROM lab0 l LEFT JOIN aliases a ON a.akey = l.txt),
+x1 AS (SELECT x0.kind, x0.label, coalesce(x0.cid0, arg_min(p.pid, p.prio)) AS cid, any_value(x0.txt) AS txt FROM x0 LEFT JOIN phrases p ON strpos(x0.txt, p.pkey) > 0 AND (strpos(x0.txt, p.pkey) = 1 OR NOT regexp_matches(substr(x0.txt, strpos(x0.txt, p.pkey) - 1, 1), '[a-z0-9]'))
+   AND NOT regexp_matches(substr(x0.txt, strpos(x0.txt, p.pkey) + length(p.pkey), 1), '[a-z0-9]') GROUP BY x0.kind, x0.label, x0.cid0),
+x2 AS (SELECT x1.kind, x1.label, coalesce(c.ccanonical, """ + o.title("x1.txt") + """) AS norm FROM x1 LEFT JOIN concepts c ON c.concept_id = x1.cid),
+x3 AS (SELECT x2.*, c.concept_id IS NOT NULL AS known, c.coding FROM x2 LEFT JOIN concepts c ON c.ccanonical = x2.norm AND (x2.kind NOT IN ('condition', 'medication', 'symptom', 'lab', 'vital') OR c.ckind = CASE x2.kind WHEN 'vital' THEN 'lab' ELSE x2.kind END)),
+x4 AS (SELECT he.patient_id, he.source_id, he.seq, x3.*, least(1.0::DOUBLE, (he.seq % 130) / 100.0::DOUBLE) AS ai FROM he JOIN x3 USING (kind, label)),
+x5 AS (SELECT *, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, greatest(0.5::DOUBLE, least(0.88::DOUBLE, ai * 0.92::DOUBLE)) + CASE WHEN known THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + 0.0::DOUBLE + CASE WHEN coding IS NOT NULL THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END
+   - CASE WHEN NOT known THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS confidence FROM x4)""")
+          + """SELECT patient_id, source_id, seq, kind, norm AS label, CASE WHEN seq % 5 = 0 THEN 'graph' ELSE 'evidence_only' END AS relevance, 'active' AS status, ai AS ai_score, confidence,
+ CASE WHEN confidence < 0.75 THEN 'needs_review' ELSE 'accepted' END AS review_status FROM x5 WHERE confidence >= 0.45""")
+def extracted_facts(spark, sf):
+    """Fenced JSON answers built from the events, loaded, scored, validated and projected to events."""
+    e = health_events(spark, sf)
+    score = F.format_string("%.2f", (F.col("seq") % 130) / 100.0)
+    raw = F.concat(F.lit('```json\n{"facts":[{"kind":"'), "kind", F.lit('","label":"'), "label", F.lit('","confidence":'), score,
+                   F.when(F.col("seq") % 5 == 0, ',"relevance":"graph"').otherwise(""),
+                   F.lit('},{"kind":"mood","label":"skipped"},{"kind":"lab","label":""}]}\n```'))
+    p = e.select("patient_id", F.concat_ws("#", "source_id", F.col("seq").cast("string")).alias("source_id"), "source_type", raw.alias("raw"))
+    out = ex.accepted_events(ex.extracted_candidates(p, F.lit("2024-02-01").cast("timestamp")))
+    parts = F.split("source_id", "#")
+    return out.select("patient_id", F.get(parts, F.lit(0)).alias("source_id"), F.get(parts, F.lit(1)).cast("bigint").alias("seq"), "kind", "label",
+                      "relevance", "status", "ai_score", "confidence", "review_status")

@@ -123,7 +123,10 @@ def conversation_context(messages: DataFrame) -> DataFrame:
                         lambda x: x.isNotNull())
 
     lists = base.select("conv_id", "message_count", "prefix", *[fired(g).alias(g) for g in CONTEXT_RULES])
-    topics = F.concat(*[F.transform(g, lambda x, p=TOPIC_PREFIX[g]: F.concat(F.lit(p), x)) for g in CONTEXT_RULES])
+    def tagged(group: str) -> Column:
+        return F.transform(group, lambda x: F.concat(F.lit(TOPIC_PREFIX[group]), x))
+
+    topics = F.concat(*[tagged(g) for g in CONTEXT_RULES])
     concern = F.coalesce(F.get("symptoms", F.lit(0)), F.get("barriers", F.lit(0)),
                          F.nullif(js_trim(F.substring("prefix", 1, CONCERN_LENGTH)), F.lit("")), F.lit(NO_CONCERN))
     return lists.select("conv_id", F.lit(TITLE).alias("title"), F.coalesce(F.nullif(js_trim(F.col("prefix")), F.lit("")), F.lit(NO_SUMMARY)).alias("summary"),
