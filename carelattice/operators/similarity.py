@@ -57,8 +57,9 @@ def similar_pairs(labels: DataFrame, threshold: float) -> DataFrame:
         n = _equal_only(threshold)
         equal = feats.filter((F.size("_t") > 0) & (F.size("_t") <= n)).select(
             *keys, F.concat(F.lit("t="), F.array_join(F.array_sort("_t"), "\u0001")).alias("_sig"))
-        large = _ordered(feats.filter(F.size("_t") > n), "_t", keys).select(
-            *keys, F.explode(_signatures(F.col("_t"), threshold, 2, "t")).alias("_sig"))
+        # long labels are few: plain order is selective enough and needs no frequency pass
+        large = feats.filter(F.size("_t") > n).select(
+            *keys, F.explode(_signatures(F.array_sort("_t"), threshold, 2, "t")).alias("_sig"))
         sig = grams.union(equal).union(large)
     else:
         sig = grams.union(_ordered(feats, "_t", keys).select(
