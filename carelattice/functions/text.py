@@ -46,11 +46,8 @@ def fix_acronyms(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Tokens of the lexical index: duplicates kept, stop words and one-letter tokens dropped."""
-    piece = "[A-Za-z0-9_.%/-]"
-    cleaned = F.regexp_replace(F.lower(c), "[^A-Za-z0-9_.%/-]", " ")
-    # whole tokens to drop are blanked before the split: plain string functions, no per-token lambda
-    dropped = F.regexp_replace(cleaned, f"(?<!{piece})(?:{piece}|{'|'.join(STOP_WORDS)})(?!{piece})", " ")
-    return F.array_remove(F.split(dropped, " +"), "")
+    return F.filter(F.split(F.lower(c), "[^A-Za-z0-9_.%/-]+"),
+                    lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def word_tokens(c: Column) -> Column:
@@ -59,17 +56,24 @@ def word_tokens(c: Column) -> Column:
     return F.filter(F.split(cleaned, f"[{JS_SPACE}]+"), lambda t: F.length(t) > 1)
 
 
+def let(x: Column, body) -> Column:
+    """Evaluate ``x`` once and use it several times inside ``body``."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def bigrams(c: Column) -> Column:
-    clean = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    n = F.length(clean)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: clean.substr(i, F.lit(2)))) \
-            .otherwise(F.array().cast("array<string>"))
+    def grams(clean: Column) -> Column:
+        n = F.length(clean)
+        return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: clean.substr(i, F.lit(2)))) \
+                .otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), grams)
 
 
 def multiset(grams: Column) -> Column:
     """Tag repeats (``ab#1``, ``ab#2``) so that multiset overlap becomes set overlap."""
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")))
+    return let(grams, lambda all_: F.transform(all_, lambda g, i: F.concat(
+        g, F.lit("#"), F.size(F.filter(F.slice(all_, 1, i + 1), lambda h: h == g)).cast("string"))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carelattice.functions.text import js_round, search_tokens
+from carelattice.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 LEXICAL_K, VECTOR_K, VECTOR_FLOOR, RRF_K = 8, 8, 0.25, 60
@@ -22,6 +23,7 @@ ALERT_K, ALERT_BOOST, SNIPPET_LENGTH = 6, 2.0, 240
 EMBED_TEXT_LENGTH, EMBED_BATCH = 1800, 25
 # --- end of fixed values ----------------------------------------------------
 
+_MARKER = "\u0000"  # cannot occur in a token
 QUERY_SLICE = 512  # query vectors held by a task at once; more are processed in further slices
 
 
@@ -110,12 +112,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEXICAL_K, scope: list[st
     counts again.  Ties go to the smaller doc_id.
     """
     scope = scope or []
+    q = cut_lineage(queries.select(*scope, "query_id", F.explode(search_tokens(F.col("query_text"))).alias("term"))
+                    .groupBy(*scope, "query_id", "term").agg(F.count(F.lit(1)).alias("q_tf")))
+    # one pass over the texts: every document adds a marker posting, so document count and mean
+    # length come from the same stored rows as the postings of the query terms
     tok = tokenized(docs, scope)
-    q = queries.select(*scope, "query_id", F.explode(search_tokens(F.col("query_text"))).alias("term")) \
-               .groupBy(*scope, "query_id", "term").agg(F.count(F.lit(1)).alias("q_tf"))
-    posts = postings(tok, scope, q.select(*scope, "term").distinct())
+    marked = tok.select(*scope, "doc_id", "doc_len", F.array_append("tokens", F.lit(_MARKER)).alias("tokens"))
+    wanted = q.select(*scope, "term").union(q.select(*scope, F.lit(_MARKER).alias("term"))).distinct()
+    stored = cut_lineage(postings(marked, scope, wanted))
+    posts = stored.filter(F.col("term") != _MARKER)
     freq = document_frequency(posts, scope)
-    sizes = tok.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
+    sizes = stored.filter(F.col("term") == _MARKER).groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
     p = posts.join(freq, [*scope, "term"])
     if scope:
         p = p.join(sizes, scope)

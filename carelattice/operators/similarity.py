@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelattice.functions.text import bigrams, multiset, similarity, word_tokens
+from carelattice.session import cut_lineage
 
 
 def _ordered(df: DataFrame, elements: str, keys: list[str]) -> DataFrame:
@@ -49,8 +50,9 @@ def similar_pairs(labels: DataFrame, threshold: float) -> DataFrame:
     dice_share = threshold / (2 - threshold)
     width = 2 if math.ceil(2 * dice_share - 1e-9) >= 2 else 1
     keys = ["block", "label", "left", "right"]
-    feats = labels.select(*keys, multiset(bigrams(F.col("label"))).alias("_g"),
-                          F.array_distinct(word_tokens(F.col("label"))).alias("_t"))
+    # features are computed once per distinct label and stored: several branches read them
+    feats = cut_lineage(labels.select(*keys, multiset(bigrams(F.col("label"))).alias("_g"),
+                                      F.array_distinct(word_tokens(F.col("label"))).alias("_t")))
     grams = _ordered(feats, "_g", keys).select(*keys, F.explode(_signatures(F.col("_g"), dice_share, width, "g")).alias("_sig"))
     if width == 2:
         # sets of at most n tokens reach the threshold only when equal, larger ones by prefix pairs
