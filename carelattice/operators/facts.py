@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carelattice.functions.text import is_blank, js_trim, stable_id
 from carelattice.functions.values import CONFIDENCE_REJECT, confidence, lab_flag, review_status
 from carelattice.lexicon import Lexicon
-from carelattice.operators.grounding import ground
+from carelattice.operators.grounding import CONCEPT_COLUMNS, ground
 
 # --- fixed values -----------------------------------------------------------
 GRAPH_KINDS = ("condition", "symptom", "medication", "lab", "vital", "care_task", "barrier")
@@ -167,7 +167,11 @@ def clinical_facts(events: DataFrame, sources: DataFrame | None = None, recorded
     """The whole cascade.  Source counts are taken before deduplication (removing copies of
     a fact never removes a source), so that branch reads only the label columns."""
     accepted = validate(candidate_facts(events, sources, lex)).filter("accepted")
-    facts = first_wins(accepted, fact_fingerprint())
+    # the concept's attributes stay behind while facts are shuffled and return by a constant-size join
+    lex = lex or Lexicon.default()
+    narrow = first_wins(accepted.drop(*CONCEPT_COLUMNS, "accepted"), fact_fingerprint())
+    attributes = lex.concept_table(events.sparkSession).select("concept_id", *CONCEPT_COLUMNS)
+    facts = narrow.join(attributes, "concept_id", "left")
     facts = with_validity(facts, recorded_at if recorded_at is not None else F.lit(None).cast("timestamp"))
     if chunks is not None:
         facts = attach_first_chunk(facts, chunks)

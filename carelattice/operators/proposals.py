@@ -1,12 +1,13 @@
 """Proposals from an external reasoner (edges, alerts, trends, citations), checked against the record.
 
 Free-text labels are matched by exact equi-join first; the containment fallback runs only on
-labels that found nothing, through shared word tokens.
+labels that found nothing, through shared short pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carelattice.lexicon import REPORT_SPECIALTIES, Lexicon
@@ -19,19 +20,24 @@ PROPOSED_CONFIDENCE, EXTRA_ALERTS = 0.7, 2
 # --- end of fixed values ----------------------------------------------------
 
 
-def _grams(c: Column) -> Column:
-    """Character trigrams; shorter texts stand for themselves."""
+def _pieces(c: Column) -> Column:
+    """All substrings of one to three characters."""
     n = F.length(c)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: c.substr(i, F.lit(3))))) \
-            .otherwise(F.array(c))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(
+        c.substr(i, F.lit(1)), c.substr(i, F.lit(2)), c.substr(i, F.lit(3))))))
+
+
+def _key(c: Column) -> Column:
+    """First three characters: a text containing ``c`` has them among its pieces."""
+    return F.substring(c, 1, 3)
 
 
 def fuzzy_lookup(labels: DataFrame, targets: DataFrame, order: str, exact_first: bool = True) -> DataFrame:
     """Match each (patient_id, label) to the first target of the patient whose text equals, contains or is
     contained in the label.  ``targets`` has patient_id, target_id, text and the ``order`` column.
 
-    Containment of long texts implies a shared trigram, so distinct texts meet through trigram
-    equi-joins; texts under three characters, the only ones without a trigram, are joined by patient.
+    A text that contains another has the other's first characters among its pieces, so distinct
+    texts meet through equi-joins on (patient, piece) and are then checked.
     """
     ask = labels.select("patient_id", F.lower("label").alias("q"), F.col("label").alias("raw")).distinct()
     t = targets.groupBy("patient_id", F.lower("text").alias("t")).agg(
@@ -39,15 +45,12 @@ def fuzzy_lookup(labels: DataFrame, targets: DataFrame, order: str, exact_first:
     exact = ask.join(t.withColumnRenamed("t", "q"), ["patient_id", "q"]).select("patient_id", "raw", "target_id", "_o",
                                                                                   F.lit(0).alias("_p"))
     rest = ask.join(exact.select("patient_id", "raw"), ["patient_id", "raw"], "left_anti") if exact_first else ask
-    a = rest.filter(F.length("q") >= 3).select("patient_id", "raw", "q", F.explode(_grams(F.col("q"))).alias("g"))
-    b = t.filter(F.length("t") >= 3).select("patient_id", "t", "target_id", "_o", F.explode(_grams(F.col("t"))).alias("g"))
     cols = ["patient_id", "raw", "q", "t", "target_id", "_o"]
-    long = a.join(b, ["patient_id", "g"]).select(*cols).distinct()
-    # a text of at most two characters has no trigram: at most some thousands of distinct ones exist
-    short_t = rest.join(t.filter(F.length("t") < 3), "patient_id").select(*cols)
-    short_q = rest.filter(F.length("q") < 3).join(t.filter(F.length("t") >= 3), "patient_id").select(*cols)
-    near = long.unionByName(short_t).unionByName(short_q).filter(
-        F.contains(F.col("t"), F.col("q")) | F.contains(F.col("q"), F.col("t")))
+    inside_target = rest.withColumn("g", _key(F.col("q"))).join(
+        t.select("*", F.explode(_pieces(F.col("t"))).alias("g")), ["patient_id", "g"]).filter(F.contains(F.col("t"), F.col("q")))
+    inside_label = rest.select("*", F.explode(_pieces(F.col("q"))).alias("g")).join(
+        t.withColumn("g", _key(F.col("t"))), ["patient_id", "g"]).filter(F.contains(F.col("q"), F.col("t")))
+    near = inside_target.select(*cols).unionByName(inside_label.select(*cols)).filter((F.col("q") != "") & (F.col("t") != ""))
     every = exact.unionByName(near.select("patient_id", "raw", "target_id", "_o", F.lit(1).alias("_p")))
     rank = F.struct("_p", "_o") if exact_first else F.struct("_o")
     return every.groupBy("patient_id", F.col("raw").alias("label")).agg(F.min_by("target_id", rank).alias("target_id"))
@@ -89,7 +92,9 @@ def proposed_edge_evidence(edges: DataFrame, node_events: DataFrame, events: Dat
     asks = bare.select("patient_id", "edge_id", F.explode(F.array(F.lower("from_label"), F.lower("to_label"))).alias("q"))
     text = events.select("patient_id", "event_id", F.lower("label").alias("l"))
     labels = text.select("patient_id", "l").distinct()
-    hits = asks.join(labels, "patient_id").filter(F.contains(F.col("l"), F.col("q")))
+    hits = asks.withColumn("g", _key(F.col("q"))).join(
+        labels.select("*", F.explode(_pieces(F.col("l"))).alias("g")), ["patient_id", "g"]).filter(
+        F.contains(F.col("l"), F.col("q")) & (F.col("q") != "")).drop("g").distinct()
     loose = hits.join(text, ["patient_id", "l"]).select("patient_id", "edge_id", "event_id").distinct()
     return direct.unionByName(loose)
 
@@ -100,7 +105,6 @@ def extra_alerts(proposals: DataFrame, existing: DataFrame, events: DataFrame) -
     titles = existing.select("patient_id", F.lower("title").alias("_t")).distinct()
     p = proposals.filter(F.coalesce(F.col("title"), F.lit("")) != "").withColumn("_t", F.lower("title"))
     p = p.join(titles, ["patient_id", "_t"], "left_anti")
-    from pyspark.sql import Window as W
     w = W.partitionBy("patient_id").orderBy("pos")
     p = p.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= EXTRA_ALERTS)
     asks = p.select("patient_id", "pos", F.explode("evidence_labels").alias("label"))
