@@ -186,7 +186,7 @@ _TABLES: dict[tuple, DataFrame] = {}
 def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A constant dimension table.  Built through Arrow so Catalyst sees a local
     relation of exactly known size and picks the broadcast itself."""
-    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), repr(rows), schema.to_string())
+    key = (spark.sparkContext.applicationId, repr(rows), schema.to_string())
     if key not in _TABLES:
         _TABLES[key] = _local_table(spark, rows, schema)
     return _TABLES[key]

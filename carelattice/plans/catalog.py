@@ -25,8 +25,10 @@ from carelattice.plans.activity import health_events, health_sources
 from carelattice.session import cut_lineage
 from carelattice.sources import chunks as ch
 from carelattice.sources import conversations as cv
+from carelattice.sources import emr as em
 from carelattice.sources import extracted as ex
 from carelattice.sources import notes as nt
+from carelattice.sources import tables as tb
 from carelattice.sources import transcripts as ts_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -852,3 +854,216 @@ def extracted_facts(spark, sf):
     parts = F.split("source_id", "#")
     return out.select("patient_id", F.get(parts, F.lit(0)).alias("source_id"), F.get(parts, F.lit(1)).cast("bigint").alias("seq"), "kind", "label",
                       "relevance", "status", "ai_score", "confidence", "review_status")
+
+
+# -- stores, loads and projections -------------------------------------------------------------
+
+@register("timeline", o.with_(o.HE, o.SOURCES) + "SELECT h.patient_id, h.event_id, h.label, s.title AS source_title, " + o.ts("h.observed_at")
+          + " AS observed_at, row_number() OVER (ORDER BY observed_at DESC, seq) AS place FROM he h LEFT JOIN sources s USING (patient_id, source_id)")
+def timeline(spark, sf):
+    """All events newest first; the place comes from one range-partitioned sort, numbered per partition."""
+    e, s = _events_sources(spark, sf)
+    rows = e.join(s.select("patient_id", "source_id", F.col("title").alias("source_title")), ["patient_id", "source_id"], "left")
+    ordered = cut_lineage(rows.repartitionByRange(*rp.newest()).withColumn("part", F.spark_partition_id()))
+    from pyspark.sql import Window as W
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
+    w = W.partitionBy("part").orderBy(*rp.newest())
+    placed = ordered.withColumn("r", F.row_number().over(w)).join(before, "part")
+    return placed.select("patient_id", "event_id", "label", "source_title", at("observed_at").alias("observed_at"),
+                         (F.coalesce("before", F.lit(0)) + F.col("r")).alias("place"))
+
+
+@register("keep_last", o.with_(o.HE) + "SELECT patient_id, kind, label, event_id, value FROM he QUALIFY row_number() OVER (PARTITION BY patient_id, kind, lower(label) ORDER BY seq DESC) = 1")
+def keep_last(spark, sf):
+    return tb.keep_last(health_events(spark, sf), ["patient_id", "kind", F.lower("label")], "seq").select(
+        "patient_id", "kind", "label", "event_id", "value")
+
+
+@register("referential_filters", o.with_(o.HE, o.SOURCES) + """SELECT h.patient_id AS user_id, h.event_id, CASE WHEN s.source_type = 'voice' THEN h.source_id END AS chunk_id FROM he h JOIN sources s USING (patient_id, source_id) WHERE s.source_type <> 'emr'""")
+def referential_filters(spark, sf):
+    """Rows of stored sources only; references to chunks that do not exist are cleared."""
+    e, s = _events_sources(spark, sf)
+    s = s.withColumnRenamed("patient_id", "user_id")
+    known = s.filter(F.col("source_type") != "emr").select("user_id", F.col("source_id").alias("id"))
+    parts = s.filter(F.col("source_type") == "voice").select("user_id", F.col("source_id").alias("id"))
+    rows = e.select(F.col("patient_id").alias("user_id"), "event_id", "source_id", F.col("source_id").alias("chunk_id"))
+    return tb.clear_dangling_chunks(tb.with_existing_source(rows, known), parts).select("user_id", "event_id", "chunk_id")
+
+
+@register("events_from_facts", o.with_(o.GROUND, o.FACTS) + "SELECT patient_id, event_id, kind, canonical AS label, value, unit, status, confidence, relevance, review_status, quote AS evidence_quote FROM facts")
+def events_from_facts(spark, sf):
+    return fx.events_from_facts(_resolved(spark, sf)[0]).select(
+        "patient_id", "event_id", "kind", "label", "value", "unit", "status", "confidence", "relevance", "review_status",
+        "evidence_quote")
+
+
+@register("relationship_reviews", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, recursive=True)
+          + "SELECT patient_id, 'relationship' AS target_type, concat(from_key, '|', to_key, '|', relation) AS target_id, 'open' AS status FROM rels WHERE review_status = 'needs_review'")
+def relationship_reviews(spark, sf):
+    return rel.review_rows(_relationships(spark, sf)[0]).drop("reason")
+
+
+@register("emr_flatten", o.with_(o.HE) + """SELECT patient_id, seq, kind, label, CASE WHEN kind IN ('lab', 'vital') AND TRY_CAST(value AS DOUBLE) IS NOT NULL THEN regexp_replace(value, '\\.0$', '') ELSE value END AS value,
+  kind IN ('lab', 'vital') AND TRY_CAST(value AS DOUBLE) IS NOT NULL AS value_is_num, CASE WHEN kind IN ('lab', 'vital') THEN unit END AS unit, CASE WHEN kind = 'care_task' THEN 'unknown' ELSE status END AS status
+  FROM he WHERE kind IN ('condition', 'medication', 'lab', 'vital', 'care_task')""")
+def emr_flatten(spark, sf):
+    """One small EMR record per event, flattened back to events."""
+    e = health_events(spark, sf)
+    day = F.date_format("observed_at", "yyyy-MM-dd")
+    none = F.lit(None).cast("string")
+    number = F.col("value").try_cast("double").isNotNull()
+    union = F.parse_json(F.when(number, F.col("value")).otherwise(F.concat(F.lit('"'), "value", F.lit('"'))))
+    reading = F.array(F.struct("label", union.alias("value"), "unit", day.alias("date")))
+
+    def only(kind: str, rows: Column) -> Column:
+        return F.when(F.col("kind") == kind, rows)
+
+    records = e.select(
+        "patient_id", F.concat(F.col("seq").cast("string"), F.lit(".json")).alias("file_name"), F.col("seq").alias("n"),
+        only("condition", F.array(F.struct("label", "status", day.alias("onset")))).alias("conditions"),
+        only("medication", F.array(F.struct("label", F.col("value").alias("dose"), "status", day.alias("start")))).alias("medications"),
+        only("lab", reading).alias("labs"), only("vital", reading).alias("vitals"),
+        only("encounter", F.array(F.struct("label", none.alias("clinician"), none.alias("specialty"), day.alias("date")))).alias("encounters"),
+        only("care_task", F.array(F.struct("label", day.alias("due"), none.alias("status")))).alias("careTasks"))
+    flat = em.flatten_emr(records, F.lit("2024-02-01").cast("timestamp"))
+    ids = records.select(em.source_id().alias("source_id"), F.col("n").alias("n"))
+    return flat.drop("seq").join(ids, "source_id").select("patient_id", F.col("n").alias("seq"), "kind", "label", "value", "value_is_num", "unit", "status")
+
+
+@register("parsed_events", o.with_(o.HE) + "SELECT patient_id, seq, kind, label, CASE WHEN seq % 3 = 0 THEN 'resolved' ELSE 'active' END AS status FROM he WHERE seq % 4 <> 0")
+def parsed_events(spark, sf):
+    e = health_events(spark, sf)
+    kind = F.when(F.col("seq") % 4 == 0, "mood").otherwise(F.col("kind"))
+    state = F.when(F.col("seq") % 3 == 0, "resolved").otherwise("odd")
+    raw = F.to_json(F.struct(F.array(F.struct(kind.alias("type"), "label", state.alias("status"))).alias("events")))
+    p = e.select("patient_id", F.col("seq").cast("string").alias("source_id"), raw.alias("raw"))
+    out = ex.parsed_events(p, F.lit("2024-02-01").cast("timestamp"))
+    return out.select("patient_id", F.col("source_id").cast("bigint").alias("seq"), "kind", "label", "status")
+
+
+# -- checked proposals -------------------------------------------------------------------------
+
+def _patients(spark, sf):
+    return health_events(spark, sf).select("patient_id").distinct()
+
+
+# proposals made for every patient: from label, to label, relation
+PROPOSED = [("swelling", "kidney disease", "possibly_related_to"), ("EDEMA", "Chronic kidney disease", "possibly_related_to"),
+            ("egfr", "chronic kidney", "worsening_trend"), ("ibuprofen", "warfarin", "reported"),
+            ("Warfarin", "Metformin", "contraindicated_with"), ("fatigue", "tsh", "possibly_related_to")]
+FIND = """nf AS (SELECT p.patient_id, p.label, n.node_id, n.kind, row_number() OVER (PARTITION BY p.patient_id, p.label ORDER BY CASE WHEN lower(n.label) = lower(p.label) THEN 0 ELSE 1 END, n.node_id) AS r
+  FROM (SELECT DISTINCT patient_id, unnest([fl, tl]) AS label FROM prop) p JOIN nodes n ON n.patient_id = p.patient_id AND (contains(lower(n.label), lower(p.label)) OR contains(lower(p.label), lower(n.label)))),
+fn AS (SELECT * FROM nf WHERE r = 1), okrel(relation, fk, tk) AS """ + o.values(
+    (r, f, t) for r, d, g, _ in Lexicon.default().relation_types
+    for f in (["patient", "condition", "symptom", "medication", "lab", "source"] if "*" in d else d)
+    for t in (["patient", "condition", "symptom", "medication", "lab", "source"] if "*" in g else g))
+
+
+@register("proposed_edges", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, "plist(pos, fl, tl, relation) AS " + o.values(
+    (i, *p) for i, p in enumerate(PROPOSED)), "prop AS (SELECT DISTINCT he.patient_id, plist.* FROM he CROSS JOIN plist)", FIND, recursive=True) + """
+ SELECT p.patient_id, a.node_id AS from_node, b.node_id AS to_node, p.relation, min(p.pos)::INT AS pos FROM prop p JOIN fn a ON a.patient_id = p.patient_id AND a.label = p.fl JOIN fn b ON b.patient_id = p.patient_id AND b.label = p.tl
+ JOIN okrel k ON k.relation = p.relation AND k.fk = a.kind AND k.tk = b.kind WHERE a.node_id <> b.node_id AND NOT EXISTS (SELECT 1 FROM edges x WHERE x.patient_id = p.patient_id AND x.from_node = a.node_id AND x.to_node = b.node_id AND x.relation = p.relation)
+ GROUP BY 1, 2, 3, 4""")
+def proposed_edges(spark, sf):
+    g = _stored_graph(spark, sf)
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(a).alias("from_label"), F.lit(b).alias("to_label"), F.lit(r).alias("relation"),
+                              F.lit(str(i)).alias("reason")) for i, (a, b, r) in enumerate(PROPOSED)])
+    props = _patients(spark, sf).select("patient_id", F.inline(rows))
+    e = pr.proposed_edges(props, g.nodes, g.node_events, g.edges)
+    return e.select("patient_id", "from_node", "to_node", "relation", F.col("rationale").cast("int").alias("pos"))
+
+
+EXTRA = [("Care barrier: missed appointment", "tired"), ("Check iron stores", "FERRITIN level"), ("Ask about sleep", "tired"), ("Kidney follow-up", "ckd")]
+
+
+@register("extra_alerts", o.with_(o.GROUND, o.TRENDS, o.ALERTS, "xl(pos, title, lab) AS " + o.values((i, *p) for i, p in enumerate(EXTRA)), """xp AS (SELECT DISTINCT he.patient_id, xl.* FROM he CROSS JOIN xl),
+xn AS (SELECT * FROM xp WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.patient_id = xp.patient_id AND a.alert_key = lower(xp.title)) QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY pos) <= 2)""")
+          + """SELECT x.patient_id, x.title, arg_min(h.event_id, h.seq) AS event_id FROM xn x JOIN he h ON h.patient_id = x.patient_id AND (contains(lower(h.label), lower(x.lab)) OR contains(lower(x.lab), lower(h.label))) GROUP BY x.patient_id, x.title""")
+def extra_alerts(spark, sf):
+    a, e = _alerts(spark, sf)
+    none = F.lit(None)
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("title"), F.array(F.lit(lab)).alias("evidence_labels")) for i, (t, lab) in enumerate(EXTRA)])
+    props = _patients(spark, sf).select("patient_id", F.inline(rows), F.lit("high").alias("severity"), none.cast("string").alias("time_horizon"),
+                                        none.cast("array<string>").alias("specialty"), F.lit("x").alias("explanation"), none.cast("array<string>").alias("questions"))
+    new, proof = pr.extra_alerts(props, a, e)
+    return new.join(proof, ["patient_id", "pos"]).select("patient_id", "title", "event_id")
+
+
+@register("checked_trends", o.with_(o.HE) + "SELECT patient_id, event_id AS trend_id, label AS metric, 'stable' AS direction, CASE WHEN seq % 2 = 0 THEN 'cardiology' END AS specialty, event_id FROM he WHERE kind = 'lab' AND seq % 3 <> 0")
+def checked_trends(spark, sf):
+    """Trend proposals whose evidence is partly or wholly unknown."""
+    e = health_events(spark, sf)
+    none = F.lit(None).cast("string")
+    real = F.when(F.col("seq") % 3 != 0, F.col("event_id")).otherwise("evt_unknown")
+    props = e.filter(F.col("kind") == "lab").select(
+        "patient_id", F.col("event_id").alias("trend_id"), F.col("label").alias("metric"), none.alias("direction"), none.alias("severity"),
+        F.when(F.col("seq") % 2 == 0, "cardiology").otherwise("astrology").alias("specialty"), none.alias("reason"),
+        F.array(F.lit("evt_none"), real).alias("evidence_event_ids"))
+    t, proof = pr.checked_trends(props, e)
+    return t.join(proof.drop("pos"), ["patient_id", "trend_id"]).select("patient_id", "trend_id", "metric", "direction", "specialty", "event_id")
+
+
+@register("citations", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """ci AS (SELECT patient_id, seq AS pos, CASE WHEN seq % 3 = 0 THEN entity_key END AS node_id, CASE WHEN seq % 3 = 1 THEN event_id END AS event_id, CASE WHEN seq % 5 = 0 THEN ' see chart ' END AS note FROM mem),
+own AS (SELECT patient_id, event_id, min(entity_key) AS k FROM mem GROUP BY 1, 2)""", recursive=True) + """SELECT c.patient_id, c.pos, coalesce(CASE WHEN h.event_id IS NOT NULL THEN concat(h.label, CASE WHEN h.value IS NOT NULL THEN concat(' ', h.value, CASE WHEN coalesce(h.unit, '') <> '' THEN concat(' ', h.unit) ELSE '' END) ELSE '' END, ' · ', strftime(h.observed_at, '%b %Y')) ELSE n.label END, trim(c.note), 'Supporting record') AS label,
+ coalesce(n.kind, h.kind) AS kind, coalesce(n.node_id, own.k) AS node_id, h.event_id, trim(c.note) AS detail
+ FROM ci c LEFT JOIN nodes n ON n.patient_id = c.patient_id AND n.node_id = c.node_id LEFT JOIN he h ON h.patient_id = c.patient_id AND h.event_id = c.event_id LEFT JOIN own ON own.patient_id = c.patient_id AND own.event_id = c.event_id""")
+def citations(spark, sf):
+    g, m = _stored_graph(spark, sf), _graph(spark, sf)[1]
+    k = F.col("seq") % 3
+    c = m.select("patient_id", F.lit(1).alias("answer_id"), F.col("seq").alias("pos"), F.when(k == 0, F.col("entity_key")).alias("node_id"),
+                 F.when(k == 1, F.col("event_id")).alias("event_id"), F.when(F.col("seq") % 5 == 0, " see chart ").alias("note"))
+    return pr.resolve_citations(c, g.nodes, g.node_events, health_events(spark, sf)).drop("answer_id")
+
+
+# -- more search -------------------------------------------------------------------------------
+
+@register("evidence_snippets", o.with_(CORPUS, POSTS, bm25_sql("SELECT item_id AS query_id, text AS query_text FROM benchmark", 6))
+          + "SELECT query_id, rank, d.source AS title, substr(d.text, 1, 240) AS snippet, floor(score * 100 + 0.5) / 100 AS score FROM lexk JOIN documents d USING (doc_id)")
+def evidence_snippets(spark, sf):
+    none = F.lit(None).cast("string")
+    docs = _corpus(spark, sf).select("doc_id", "title", "text", none.alias("event_id"), none.alias("source_id"), none.alias("source_type"))
+    return se.evidence_snippets(docs, _bench_queries(spark, sf), []).select("query_id", "rank", "title", "snippet", "score")
+
+
+@register("embedding_backfill", "SELECT doc_id AS id, length(substr(text, 1, 1800))::DOUBLE AS size FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def embedding_backfill(spark, sf):
+    """Documents without a vector, run through a caller's embedder (here: the text length)."""
+    rows = _corpus(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    out = se.embed_missing(rows, _vectors(spark, sf), lambda texts: [[float(len(t))] for t in texts])
+    return out.select("id", F.get("vector", F.lit(0)).cast("double").alias("size"))
+
+
+@register("vector_upsert", "SELECT e.vec_id AS id, e.vec_id AS seq, round((CASE WHEN n.vec_id IS NOT NULL THEN n.embedding ELSE e.embedding END)[1]::DOUBLE, 6) AS x FROM embeddings e LEFT JOIN embeddings n ON n.vec_id + 1 = e.vec_id AND e.vec_id % 2 = 1")
+def vector_upsert(spark, sf):
+    """Every odd vector is replaced by its predecessor's."""
+    v = _vectors(spark, sf)
+    new = v.filter(F.col("id") % 2 == 0).select((F.col("id") + 1).alias("id"), "vector")
+    new = new.join(v.select("id"), "id", "left_semi")
+    out = se.upsert_vectors(v.select("id", "vector", F.col("id").alias("seq")), new.withColumn("seq", F.col("id") + 1000000000))
+    return out.select("id", "seq", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x"))
+
+
+# -- conversations in the graph ----------------------------------------------------------------
+
+@register("conversation_graph", o.with_(MSG, f"kw(rule, pat, kind, label, value) AS {KW}", "hit AS (SELECT conv_id, rule, label FROM ut JOIN kw ON regexp_matches(low, pat))",
+          """lk AS (SELECT conv_id, rule, CASE rule WHEN 0 THEN 'symptom:fatigue' WHEN 1 THEN 'symptom:edema' WHEN 2 THEN 'symptom:shortness of breath' WHEN 3 THEN 'medication:ibuprofen' WHEN 4 THEN 'condition:care access barrier' ELSE 'condition:medication refill issue' END AS node FROM hit)""")
+          + """SELECT conv_id AS patient_id, 'node_patient' AS from_node, concat('node_ctx_', conv_id) AS to_node, 'reported' AS relation FROM ut
+ UNION ALL SELECT conv_id, concat('node_ctx_', conv_id), concat('node_src_', conv_id), 'mentioned_in' FROM ut UNION ALL SELECT conv_id, concat('node_ctx_', conv_id), node, 'possibly_related_to' FROM lk""")
+def conversation_graph(spark, sf):
+    """Each conversation as a patient of its own: its hub node and the edges of the hub."""
+    msg = cv.valid_messages(_messages(spark, sf))
+    sid = F.col("conv_id").cast("string")
+    ev = cut_lineage(cv.conversation_events(msg).select(
+        F.col("conv_id").alias("patient_id"), "event_id", F.col("rule").cast("bigint").alias("seq"), sid.alias("source_id"),
+        F.lit("voice").alias("source_type"), "kind", "label", "value", F.lit(None).cast("string").alias("unit"),
+        F.lit("2024-02-01").cast("timestamp").alias("observed_at"), "status"))
+    ctx = cv.conversation_context(msg).select(F.col("conv_id").alias("patient_id"), sid.alias("context_id"), sid.alias("source_id"), "title", "chief_concern")
+    src = ctx.select("patient_id", "source_id", F.lit("voice").alias("source_type"), "title")
+    e, m = ent.resolve(cut_lineage(fx.clinical_facts(ev)))
+    e = cut_lineage(e)
+    patients = ctx.select("patient_id", F.concat(F.lit("Patient "), "context_id").alias("name"))
+    links = ev.select("patient_id", F.col("source_id").alias("context_id"), "event_id", "seq")
+    g = gr.build(patients, src, e, m, rel.rule_relationships(e), ctx, links)
+    hub = F.col("from_node").startswith("node_ctx_") | F.col("to_node").startswith("node_ctx_")
+    return g.edges.filter(hub).select("patient_id", "from_node", "to_node", "relation")
