@@ -172,16 +172,6 @@ vc AS (SELECT d.patient_id, d.concept_key, 'divergent-values' AS tag, d.facts, c
 contradictions AS (SELECT * FROM sc UNION ALL SELECT * FROM vc)"""
 
 
-def sid(prefix: str, expr: str) -> str:
-    """31-multiplier hash in base 36 (ASCII input)."""
-    h = (f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length({expr}) + 1), lambda i: "
-         f"unicode(substr({expr}, i, 1))::HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296)")
-    digits = ", ".join(
-        f"CASE WHEN {h} >= {36 ** i} OR {i} = 0 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', (({h} // {36 ** i}) % 36 + 1)::INT, 1) ELSE '' END"
-        for i in range(6, -1, -1))
-    return f"concat('{prefix}_', {digits})"
-
-
 def sid_cte(name: str, base: str, prefix: str, expr: str, out: str) -> str:
     """CTE ``name``: rows of ``base`` plus column ``out`` = stable id of ``expr``."""
     steps = (f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length(_s) + 1), lambda i: "

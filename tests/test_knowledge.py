@@ -7,7 +7,7 @@ from carelattice.lexicon import Lexicon
 from carelattice.operators import contradictions, entities, facts, graph, relationships, reports, risk, trends
 
 
-def pipeline(events, sources=None, own=False):
+def derive(events, sources=None, own=False):
     f = facts.clinical_facts(events, sources).persist()
     e, m = entities.resolve(f, block_by_event_kind=own)
     return f, e.persist(), m.persist()
@@ -96,7 +96,7 @@ def test_provenance_and_chunk(spark, make_events, make_sources):
 
 
 def test_notes_stay_out_of_entities(spark, make_events):
-    f, e, _ = pipeline(make_events(dict(kind="note", label="Patient-reported context", value="parking and portal frustration")))
+    f, e, _ = derive(make_events(dict(kind="note", label="Patient-reported context", value="parking and portal frustration")))
     assert [r.relevance for r in f.collect()] == ["evidence_only"] and e.count() == 0
 
 
@@ -104,7 +104,7 @@ def test_notes_stay_out_of_entities(spark, make_events):
 
 def test_aliases_become_one_entity_with_two_sources(spark, make_events, make_sources):
     ev = make_events(dict(kind="condition", label="CKD", source="src_a"), dict(kind="condition", label="Chronic kidney disease", source="src_b"))
-    _, e, m = pipeline(ev)
+    _, e, m = derive(ev)
     assert labels(e) == ["Chronic kidney disease"]
     assert sorted(r.alias for r in entities.entity_aliases(m).collect()) == ["CKD", "Chronic kidney disease"]
     src = make_sources(("p1", "src_a", "voice", "x"), ("p1", "src_b", "voice", "y"))
@@ -116,7 +116,7 @@ def test_aliases_become_one_entity_with_two_sources(spark, make_events, make_sou
 
 
 def test_brand_and_dose_ground_to_ibuprofen(spark, make_events):
-    _, e, _ = pipeline(make_events(dict(kind="medication", label="Advil"), dict(kind="medication", label="ibuprofen 400mg")))
+    _, e, _ = derive(make_events(dict(kind="medication", label="Advil"), dict(kind="medication", label="ibuprofen 400mg")))
     r = e.collect()
     assert len(r) == 1 and r[0].canonical_label == "Ibuprofen" and "nsaid" in r[0].drug_classes and r[0].coding_system == "RxNorm"
 
@@ -126,7 +126,7 @@ def test_near_duplicate_unknown_labels_merge_per_patient(spark, make_events):
                      dict(kind="condition", label="Fibromyalgia syndromes", patient="a"),
                      dict(kind="condition", label="Fibromyalgia syndromes", patient="b"),
                      dict(kind="condition", label="Type 1 diabetes", patient="a"), dict(kind="condition", label="Type 2 diabetes", patient="a"))
-    _, e, _ = pipeline(ev)
+    _, e, _ = derive(ev)
     by = {p: sorted(r.canonical_label for r in e.collect() if r.patient_id == p) for p in "ab"}
     assert by["a"] == ["Fibromyalgia Syndromes", "Type 1 diabetes", "Type 2 diabetes"]
     assert by["b"] == ["Fibromyalgia Syndromes"]
@@ -144,7 +144,7 @@ def test_patients_do_not_influence_each_other(spark, make_events):
 # -- relationships -----------------------------------------------------------------------------
 
 def rels(events):
-    f, e, m = pipeline(events)
+    f, e, m = derive(events)
     return relationships.relationships(e, trends.trend_summary(f, grounded=True))
 
 
@@ -162,9 +162,9 @@ def test_worsening_edge(spark, make_events):
 
 def test_barrier_keeps_its_kind_on_request(spark, make_events):
     ev = make_events(dict(kind="medication", label="Lisinopril"), dict(kind="barrier", label="Lisinopril refill issue"))
-    _, e, _ = pipeline(ev)
+    _, e, _ = derive(ev)
     assert labels(e) == ["Lisinopril"]
-    _, own, _ = pipeline(ev, own=True)
+    _, own, _ = derive(ev, own=True)
     r = relationships.barrier_relationships(own).collect()
     assert [(x.from_key, x.to_key) for x in r] == [("barrier:lisinopril", "medication:lisinopril")]
 
@@ -180,7 +180,7 @@ def test_relation_schema(spark):
 def test_evidence_path_leaves_unrelated_nodes_out(spark, make_events, make_sources):
     ev = make_events(dict(kind="condition", label="CKD"), dict(kind="medication", label="Ibuprofen"),
                      dict(kind="lab", label="Potassium", value="5.4"), dict(kind="condition", label="Asthma"))
-    f, e, m = pipeline(ev)
+    f, e, m = derive(ev)
     g = graph.build(spark.createDataFrame([("p1", "Pat")], "patient_id string, name string"), make_sources(("p1", "src_a", "voice", "t")),
                     e, m, relationships.relationships(e))
     focus = spark.createDataFrame([("p1", "q", "e0"), ("p1", "q", "e1")], "patient_id string, query_id string, event_id string")
