@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelattice.llm import packing, simhash, simple8b
+from carelattice.llm import packing, secrets, simhash, simple8b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op5_simhash_components)}
+    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op5_simhash_components, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
