@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelattice.llm import packing, secrets, simhash, simple8b
+from carelattice.llm import lines, packing, secrets, simhash, simple8b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read(spark, path)
 
 
+def op4_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
@@ -32,5 +36,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op5_simhash_components, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL}
