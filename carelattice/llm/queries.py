@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carelattice.llm import lines, packing, secrets, simhash, simple8b
+from carelattice.llm import lines, packing, rules, secrets, simhash, simple8b
+from carelattice.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,17 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cut_lineage(rules.statistics(table(spark, sf_dir, "documents")))
+    out = rules.held_out(F.col("doc_id"), 5, 0)
+    model = rules.train(stats, table(spark, sf_dir, "labels").where(~out), "quality")
+    return rules.score(stats, model, 0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op10_secret_scan)}
+    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL}
