@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.llm import lines, packing, rules, secrets, simhash, simple8b
+from carelattice.llm import lines, packing, rules, secrets, simhash, simple8b, toxicity
 from carelattice.session import cut_lineage
 
 
@@ -40,10 +40,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(stats, model, 0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = rules.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs.where(~out), table(spark, sf_dir, "labels").where(~out), "toxic")
+    return toxicity.score(docs, model, 0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op10_secret_scan)}
+    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL}
