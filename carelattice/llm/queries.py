@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.llm import lines, packing, rules, secrets, simhash, simple8b, toxicity
+from carelattice.llm import lines, maxscore, packing, rules, secrets, simhash, simple8b, toxicity
 from carelattice.session import cut_lineage
 
 
@@ -47,10 +47,15 @@ def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, 0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op8_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut_lineage(maxscore.quantised(table(spark, sf_dir, "embeddings"), 1024))
+    return maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL}
+    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL, "op8_maxscore_topk": maxscore.SQL}
