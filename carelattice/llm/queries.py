@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.llm import lines, maxscore, packing, rules, secrets, simhash, simple8b, toxicity
+from carelattice.llm import lines, maxscore, mixing, packing, rules, secrets, simhash, simple8b, toxicity
 from carelattice.session import cut_lineage
 
 
@@ -52,10 +52,15 @@ def op8_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.domain_labels(table(spark, sf_dir, "labels")), weights=[0.94, 0.04, 0.02])
+    return mixed.select("doc_id", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate", "copies")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op10_secret_scan)}
+    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op9_soft_mixing, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL, "op8_maxscore_topk": maxscore.SQL}
