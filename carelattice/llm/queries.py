@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.llm import lines, maxscore, mixing, packing, rules, secrets, simhash, simple8b, toxicity
+from carelattice.llm import audio, lines, maxscore, mixing, packing, rules, secrets, simhash, simple8b, toxicity
 from carelattice.session import cut_lineage
 
 
@@ -19,6 +19,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embeddings`` as melodies; every recording with an id divisible by 50 is searched among all."""
+    prints = cut_lineage(audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody))
+    return audio.search(prints, F.col("recording") % 50 == 0)
+
+
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = simple8b.fresh_path(spark)
     simple8b.write(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -62,5 +68,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op9_soft_mixing, op10_secret_scan)}
+    f.__name__: f for f in (op1_best_fit_packing, op2_chroma_alignment, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op9_soft_mixing, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL, "op8_maxscore_topk": maxscore.SQL}
