@@ -49,9 +49,8 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY,
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             held = 0
-            texts = (x.as_py() for x in batch.column(1))
-            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                ids = memoryview(ids + end)
+            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = memoryview(enc.encode(whole.as_py()) + end)
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for k, at in enumerate([0, *range(first, n, capacity)]):

@@ -12,8 +12,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -54,69 +53,53 @@ def steps(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class _Chunks(dict):
+    """The ids of chunks, as bytes; a chunk it does not have is encoded when asked for."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok, self.tokenize = tok, tok.model.tokenize
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isascii() and word.isalpha():
+            tokens = self.tokenize(chunk if word is chunk else _SPACE_CHAR + word)
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        elif not word or word[0].isspace() or max(word) > _LATIN:
+            ids = self.whole(chunk)
+        else:
+            parts = [chunk] if word.isalpha() else _PARTS.findall(chunk)
+            found = [t.id for p in parts for t in self.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[chunk] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class Encoder:
-    """encode(texts): for each text its ids as bytes, little-endian unsigned 32-bit."""
+    """encode(text): its ids as bytes, little-endian unsigned 32-bit; null counts as empty."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(tokenizer_file(tokenizer))
-        parts = json.loads(self.tok.to_str())
+        tok = Tokenizer.from_file(tokenizer_file(tokenizer))
+        parts = json.loads(tok.to_str())
         pre = parts["pre_tokenizer"] or {}
         self.added = [t["content"] for t in parts["added_tokens"]]
         self.by_chunk = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
                          and not parts["normalizer"])
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.chunks = _Chunks(tok)
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group: list[list[list[str]] | bytes] = []
-        size = 0
-        for text in texts:
-            text = text or ""
-            if not self.by_chunk or any(t in text for t in self.added):
-                group.append(self.whole(text))
-            elif len(text) > STEP_CHARS:
-                group.append(b"".join(self._joined(_CHUNK.findall(s)) for s in steps(text)))
-            else:
-                group.append([_CHUNK.findall(text)])
-                size += len(text)
-            if size > STEP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group) -> Iterator[bytes]:
-        self._learn(chain.from_iterable(x[0] for x in group if isinstance(x, list)))
-        for x in group:
-            yield x if isinstance(x, bytes) else b"".join(map(self.cache.__getitem__, x[0]))
-
-    def _joined(self, chunks: list[str]) -> bytes:
-        self._learn(chunks)
-        return b"".join(map(self.cache.__getitem__, chunks))
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Encodes the chunks the cache does not have."""
-        chunks = list(chunks)
-        new = set(filterfalse(self.cache.__contains__, chunks))
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache = {}
-            new = set(chunks)
-        pack, tokenize, cache = struct.pack, self.tok.model.tokenize, self.cache
-        for chunk in new:
-            word = chunk[1:] if chunk[0] == " " else chunk
-            if word.isascii() and word.isalpha():
-                ids = [t.id for t in tokenize(chunk if word is chunk else _SPACE_CHAR + word)]
-            elif not word or word[0].isspace() or max(word) > _LATIN:
-                cache[chunk] = self.whole(chunk)
-                continue
-            else:
-                parts = [chunk] if word.isalpha() else _PARTS.findall(chunk)
-                ids = [t.id for p in parts for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))]
-            cache[chunk] = pack(f"<{len(ids)}I", *ids)
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if not self.by_chunk or any(t in text for t in self.added):
+            return self.chunks.whole(text)
+        return b"".join(b"".join(map(self.chunks.__getitem__, _CHUNK.findall(s))) for s in steps(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}
