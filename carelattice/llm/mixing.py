@@ -140,15 +140,23 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS
 
 
 def members(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, tokens (words of the whole text), p: array of the posterior in the order of the domains."""
+    """doc_id, text_key (a hash of the text), tokens (words of the whole text), p: array of the posterior, by domain."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [described(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[2] for f in found], pa.int64()),
-                                              pa.array([model.posterior(f[0], f[1]) for f in found], pa.list_(pa.float64()))], names=["doc_id", "tokens", "p"])
+            found = [described(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[2] for f in found], pa.int64()),
+                                              pa.array([model.posterior(f[0], f[1]) for f in found], pa.list_(pa.float64()))],
+                                             names=["doc_id", "text_key", "tokens", "p"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(
+        run, "doc_id long, text_key long, tokens long, p array<double>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, tokens long, p array<double>")
+def totals(soft: DataFrame, k: int) -> list[float]:
+    """The expected token totals of the domains at rate 1."""
+    found = soft.agg(*(F.coalesce(F.sum(F.col("tokens").cast("double") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
+    return list(found)
 
 
 def rates(soft: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None) -> tuple[DataFrame, list[float]]:
@@ -202,7 +210,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None,
     return out.withColumn("copies", copies(F.col("rate"), "doc_id"))
 
 
-def reduced_targets(soft_totals: list[float], shares: list[float], main: int, growth: float) -> list[float]:
-    """Totals with these shares in which domain ``main`` grows by ``growth``."""
+def grown_targets(soft_totals: list[float], shares: list[float], main: int, growth: float) -> list[float]:
+    """Totals with these shares in which domain ``main`` grows by ``growth``; a domain with too little text for its share
+    grows as much as ``main``, so nothing is repeated more often than that."""
     total = soft_totals[main] * growth / shares[main]
-    return [s * total for s in shares]
+    return [min(s * total, t * growth) for s, t in zip(shares, soft_totals)]
+
+
+def repeated(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """``docs``, each row as often as ``taken`` (doc_id, text_key, copies) says, all columns as they are."""
+    once = taken.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("copies").alias("copies"))
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"))
+    kept = row.join(once, row.row_id.eqNullSafe(once["_id"]) & (row.row_key == once["_key"]))
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -40,10 +40,9 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = cut_lineage(rules.statistics(table(spark, sf_dir, "documents")))
-    out = rules.held_out(F.col("doc_id"), 5, 0)
-    model = rules.train(stats, table(spark, sf_dir, "labels").where(~out), "quality")
-    return rules.score(stats, model, 0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
+    docs, out = table(spark, sf_dir, "documents"), rules.held_out(F.col("doc_id"), 5, 0)
+    model = rules.train(docs, table(spark, sf_dir, "labels").where(~out), "quality")
+    return rules.score(rules.statistics(docs), model, 0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

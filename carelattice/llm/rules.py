@@ -149,13 +149,14 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, seed: int = 7) -
         (k, float(low[k]), float(high[k]), float(v)) for k, v in enumerate(w[len(kept):]) if v])
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Fits to labelled rows of ``stats``: all, or if there are more than ``max_train`` a part of about that many,
-    taken by a hash of doc_id.  ``labels``: doc_id and the label, 0 or 1; null labels teach nothing."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
+    """Fits to labelled rows of ``docs`` (doc_id, text): all, or if there are more than ``max_train`` a part of about that
+    many, taken by a hash of doc_id.  ``labels``: doc_id and the label, 0 or 1; null labels teach nothing."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     part = min(1.0, max_train / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = stats.join(known, "doc_id").select("doc_id", "label", *STATISTICS).limit(2 * max_train).toPandas().sort_values(["doc_id", "label"])
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))).limit(2 * max_train)  # bounds the broadcast
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = statistics(some, keep=("doc_id", "label")).toPandas().sort_values(["doc_id", "label"])
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["label"].to_numpy(float))
 
 

@@ -17,8 +17,9 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from carelattice.operators.components import connected_components
 from carelattice.session import cut_lineage
@@ -63,21 +64,23 @@ def fingerprint(text: str | None, words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (long, the 64 bits).
+def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text", text_key: bool = False) -> DataFrame:
+    """doc_id, fingerprint (long, the 64 bits)[, text_key: a hash of the text].
 
     Lower-cases A-Z, splits at ASCII white space, and hashes shingles of so many words, repeats included (fewer words:
     the whole sequence), with XXH64; a bit is set if it is in over half of the hashes.  No words, or null: 0.
     One row per row of ``docs``; other columns are not read."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())] + [("text_key", pa.int64())] * text_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fingerprint long")
+    whole = F.col(text).cast("string")
+    extra = [F.xxhash64(whole).alias("text_key")] * text_key
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), *extra) \
+        .mapInArrow(run, "doc_id long, fingerprint long" + ", text_key long" * text_key)
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -188,13 +191,109 @@ def link(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 
     crowd = met.where(F.col("n") > NODE).select("fingerprint", "root").distinct()
     flips = [sum(1 << b for b in bits) for k in range(max_bits // 2 + 1) for bits in combinations(range(64), k)]
-    signed = [f - (1 << 64) if f >> 63 else f for f in flips]
-    balls = crowd.select("root", F.explode(F.transform(F.lit(signed), lambda f: F.col("fingerprint").bitwiseXOR(f))).alias("key"))
+    balls = crowd.select("root", F.explode(F.transform(F.lit([_signed(f) for f in flips]), lambda f: F.col("fingerprint").bitwiseXOR(f))).alias("key"))
     lows = balls.groupBy("key").agg(F.min("root").alias("b"), F.max("root").alias("top")).where("b < top")
     links = links.union(balls.join(lows, "key").select(F.col("root").alias("a"), "b")).where("a <> b")
-    components = connected_components(links.distinct(), [])
-    return (distinct.join(components, distinct.root == components.node, "left")
-            .select("fingerprint", F.coalesce(components.root, distinct.root).alias("component_id")))
+    return _classes(distinct, links)
+
+
+WIDE_BITS = 14  # of 64: what texts have between them at most, mostly, whose five-word shingles are similar by 0.8
+
+
+def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame, DataFrame]:
+    """((fingerprint, root): the smallest doc_id of each fingerprint, (a, b): roots whose fingerprints are near), for more
+    differing bits than blocks can be split for.
+
+    Fingerprints meet where two of them differ in at most two of the bits of one of three blocks (each emits its block as it
+    is and with each bit flipped): all pairs up to 8 bits apart meet, of those 9 to ``max_bits`` apart most.  What meets
+    is searched with the index and linked at ``max_bits``.  A crowd, more than NODE distinct fingerprints under a key, is cut in Gray
+    order, by ever more leading bits of the rank, until the parts fit an index; its first fingerprint is
+    compared with all of it, so the parts hang together where they are near."""
+    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("root")))
+    known = distinct.where("root is not null")
+    cuts = (0, 22, 43, 64)
+    block = lambda f, lo, hi: F.shiftrightunsigned(F.shiftleft(f, 64 - hi), 64 - hi + lo)
+
+    def flipped(k: int, lo: int, hi: int) -> Column:
+        masks = F.lit([0] + [_signed(1 << b) for b in range(lo, hi)])
+        return F.transform(masks, lambda m: block(F.col("fingerprint").bitwiseXOR(m), lo, hi) * 4 + k)
+
+    every = F.flatten(F.array(*(flipped(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])))))
+    keys = known.select("fingerprint", "root", F.explode(every).alias("key"))
+    met = cut_lineage(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    parts, links, depth = met.where(F.col("n") <= NODE), [], 0
+    crowd = met.where(F.col("n") > NODE)
+    first = crowd.groupBy("key").agg(F.min(F.struct("root", "fingerprint")).alias("first"))
+    links.append(crowd.join(first, "key").where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("first.fingerprint"))) <= max_bits)
+                 .select(F.col("root").alias("a"), F.col("first.root").alias("b")))
+    rank = F.col("fingerprint")
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    while not crowd.isEmpty():
+        depth += 4  # at 64 every fingerprint stands alone, so this ends
+        split = crowd.withColumn("key", F.xxhash64("key", F.shiftrightunsigned(rank, 64 - depth))).drop("n")
+        split = cut_lineage(split.join(split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        parts, crowd = parts.unionByName(split.where(F.col("n") <= NODE)), split.where(F.col("n") > NODE)
+    indexed = parts.select("key", "fingerprint", "root").repartition("key").sortWithinPartitions("key")
+    links.append(indexed.mapInArrow(_search(max_bits), "a long, b long"))
+    return distinct, links[0].union(links[1]).where("a <> b").distinct()
+
+
+def shingle_sets(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, shingles: the distinct hashes of a text's shingles, as fingerprints() makes them."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for value in batch.column(1):
+                w = (value.as_py() or "").encode().lower().split()
+                some = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)][:len(w)]
+                found.append(np.array(sorted(set(map(xxhash.xxh64_intdigest, some, repeat(SEED)))), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, shingles array<long>")
+
+
+def similar(links: DataFrame, docs: DataFrame, words: int, least: float, doc_id: str, text: str) -> DataFrame:
+    """The links (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more.  Of several texts with one
+    doc_id the first counts."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ends, "id")
+    sets = cut_lineage(shingle_sets(some.groupBy("id").agg(F.min("text").alias("text")), words, "id", "text"))
+    pairs = links.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    found = connected_components(links.where("a <> b").distinct(), [])
+    return (distinct.join(found, distinct.root == found.node, "left")
+            .select("fingerprint", F.coalesce(found.root, distinct.root).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = WIDE_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the smallest doc_id, nulls last, then by a hash of the text.
+    Near copies have equal fingerprints, or near ones and a similarity of ``least`` or more between their shingle sets.
+    Repeated rows are copies.  Documents without ids are only copies of each other if no document with an id has their
+    fingerprint, and then by equal fingerprints.  Texts without words are one class.  All columns stay as they are."""
+    prints = cut_lineage(fingerprints(docs, words, doc_id, text, text_key=True))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    distinct, links = candidates(prints, max_bits)
+    alike = similar(cut_lineage(links), docs, words, least, doc_id, text)
+    kept = prints.join(_classes(distinct, alike), "fingerprint").groupBy(
+        "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min(own).alias("own"))
+    kept = kept.select(F.col("own.doc_id").alias("kept_id"), F.col("own.text_key").alias("kept_key"))
+    row = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("row_id"), F.xxhash64(F.col(text).cast("string")).alias("row_key"))
+    stay = row.join(kept, row.row_id.eqNullSafe(kept.kept_id) & (row.row_key == kept.kept_key))
+    first = F.row_number().over(Window.partitionBy("kept_id", "kept_key").orderBy("kept_key"))
+    return stay.withColumn("first", first).where("first = 1").select("row.*")
 
 
 def components(docs: DataFrame, words: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
