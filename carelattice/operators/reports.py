@@ -16,6 +16,7 @@ from carelattice.functions.values import is_concerning, lab_flag
 from carelattice.lexicon import Lexicon
 from carelattice.operators.grounding import ground
 from carelattice.operators.trends import trend_summary
+from carelattice.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 SPECIALTY_TITLES = [("primary_care", "Primary Care"), ("cardiology", "Cardiology"), ("nephrology", "Nephrology"),
@@ -33,6 +34,26 @@ def newest(seq: str = "seq") -> list[Column]:
     return [F.col("observed_at").desc(), F.col(seq)]
 
 
+def recent_events(events: DataFrame, n: int = 5) -> DataFrame:
+    """The newest events of each patient; the rank limit works before the shuffle."""
+    w = W.partitionBy("patient_id").orderBy(*newest())
+    return events.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def timeline(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every patient's events newest first, with the title of their source and their place in the patient's list.
+
+    Rows are sorted by ranges of patient and time and numbered within a range; a patient who spans several ranges adds the
+    counts of the earlier ones, so no patient has to fit one task."""
+    rows = events.join(sources.select("patient_id", "source_id", F.col("title").alias("source_title")), ["patient_id", "source_id"], "left")
+    ordered = cut_lineage(rows.repartitionByRange("patient_id", *newest()).withColumn("_part", F.spark_partition_id()))
+    sizes = ordered.groupBy("patient_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("patient_id", "_part", (F.sum("_n").over(W.partitionBy("patient_id").orderBy("_part")) - F.col("_n")).alias("_before"))
+    here = F.row_number().over(W.partitionBy("patient_id", "_part").orderBy(*newest()))
+    return (ordered.withColumn("_r", here).join(before, ["patient_id", "_part"])
+            .withColumn("place", F.col("_before") + F.col("_r")).drop("_part", "_r", "_before"))
+
+
 def first_n(rows: DataFrame, group: list[str], order: list[Column], n: int, text: str, out: str) -> DataFrame:
     """Per group the first ``n`` texts as an ordered array.  The rank limit is applied before the
     shuffle, so at most n rows of a group ever meet."""
@@ -223,9 +244,9 @@ def report_lines(briefs: DataFrame, lists: DataFrame) -> DataFrame:
     return out.unionByName(mine.select(*out.columns))
 
 
-def merge_extracted(briefs: DataFrame, extracted: DataFrame, intake: DataFrame | None = None) -> DataFrame:
+def merge_extracted(briefs: DataFrame, extracted: DataFrame, conversation: DataFrame | None = None) -> DataFrame:
     """Extracted summary, concerns and questions replace the template's where non-empty;
-    an intake summary is attached where the patient has one."""
+    a conversation's summary is attached where the patient has one."""
     x = extracted.select("patient_id", "specialty", F.col("summary").alias("x_s"), F.col("top_concerns").alias("x_c"),
                          F.col("questions").alias("x_q"))
     j = briefs.join(x, ["patient_id", "specialty"], "left")
@@ -233,8 +254,8 @@ def merge_extracted(briefs: DataFrame, extracted: DataFrame, intake: DataFrame |
         "summary": F.coalesce(F.nullif("x_s", F.lit("")), "summary"),
         "top_concerns": F.when(F.size("x_c") > 0, F.col("x_c")).otherwise(F.col("top_concerns")),
         "questions": F.when(F.size("x_q") > 0, F.col("x_q")).otherwise(F.col("questions"))}).drop("x_s", "x_c", "x_q")
-    return out if intake is None else out.join(
-        intake.select("patient_id", F.col("summary").alias("intake_summary")), "patient_id", "left")
+    return out if conversation is None else out.join(
+        conversation.select("patient_id", F.col("summary").alias("conversation_summary")), "patient_id", "left")
 
 
 # -- digest ------------------------------------------------------------------------------------

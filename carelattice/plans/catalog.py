@@ -317,7 +317,7 @@ def monitoring_gaps(spark, sf):
                     F.array_join("monitor_labs", ", ").alias("monitor_labs"), "first_event")
 
 
-RISK_ALERTS = o.with_(o.GROUND, o.TRENDS, o.ALERTS, o.sid_cte("al2", "alerts", "alert", "rule_key", "alert_id")) + """
+RISK_ALERTS = o.with_(o.GROUND, o.TRENDS, o.ALERTS, o.sid_cte("al2", "alerts", "alert", "concat(patient_id, ':', rule_key)", "alert_id")) + """
   SELECT patient_id, family, severity_rank, severity, title, time_horizon, specialty, explanation, questions, k1, k2, rule_no, alert_id FROM al2"""
 
 
@@ -508,7 +508,7 @@ def valid_conversations(spark, sf):
     return cv.valid_messages(_messages(spark, sf)).groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@register("conversation_transcript", o.with_(MSG) + "SELECT conv_id, turn, concat(CASE role WHEN 'assistant' THEN 'Intake' ELSE 'Patient' END, ': ', text) AS line FROM vm")
+@register("conversation_transcript", o.with_(MSG) + "SELECT conv_id, turn, concat(CASE role WHEN 'assistant' THEN 'Assistant' ELSE 'Patient' END, ': ', text) AS line FROM vm")
 def conversation_transcript(spark, sf):
     return cv.transcript_lines(cv.valid_messages(_messages(spark, sf)))
 
@@ -535,7 +535,7 @@ def _list_sql(group: str, prefix: str = "") -> str:
 
 @register("conversation_context", o.with_(MSG, f"""cx AS (SELECT conv_id, t, {_list_sql('symptoms')} AS s, {_list_sql('medications')} AS m, {_list_sql('barriers')} AS b,
    list_concat(list_concat({_list_sql('symptoms', 'symptom: ')}, {_list_sql('medications', 'medication: ')}), {_list_sql('barriers', 'barrier: ')}) AS tp FROM ut)""")
-          + """SELECT conv_id, 'Intake conversation' AS title, trim(substr(t, 1, 280)) AS summary, coalesce(s[1], b[1], trim(substr(t, 1, 80))) AS chief_concern,
+          + """SELECT conv_id, 'Conversation' AS title, trim(substr(t, 1, 280)) AS summary, coalesce(s[1], b[1], trim(substr(t, 1, 80))) AS chief_concern,
   array_to_string(tp, '; ') AS topics, array_to_string(s, '; ') AS symptoms, array_to_string(m, '; ') AS medications, array_to_string(b, '; ') AS barriers,
   (SELECT count(*) FROM vm WHERE vm.conv_id = cx.conv_id) AS message_count FROM cx""")
 def conversation_context(spark, sf):
@@ -649,7 +649,7 @@ def _stored_graph(spark, sf):
 
 @register("graph_nodes", GRAPH_ALL + "SELECT * FROM nodes")
 def graph_nodes(spark, sf):
-    return _graph(spark, sf)[0].nodes.drop("latest_value", "unit")
+    return _graph(spark, sf)[0].nodes.drop("latest_value", "unit", "ord")
 
 
 @register("graph_edges", GRAPH_ALL + f"SELECT {EDGE_COLS} FROM edges")
@@ -687,8 +687,10 @@ def evidence_subgraph(spark, sf):
 
 
 @register("one_hop", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """ctr AS (SELECT patient_id, node_id AS query_id, node_id FROM nodes WHERE kind = 'condition'),
-ids AS (SELECT patient_id, query_id, node_id FROM ctr UNION SELECT c.patient_id, c.query_id, CASE WHEN x.from_node = c.node_id THEN x.to_node ELSE x.from_node END FROM ctr c JOIN edges x ON x.patient_id = c.patient_id AND c.node_id IN (x.from_node, x.to_node))""", recursive=True)
-          + """SELECT patient_id, query_id, 'node' AS part, node_id AS id FROM ids UNION ALL SELECT a.patient_id, a.query_id, 'edge', x.edge_id FROM ids a JOIN edges x ON x.patient_id = a.patient_id AND x.from_node = a.node_id
+ed AS MATERIALIZED (SELECT patient_id, edge_id, from_node, to_node FROM edges),
+ids AS MATERIALIZED (SELECT patient_id, query_id, node_id FROM ctr UNION SELECT c.patient_id, c.query_id, x.to_node FROM ctr c JOIN ed x ON x.patient_id = c.patient_id AND x.from_node = c.node_id
+  UNION SELECT c.patient_id, c.query_id, x.from_node FROM ctr c JOIN ed x ON x.patient_id = c.patient_id AND x.to_node = c.node_id)""", recursive=True)
+          + """SELECT patient_id, query_id, 'node' AS part, node_id AS id FROM ids UNION ALL SELECT a.patient_id, a.query_id, 'edge', x.edge_id FROM ids a JOIN ed x ON x.patient_id = a.patient_id AND x.from_node = a.node_id
  JOIN ids b ON b.patient_id = a.patient_id AND b.query_id = a.query_id AND b.node_id = x.to_node""")
 def one_hop(spark, sf):
     g = _stored_graph(spark, sf)
@@ -720,10 +722,11 @@ def graph_search(spark, sf):
     return gr.search_graph(g, ent.entity_aliases(m), "kidney or advil lab").select("patient_id", "node_id", "kind", "score", "rank")
 
 
-@register("visible_edges", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """m0 AS (SELECT DISTINCT patient_id, node_id FROM (SELECT patient_id, node_id, lower(concat(label, ' ', kind)) AS t FROM nodes UNION ALL SELECT patient_id, entity_key, lower(label) FROM mem) WHERE contains(t, 'kidney')),
-kept AS (SELECT * FROM m0 UNION SELECT x.patient_id, x.from_node FROM edges x JOIN m0 ON m0.patient_id = x.patient_id AND m0.node_id = x.to_node UNION SELECT x.patient_id, x.to_node FROM edges x JOIN m0 ON m0.patient_id = x.patient_id AND m0.node_id = x.from_node)""", recursive=True)
-          + """SELECT x.patient_id, x.edge_id FROM edges x WHERE x.relation NOT IN ('takes') AND (x.patient_id, x.from_node) IN (SELECT (patient_id, node_id) FROM kept) AND (x.patient_id, x.to_node) IN (SELECT (patient_id, node_id) FROM kept)
- AND (x.relation = 'mentioned_in' OR x.confidence IS NULL OR x.confidence >= 0.5)""")
+@register("visible_edges", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """ed AS MATERIALIZED (SELECT patient_id, edge_id, from_node, to_node, relation, confidence FROM edges),
+m0 AS MATERIALIZED (SELECT DISTINCT patient_id, node_id FROM (SELECT patient_id, node_id, lower(concat(label, ' ', kind)) AS t FROM nodes UNION ALL SELECT patient_id, entity_key, lower(label) FROM mem) WHERE contains(t, 'kidney')),
+kept AS MATERIALIZED (SELECT * FROM m0 UNION SELECT x.patient_id, x.from_node FROM ed x JOIN m0 ON m0.patient_id = x.patient_id AND m0.node_id = x.to_node UNION SELECT x.patient_id, x.to_node FROM ed x JOIN m0 ON m0.patient_id = x.patient_id AND m0.node_id = x.from_node)""", recursive=True)
+          + """SELECT x.patient_id, x.edge_id FROM ed x JOIN kept a ON a.patient_id = x.patient_id AND a.node_id = x.from_node JOIN kept b ON b.patient_id = x.patient_id AND b.node_id = x.to_node
+ WHERE x.relation NOT IN ('takes') AND (x.relation = 'mentioned_in' OR x.confidence IS NULL OR x.confidence >= 0.5)""")
 def visible_edges(spark, sf):
     """Search expansion, relation switches and the weak-edge filter together."""
     g, m = _stored_graph(spark, sf), _graph(spark, sf)[1]
@@ -824,10 +827,7 @@ def report_lists(spark, sf):
 
 @register("recent_events", o.with_(o.HE) + "SELECT patient_id, event_id, label FROM he QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY observed_at DESC, seq) <= 5")
 def recent_events(spark, sf):
-    from pyspark.sql import Window as W
-    w = W.partitionBy("patient_id").orderBy(*rp.newest())
-    e = health_events(spark, sf).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 5)
-    return e.select("patient_id", "event_id", "label")
+    return rp.recent_events(health_events(spark, sf)).select("patient_id", "event_id", "label")
 
 
 # -- proposals ---------------------------------------------------------------------------------
@@ -859,19 +859,9 @@ def extracted_facts(spark, sf):
 # -- stores, loads and projections -------------------------------------------------------------
 
 @register("timeline", o.with_(o.HE, o.SOURCES) + "SELECT h.patient_id, h.event_id, h.label, s.title AS source_title, " + o.ts("h.observed_at")
-          + " AS observed_at, row_number() OVER (ORDER BY observed_at DESC, seq) AS place FROM he h LEFT JOIN sources s USING (patient_id, source_id)")
+          + " AS observed_at, row_number() OVER (PARTITION BY h.patient_id ORDER BY observed_at DESC, seq) AS place FROM he h LEFT JOIN sources s USING (patient_id, source_id)")
 def timeline(spark, sf):
-    """All events newest first; the place comes from one range-partitioned sort, numbered per partition."""
-    e, s = _events_sources(spark, sf)
-    rows = e.join(s.select("patient_id", "source_id", F.col("title").alias("source_title")), ["patient_id", "source_id"], "left")
-    ordered = cut_lineage(rows.repartitionByRange(*rp.newest()).withColumn("part", F.spark_partition_id()))
-    from pyspark.sql import Window as W
-    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    w = W.partitionBy("part").orderBy(*rp.newest())
-    placed = ordered.withColumn("r", F.row_number().over(w)).join(before, "part")
-    return placed.select("patient_id", "event_id", "label", "source_title", at("observed_at").alias("observed_at"),
-                         (F.coalesce("before", F.lit(0)) + F.col("r")).alias("place"))
+    return rp.timeline(*_events_sources(spark, sf)).select("patient_id", "event_id", "label", "source_title", at("observed_at").alias("observed_at"), "place")
 
 
 @register("keep_last", o.with_(o.HE) + "SELECT patient_id, kind, label, event_id, value FROM he QUALIFY row_number() OVER (PARTITION BY patient_id, kind, lower(label) ORDER BY seq DESC) = 1")
@@ -951,9 +941,12 @@ def _patients(spark, sf):
 # proposals made for every patient: from label, to label, relation
 PROPOSED = [("swelling", "kidney disease", "possibly_related_to"), ("EDEMA", "Chronic kidney disease", "possibly_related_to"),
             ("egfr", "chronic kidney", "worsening_trend"), ("ibuprofen", "warfarin", "reported"),
-            ("Warfarin", "Metformin", "contraindicated_with"), ("fatigue", "tsh", "possibly_related_to")]
-FIND = """nf AS (SELECT p.patient_id, p.label, n.node_id, n.kind, row_number() OVER (PARTITION BY p.patient_id, p.label ORDER BY CASE WHEN lower(n.label) = lower(p.label) THEN 0 ELSE 1 END, n.node_id) AS r
-  FROM (SELECT DISTINCT patient_id, unnest([fl, tl]) AS label FROM prop) p JOIN nodes n ON n.patient_id = p.patient_id AND (contains(lower(n.label), lower(p.label)) OR contains(lower(p.label), lower(n.label)))),
+            ("Warfarin", "Metformin", "contraindicated_with"), ("fatigue", "tsh", "possibly_related_to"),
+            ("patient", "ibuprofen", "takes")]  # the first is also the patient node's label
+FIND = """nf AS (SELECT p.patient_id, p.label, n.node_id, n.kind, row_number() OVER (PARTITION BY p.patient_id, p.label ORDER BY CASE WHEN lower(n.label) = lower(p.label) THEN 0 ELSE 1 END,
+   CASE n.kind WHEN 'patient' THEN 0 WHEN 'source' THEN 1 ELSE 2 END, e.first_seq, n.node_id) AS r
+  FROM (SELECT DISTINCT patient_id, unnest([fl, tl]) AS label FROM prop) p JOIN nodes n ON n.patient_id = p.patient_id AND (contains(lower(n.label), lower(p.label)) OR contains(lower(p.label), lower(n.label)))
+  LEFT JOIN ent e ON e.patient_id = n.patient_id AND e.entity_key = n.node_id),
 fn AS (SELECT * FROM nf WHERE r = 1), okrel(relation, fk, tk) AS """ + o.values(
     (r, f, t) for r, d, g, _ in Lexicon.default().relation_types
     for f in (["patient", "condition", "symptom", "medication", "lab", "source"] if "*" in d else d)
@@ -1005,7 +998,7 @@ def checked_trends(spark, sf):
 
 
 @register("citations", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, GRAPH, """ci AS (SELECT patient_id, seq AS pos, CASE WHEN seq % 3 = 0 THEN entity_key END AS node_id, CASE WHEN seq % 3 = 1 THEN event_id END AS event_id, CASE WHEN seq % 5 = 0 THEN ' see chart ' END AS note FROM mem),
-own AS (SELECT patient_id, event_id, min(entity_key) AS k FROM mem GROUP BY 1, 2)""", recursive=True) + """SELECT c.patient_id, c.pos, coalesce(CASE WHEN h.event_id IS NOT NULL THEN concat(h.label, CASE WHEN h.value IS NOT NULL THEN concat(' ', h.value, CASE WHEN coalesce(h.unit, '') <> '' THEN concat(' ', h.unit) ELSE '' END) ELSE '' END, ' · ', strftime(h.observed_at, '%b %Y')) ELSE n.label END, trim(c.note), 'Supporting record') AS label,
+own AS (SELECT m.patient_id, m.event_id, arg_min(m.entity_key, (e.first_seq, m.entity_key)) AS k FROM mem m JOIN ent e USING (patient_id, entity_key) GROUP BY 1, 2)""", recursive=True) + """SELECT c.patient_id, c.pos, coalesce(CASE WHEN h.event_id IS NOT NULL THEN concat(h.label, CASE WHEN h.value IS NOT NULL THEN concat(' ', h.value, CASE WHEN coalesce(h.unit, '') <> '' THEN concat(' ', h.unit) ELSE '' END) ELSE '' END, ' · ', strftime(h.observed_at, '%b %Y')) ELSE n.label END, trim(c.note), 'Supporting record') AS label,
  coalesce(n.kind, h.kind) AS kind, coalesce(n.node_id, own.k) AS node_id, h.event_id, trim(c.note) AS detail
  FROM ci c LEFT JOIN nodes n ON n.patient_id = c.patient_id AND n.node_id = c.node_id LEFT JOIN he h ON h.patient_id = c.patient_id AND h.event_id = c.event_id LEFT JOIN own ON own.patient_id = c.patient_id AND own.event_id = c.event_id""")
 def citations(spark, sf):
@@ -1026,7 +1019,7 @@ def evidence_snippets(spark, sf):
     return se.evidence_snippets(docs, _bench_queries(spark, sf), []).select("query_id", "rank", "title", "snippet", "score")
 
 
-@register("embedding_backfill", "SELECT doc_id AS id, length(substr(text, 1, 1800))::DOUBLE AS size FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@register("embedding_backfill", "SELECT doc_id AS id, length(text)::DOUBLE AS size FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def embedding_backfill(spark, sf):
     """Documents without a vector, run through a caller's embedder (here: the text length)."""
     rows = _corpus(spark, sf).select(F.col("doc_id").alias("id"), "text")

@@ -23,9 +23,9 @@ CONTEXT_RULES = {
                  ("refill|pharmacy", "Medication refill issue")],
 }
 TOPIC_PREFIX = {"symptoms": "symptom: ", "medications": "medication: ", "barriers": "barrier: "}
-TITLE = "Intake conversation"
+TITLE = "Conversation"
 NO_CONCERN = "Patient-reported health update"
-NO_SUMMARY = "Patient shared symptoms, medications, and care context with Intake."
+NO_SUMMARY = "Patient shared symptoms, medications, and care context."
 SUMMARY_LENGTH, CONCERN_LENGTH, HISTORY_TURNS = 280, 80, 8
 # --- end of fixed values ----------------------------------------------------
 
@@ -42,7 +42,7 @@ def valid_messages(messages: DataFrame) -> DataFrame:
 
 def transcript_lines(messages: DataFrame) -> DataFrame:
     """One line per turn; the transcript is the lines in turn order joined by blank lines."""
-    who = F.when(F.col("role") == "assistant", "Intake").otherwise("Patient")
+    who = F.when(F.col("role") == "assistant", "Assistant").otherwise("Patient")
     return messages.select("conv_id", "turn", F.concat(who, F.lit(": "), F.col("text")).alias("line"))
 
 
