@@ -63,7 +63,7 @@ def contradictions(facts: DataFrame) -> DataFrame:
     """Review rows of both kinds; the id is keyed by patient, concept and tag."""
     both = status_contradictions(facts).unionByName(value_contradictions(facts))
     return both.withColumn("target_type", F.lit("contradiction")).withColumn(
-        "review_id", stable_id("review", F.concat_ws(":", F.lit("contradiction"), "concept_key", "tag")))
+        "review_id", stable_id("review", F.concat_ws(":", F.lit("contradiction"), F.col("patient_id").cast("string"), "concept_key", "tag")))
 
 
 def contradiction_members(facts: DataFrame, found: DataFrame | None = None) -> DataFrame:

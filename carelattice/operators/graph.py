@@ -89,14 +89,17 @@ def build(patients: DataFrame, sources: DataFrame, entities: DataFrame, members:
           relationships: DataFrame, contexts: DataFrame | None = None,
           context_events: DataFrame | None = None) -> Graph:
     """Patient, source, entity and conversation nodes with patient, provenance, relationship and
-    conversation edges.  ``patients`` has patient_id and name."""
+    conversation edges.  ``patients`` has patient_id and name.  ``ord`` of a node is its place in the patient's graph: patient,
+    sources, entities as they first came up, conversations."""
     none, num = F.lit(None).cast("string"), F.lit(None).cast("double")
-    node = ["patient_id", "node_id", "kind", "label", "confidence", "review_status", "latest_value", "unit"]
+    node = ["patient_id", "node_id", "kind", "label", "confidence", "review_status", "latest_value", "unit", "ord"]
+    arrival = F.lit(None).cast(entities.schema["first_seq"].dataType)
 
-    def nodes_of(df, node_id, kind, label, confidence=num, review=none, latest=none, unit=none):
+    def nodes_of(df, family, node_id, kind, label, confidence=num, review=none, latest=none, unit=none, first_seq=arrival):
+        order = F.struct(F.lit(family).alias("family"), first_seq.alias("first_seq"), node_id.alias("node_id"))
         return df.select("patient_id", node_id.alias("node_id"), kind.alias("kind"), label.alias("label"),
                          confidence.alias("confidence"), review.alias("review_status"), latest.alias("latest_value"),
-                         unit.alias("unit"))
+                         unit.alias("unit"), order.alias("ord"))
 
     def edges_of(df, source, target, relation, confidence=num, review=none):
         return df.select("patient_id", source.alias("from_node"), target.alias("to_node"), relation.alias("relation"),
@@ -104,12 +107,12 @@ def build(patients: DataFrame, sources: DataFrame, entities: DataFrame, members:
 
     src = sources.select("patient_id", "source_id", F.concat(F.lit("node_src_"), "source_id").alias("src_node"), "title")
     e = entities.join(latest_fact(members), ["patient_id", "entity_key"])
-    nodes = nodes_of(patients, F.lit(PATIENT_NODE), F.lit("patient"), F.col("name"))
-    nodes = nodes.unionByName(nodes_of(src, F.col("src_node"), F.lit("source"), F.col("title")))
+    nodes = nodes_of(patients, 0, F.lit(PATIENT_NODE), F.lit("patient"), F.col("name"))
+    nodes = nodes.unionByName(nodes_of(src, 1, F.col("src_node"), F.lit("source"), F.col("title")))
     nodes = nodes.unionByName(nodes_of(
-        e, F.col("entity_key"), F.col("kind"),
+        e, 2, F.col("entity_key"), F.col("kind"),
         entity_label(F.col("kind"), F.col("canonical_label"), F.col("latest_value"), F.col("unit")), F.col("confidence"),
-        F.col("review_status"), F.col("latest_value"), F.col("unit")))
+        F.col("review_status"), F.col("latest_value"), F.col("unit"), F.col("first_seq")))
     node_events = members.select("patient_id", F.col("entity_key").alias("node_id"), "event_id", "seq")
 
     patient_edges = edges_of(e, F.lit(PATIENT_NODE), F.col("entity_key"), patient_relation(F.col("first_kind")),
@@ -133,15 +136,15 @@ def build(patients: DataFrame, sources: DataFrame, entities: DataFrame, members:
     evidence = on_patient.unionByName(on_mention).unionByName(on_relation)
 
     if contexts is not None:
-        c_nodes, c_edges, c_evidence, c_events = conversation_parts(contexts, context_events, src, node_events)
-        nodes = nodes.unionByName(nodes_of(c_nodes, F.col("node_id"), F.lit("conversation"), F.col("label")))
+        c_nodes, c_edges, c_evidence, c_events = conversation_parts(contexts, context_events, src, node_events, nodes)
+        nodes = nodes.unionByName(nodes_of(c_nodes, 3, F.col("node_id"), F.lit("conversation"), F.col("label")))
         edges = edges.unionByName(edges_of(c_edges, F.col("from_node"), F.col("to_node"), F.col("relation")))
         evidence = evidence.unionByName(c_evidence)
         node_events = node_events.unionByName(c_events)
     return Graph(nodes.select(*node), node_events, edges.withColumn("edge_id", edge_id()), evidence)
 
 
-def conversation_parts(contexts: DataFrame, context_events: DataFrame, sources: DataFrame, node_events: DataFrame):
+def conversation_parts(contexts: DataFrame, context_events: DataFrame, sources: DataFrame, node_events: DataFrame, nodes: DataFrame):
     """Hub node per conversation: reported by the patient, mentioned in its source, possibly related
     to the node of each of its events (each node once, witnessed by its first event)."""
     hub = contexts.select(
@@ -155,7 +158,8 @@ def conversation_parts(contexts: DataFrame, context_events: DataFrame, sources:
         "patient_id", F.col("node_id").alias("from_node"), F.col("src_node").alias("to_node"),
         F.lit("mentioned_in").alias("relation"))
     # an event held by several nodes belongs to the one added last
-    owner = node_events.groupBy("patient_id", "event_id").agg(F.max("node_id").alias("entity_node"))
+    owner = (node_events.join(nodes.select("patient_id", "node_id", "ord"), ["patient_id", "node_id"])
+             .groupBy("patient_id", "event_id").agg(F.max_by("node_id", "ord").alias("entity_node")))
     linked = (ce.join(owner, ["patient_id", "event_id"]).groupBy("patient_id", "node_id", "entity_node")
               .agg(F.min_by("event_id", "seq").alias("event_id")))
     related = linked.select("patient_id", F.col("node_id").alias("from_node"), F.col("entity_node").alias("to_node"),

@@ -63,9 +63,9 @@ def proposed_edges(proposals: DataFrame, nodes: DataFrame, node_events: DataFram
     Both ends must resolve to different nodes and satisfy the relation's domain and range; the
     first of equal edges wins; edges the graph already has are dropped.
     """
-    targets = nodes.select("patient_id", F.col("node_id").alias("target_id"), F.col("label").alias("text"), "node_id")
+    targets = nodes.select("patient_id", F.col("node_id").alias("target_id"), F.col("label").alias("text"), "ord")
     asked = proposals.select("patient_id", F.explode(F.array("from_label", "to_label")).alias("label")).distinct()
-    found = fuzzy_lookup(asked, targets, "node_id")
+    found = fuzzy_lookup(asked, targets, "ord")
     kinds = nodes.select("patient_id", "node_id", "kind")
 
     def end(side: str) -> DataFrame:
@@ -144,11 +144,13 @@ def trend_evidence(evidence: DataFrame, events: DataFrame, sources: DataFrame) -
 
 
 def resolve_citations(citations: DataFrame, nodes: DataFrame, node_events: DataFrame, events: DataFrame) -> DataFrame:
-    """One output row per citation (patient_id, answer_id, pos, node_id, event_id, note), positions kept."""
+    """One output row per citation (patient_id, answer_id, pos, node_id, event_id, note), positions kept.
+    An event that several nodes hold belongs to the first of them in graph order (``ord``)."""
     n = nodes.select("patient_id", "node_id", F.col("label").alias("node_label"), F.col("kind").alias("node_kind"))
     e = events.select("patient_id", "event_id", F.col("label").alias("event_label"), "value", "unit", "observed_at",
                       F.col("kind").alias("event_kind"))
-    owner = node_events.groupBy("patient_id", "event_id").agg(F.min("node_id").alias("owner_node"))
+    owner = (node_events.join(nodes.select("patient_id", "node_id", "ord"), ["patient_id", "node_id"])
+             .groupBy("patient_id", "event_id").agg(F.min_by("node_id", "ord").alias("owner_node")))
     j = (citations.join(n, ["patient_id", "node_id"], "left").join(e, ["patient_id", "event_id"], "left")
          .join(owner, ["patient_id", "event_id"], "left"))
     unit = F.when(F.coalesce(F.col("unit"), F.lit("")) != "", F.concat(F.lit(" "), "unit")).otherwise("")

@@ -219,7 +219,7 @@ def risk_alerts(events: DataFrame, lex: Lexicon | None = None, summary: DataFram
 
 
 def with_alert_id(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("alert_id", stable_id("alert", F.col("rule_key")))
+    return alerts.withColumn("alert_id", stable_id("alert", F.concat_ws(":", F.col("patient_id").cast("string"), "rule_key")))
 
 
 def alert_evidence(alerts: DataFrame, events: DataFrame, lex: Lexicon | None = None) -> DataFrame:

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,11 +23,11 @@ from carelattice.session import cut_lineage
 LEXICAL_K, VECTOR_K, VECTOR_FLOOR, RRF_K = 8, 8, 0.25, 60
 REMOTE_K, REMOTE_MIN_K, REMOTE_MAX_K = 12, 1, 50
 ALERT_K, ALERT_BOOST, SNIPPET_LENGTH = 6, 2.0, 240
-EMBED_TEXT_LENGTH, EMBED_BATCH = 1800, 25
+EMBED_BATCH = 25
 # --- end of fixed values ----------------------------------------------------
 
 _MARKER = "\u0000"  # cannot occur in a token
-QUERY_SLICE = 512  # query vectors held by a task at once; more are processed in further slices
+VECTOR_PART, QUERY_BLOCK = 4096, 1024  # vectors and queries that meet in one task, about
 
 
 # -- documents ---------------------------------------------------------------------------------
@@ -188,24 +191,41 @@ def upsert_vectors(current: DataFrame, new: DataFrame) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = VECTOR_K, floor: float = VECTOR_FLOOR) -> DataFrame:
     """Exact nearest vectors per query: (query_id, id, score, rank).
 
-    Query vectors travel to the scan as one bounded array, so the vectors are read in place and
-    only hits above the floor leave a task.  The number of queries is checked first; beyond
-    QUERY_SLICE the same scan runs once per slice.
-    """
-    total = queries.count()
-    slices = max(1, -(-total // QUERY_SLICE))
-    if slices > 1:
-        # hash slices are only roughly even, so leave headroom
-        slices *= 2
-    out = None
-    for i in range(slices):
-        part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        block = part.agg(F.collect_list(F.struct("query_id", "vector")).alias("q")).scalar()
-        each = vectors.select("id", "vector", block.alias("_q")).select("id", "vector", F.explode("_q").alias("q"))
-        hits = each.select("id", F.col("q.query_id").alias("query_id"), dot(F.col("q.vector"), F.col("vector")).alias("score"))
-        hits = hits.filter(F.col("score") >= floor)
-        out = hits if out is None else out.unionByName(hits)
-    return top_k(out.select("query_id", "id", "score"), ["query_id"], k, "id")
+    Vectors are dealt into parts of about VECTOR_PART, queries into blocks of about QUERY_BLOCK; each part meets each
+    block in one task, as a matrix product, and gives the k best of every query.  Only hits from the floor on leave a task."""
+    parts = max(1, -(-vectors.count() // VECTOR_PART))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    left = vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector")).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        sizes = np.diff(lists.offsets.to_numpy())
+        out = np.zeros((len(sizes), width))
+        out[np.arange(width)[None, :] < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        return out
+
+    def meet(these: pa.Table, block: pa.Table) -> pa.Table:
+        widths = [pc.max(pc.list_value_length(t.column("vector"))).as_py() or 0 for t in (these, block)]
+        scores = matrix(block.column("vector"), max(widths)) @ matrix(these.column("vector"), max(widths)).T
+        rows, columns = [], []
+        for i, row in enumerate(np.round(scores, 9)):
+            # all that can be among the k best, ties included: ranking below orders them by id
+            limit = np.partition(row, len(row) - k)[-k] if len(row) > k else -np.inf
+            hit = np.flatnonzero((row >= limit) & (scores[i] >= floor))
+            rows.append(np.full(len(hit), i))
+            columns.append(hit)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, columns))
+        return pa.table({"query_id": block.column("query_id").take(pa.array(i)), "id": these.column("id").take(pa.array(j)),
+                         "score": pa.array(scores[i, j] if len(i) else np.zeros(0))})
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (vectors, "id"))]
+    hits = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(
+        meet, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(hits, ["query_id"], k, "id")
 
 
 # -- fusion ------------------------------------------------------------------------------------
@@ -251,15 +271,14 @@ def fact_text() -> Column:
     def some(name: str) -> Column:
         return F.when(F.col(name) != "", F.col(name))
 
-    return F.substring(F.concat_ws(" ", some("label"), some("normalized_label"), F.col("value"), some("unit"),
-                                   some("evidence_quote")), 1, EMBED_TEXT_LENGTH)
+    return F.concat_ws(" ", some("label"), some("normalized_label"), F.col("value"), some("unit"), some("evidence_quote"))
 
 
 def embed_missing(rows: DataFrame, embedded: DataFrame, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Vectors for rows (id, text) that have none yet.  The caller supplies the model; it gets
-    batches of at most EMBED_BATCH texts inside Arrow-fed tasks."""
+    """Vectors for rows (id, text) that have none yet, of whole texts: callers pass chunks or fact texts, which a model
+    takes in whole.  The caller supplies the model; it gets batches of at most EMBED_BATCH texts inside Arrow-fed tasks."""
     todo = rows.join(embedded.select("id"), "id", "left_anti").filter(F.coalesce(F.col("text"), F.lit("")) != "") \
-               .select("id", F.substring("text", 1, EMBED_TEXT_LENGTH).alias("text"))
+               .select("id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

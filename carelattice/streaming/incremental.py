@@ -12,30 +12,58 @@ from carelattice.functions.values import drift, is_worsening, reading
 from carelattice.lexicon import Lexicon
 from carelattice.operators.facts import fact_fingerprint
 from carelattice.operators.grounding import ground
+from carelattice.session import cut_lineage
 from carelattice.sources.tables import BUCKETS, bucket
 
 Derive = Callable[[DataFrame], dict[str, DataFrame]]
 
 
 def apply_batch(batch: DataFrame, batch_id: int, root: str, derive: Derive, buckets: int = BUCKETS) -> None:
-    """Store a micro-batch and rederive the patient buckets it touches.
+    """Store a micro-batch and rederive the patients it touches.
 
-    Both writes replace whole partitions, the events under the batch id and the outputs under
-    the bucket, so replaying a batch after a failure changes nothing.
-    """
+    Only the touched patients' events are derived again.  In the buckets these patients live in, their old output rows are
+    replaced, those of other patients are carried over as they are; a row that is no longer derived goes, also
+    when it was the last of its bucket.  Events are written under the batch's number and outputs by whole buckets, so
+    replaying a batch after a failure changes nothing."""
     spark = batch.sparkSession
     rows = batch.withColumns({"bucket": bucket("patient_id", buckets), "batch_id": F.lit(batch_id)})
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id")
      .parquet(f"{root}/events"))
+    events = spark.read.parquet(f"{root}/events")
+    touched = cut_lineage(events.filter(F.col("batch_id") == batch_id).select("patient_id", "bucket").distinct())
     # bucket numbers only: bounded by ``buckets``
-    touched = [r["bucket"] for r in spark.read.parquet(f"{root}/events").filter(F.col("batch_id") == batch_id)
-               .select("bucket").distinct().collect()]
-    if not touched:
+    numbers = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+    if not numbers:
         return
-    snapshot = spark.read.parquet(f"{root}/events").filter(F.col("bucket").isin(touched)).drop("bucket", "batch_id")
-    for name, out in derive(snapshot).items():
-        (out.withColumn("bucket", bucket("patient_id", buckets)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}"))
+    mine = events.filter(F.col("bucket").isin(numbers)).join(touched.select("patient_id"), "patient_id", "left_semi")
+    for name, out in derive(mine.drop("bucket", "batch_id")).items():
+        path = f"{root}/{name}"
+        new = cut_lineage(out.withColumn("bucket", bucket("patient_id", buckets)))
+        if not _exists(spark, path):
+            new.write.partitionBy("bucket").parquet(path)
+            continue
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(numbers))
+        kept = cut_lineage(old.join(touched.select("patient_id"), "patient_id", "left_anti").select(*new.columns))
+        both = kept.unionByName(new)
+        for n in set(numbers) - {r["bucket"] for r in both.select("bucket").distinct().collect()}:
+            _remove(spark, f"{path}/bucket={n}")
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _path(spark, path)
+    return files.exists(place)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Drops one partition's folder, by the file system Spark itself uses."""
+    files, place = _path(spark, path)
+    files.delete(place, True)
 
 
 def run_incremental(events: DataFrame, root: str, derive: Derive, checkpoint: str, buckets: int = BUCKETS,
@@ -50,13 +78,15 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def streaming_dedup(events: DataFrame, delay: str, lex: Lexicon | None = None) -> DataFrame:
-    """First arrival per fact fingerprint; state is kept for ``delay`` of event time."""
+def streaming_dedup(events: DataFrame, delay: str, lex: Lexicon | None = None, arrived_at: str | None = None) -> DataFrame:
+    """First arrival per fact fingerprint; a fingerprint is remembered for ``delay`` after it arrived.
+
+    Time is when a row arrives (column ``arrived_at``, or the time of processing), never when a fact was observed: facts are often
+    years old when they come, and none is dropped for that."""
     g = ground(events, lex)
-    keys = fact_fingerprint()
-    named = g.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
-    return named.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(
-        [f"_k{i}" for i in range(len(keys))]).drop(*[f"_k{i}" for i in range(len(keys))])
+    keys = {f"_k{i}": k for i, k in enumerate(fact_fingerprint())}
+    named = g.withColumns(keys | {"_arrived": F.current_timestamp() if arrived_at is None else F.col(arrived_at)})
+    return named.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_arrived", *keys)
 
 
 def streaming_trends(events: DataFrame, lex: Lexicon | None = None) -> DataFrame:

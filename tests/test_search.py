@@ -29,7 +29,8 @@ def test_vector_search_in_slices(spark, monkeypatch):
     v = spark.createDataFrame(vecs, "id int, vector array<double>")
     q = v.select(F.col("id").alias("query_id"), "vector")
     whole = search.vector_top_k(v, q, 3).collect()
-    monkeypatch.setattr(search, "QUERY_SLICE", 7)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "VECTOR_PART", 9)
     assert sorted(search.vector_top_k(v, q, 3).collect()) == sorted(whole)
 
 

@@ -136,6 +136,34 @@ def test_incremental_stream_is_idempotent(spark, make_events, tmp_path):
     assert spark.read.parquet(f"{root}/facts").count() == 4
 
 
+def test_incremental_drops_what_is_no_longer_derived(spark, make_events, tmp_path):
+    """A patient's only output row vanishes with a second batch, and the bucket with it; a neighbour in the bucket keeps its row."""
+    root = str(tmp_path / "out")
+    derive = lambda df: {"open": df.groupBy("patient_id").agg(F.max_by("status", "seq").alias("status")).filter("status = 'active'")}
+    batch = lambda p, s, n: make_events(dict(kind="condition", label="CKD", id=f"{p}{n}", status=s), patient=p).withColumn("seq", F.lit(n))
+    for buckets, others in ((64, []), (1, ["p2"])):
+        out = f"{root}/{buckets}"
+        incremental.apply_batch(batch("p1", "active", 0), 0, out, derive, buckets)
+        incremental.apply_batch(batch("p2", "active", 0), 1, out, derive, buckets)
+        incremental.apply_batch(batch("p1", "resolved", 1), 2, out, derive, buckets)
+        assert [r.patient_id for r in spark.read.parquet(f"{out}/open").collect()] == ["p2"]
+        incremental.apply_batch(batch("p1", "active", 2), 3, out, derive, buckets)
+        assert sorted(r.patient_id for r in spark.read.parquet(f"{out}/open").collect()) == ["p1", "p2"]
+
+
+def test_streaming_dedup_keeps_old_facts(spark, make_events, tmp_path):
+    """A fact observed years before others is no late row: it arrives now."""
+    path = str(tmp_path / "s")
+    dates = [dt.datetime(2026, 2, 1), dt.datetime(2026, 2, 2), dt.datetime(2020, 5, 1)]
+    for i, when in enumerate(dates):
+        make_events(dict(kind="lab", label="a1c", value=f"{i}.5", at=when)).coalesce(1).write.parquet(path, mode="append")
+    schema = spark.read.parquet(path).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    d = incremental.streaming_dedup(incremental.event_stream(spark, path, schema, 1), "30 days")
+    q = d.writeStream.format("memory").queryName("old").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert spark.table("old").count() == 3
+
+
 def test_streaming_dedup_and_trends(spark, make_events, tmp_path):
     path = str(tmp_path / "s")
     make_events(dict(kind="lab", label="a1c", value="6.8"), dict(kind="lab", label="HbA1c", value="6.8"),
@@ -155,6 +183,7 @@ def test_streaming_dedup_and_trends(spark, make_events, tmp_path):
 def test_proposed_edges_are_checked(spark, make_events):
     nodes = spark.createDataFrame([("p1", "condition:ckd", "condition", "Chronic kidney disease"), ("p1", "lab:egfr", "lab", "eGFR: 48"),
                                    ("p1", "medication:advil", "medication", "Ibuprofen")], "patient_id string, node_id string, kind string, label string")
+    nodes = nodes.withColumn("ord", F.struct(F.lit(2).alias("family"), F.lit(0).alias("first_seq"), "node_id"))
     ne = spark.createDataFrame([("p1", "lab:egfr", "e1")], "patient_id string, node_id string, event_id string")
     prop = spark.createDataFrame([("p1", 0, "egfr", "kidney disease", "worsening_trend", "r"), ("p1", 1, "eGFR: 48", "Chronic kidney disease", "worsening_trend", "dup"),
                                   ("p1", 2, "Ibuprofen", "eGFR", "takes", "bad"), ("p1", 3, "ibuprofen", "chronic kidney disease", "contraindicated_with", "known"),
@@ -182,8 +211,11 @@ def test_extra_alerts_trends_citations(spark, make_events, make_sources):
     trends_, evid = proposals.checked_trends(t, ev)
     assert [(r.trend_id, r.direction, r.specialty) for r in trends_.collect()] == [("t1", "stable", None)]
     assert [r.source_type for r in proposals.trend_evidence(evid, ev, make_sources(("p1", "other", "emr", None))).collect()] == ["event"]
-    nodes = spark.createDataFrame([("p1", "n1", "lab", "eGFR: 48")], "patient_id string, node_id string, kind string, label string")
-    ne = spark.createDataFrame([("p1", "n1", "e0")], "patient_id string, node_id string, event_id string")
+    # a conversation node whose id sorts first holds the event too: the entity comes before it in graph order
+    nodes = spark.createDataFrame([("p1", "n1", "lab", "eGFR: 48", 2), ("p1", "a_ctx", "conversation", "Chat", 3)],
+                                  "patient_id string, node_id string, kind string, label string, family int")
+    nodes = nodes.withColumn("ord", F.struct("family", F.lit(0).alias("first_seq"), "node_id")).drop("family")
+    ne = spark.createDataFrame([("p1", "n1", "e0"), ("p1", "a_ctx", "e0")], "patient_id string, node_id string, event_id string")
     cites = spark.createDataFrame([("p1", 1, 0, None, "e0", "n"), ("p1", 1, 1, "n1", None, None), ("p1", 1, 2, "zz", None, " "), ("p1", 1, 3, None, None, "why")],
                                   "patient_id string, answer_id int, pos int, node_id string, event_id string, note string")
     c = proposals.resolve_citations(cites, nodes, ne, ev).orderBy("pos").collect()
