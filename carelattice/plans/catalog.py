@@ -192,17 +192,6 @@ def corroboration(spark, sf):
     return fx.source_counts(fx.validate(fx.candidate_facts(e, s)).filter("accepted"))
 
 
-@register("review_queue", o.with_(o.GROUND, o.FACTS, o.sid_cte("rv", """(SELECT patient_id, event_id AS target_id,
-   'Needs review due to uncertainty or medium confidence' AS reason FROM cand WHERE confidence < 0.9)""", "review", "concat(target_id, ':', reason)", "review_id"))
-    + "SELECT patient_id, 'fact' AS target_type, target_id, reason, 'open' AS status, review_id FROM rv")
-def review_queue(spark, sf):
-    """Facts below a stricter bar than the default, so that the queue is not empty on clean data."""
-    e, s = _events_sources(spark, sf)
-    v = fx.validate(fx.candidate_facts(e, s))
-    reason = F.when(F.col("confidence") < 0.9, "Needs review due to uncertainty or medium confidence")
-    return fx.review_items(v.withColumn("review_reason", F.coalesce("review_reason", reason)))
-
-
 @register("contradictions_status", o.with_(o.GROUND, o.FACTS, o.CONTRA) + "SELECT patient_id, concept_key, tag, facts, sources, reason FROM sc")
 def contradictions_status(spark, sf):
     return contra.status_contradictions(_facts(spark, sf)).drop("day")
