@@ -45,12 +45,12 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY,
                         ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if with_ids else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             held = 0
-            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(enc.encode(whole.as_py()) + end)
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                ids = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes())
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for k, at in enumerate([0, *range(first, n, capacity)]):

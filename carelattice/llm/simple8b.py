@@ -126,19 +126,19 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 2
     ascending order of doc_id (nulls first; rows of one doc_id by text): task, then segment, then place.
     Repeated rows are written as often as they come; other columns are not read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, task = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
+        enc, task = encoder(tokenizer), TaskContext.get().partitionId()
         keys, parts, held, before, segment = [], [], 0, 0, 0
 
         def full() -> pa.RecordBatch:
-            words, first = encode(np.frombuffer(b"".join(parts), "<u4"))
-            row = ([task], [segment], [before], [held], [keys], [[len(p) // 4 for p in parts]], [first.tolist()], [words.astype("<u8").tobytes()])
+            words, first = encode(np.concatenate(parts))
+            row = ([task], [segment], [before], [held], [keys], [[len(p) for p in parts]], [first.tolist()], [words.astype("<u8").tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=names)
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(x.as_py() for x in batch.column(1))):
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
                 keys.append(key)
-                parts.append(ids + end)
-                held += len(parts[-1]) // 4
+                parts.append(np.append(ids, np.uint32(end_id)))
+                held += len(parts[-1])
                 if held >= SEGMENT_IDS:
                     yield full()
                     before, segment = before + held, segment + 1
