@@ -48,13 +48,13 @@ def clusters(gfacts: DataFrame) -> DataFrame:
 
 def merge_edges(cl: DataFrame) -> DataFrame:
     """Pairs of clusters of one patient to merge.  Two known concepts never merge by
-    spelling, so similarity runs on distinct labels with at least one unknown side."""
-    labels = cl.groupBy("block", F.col("canonical").alias("label")).agg(
-        F.min(F.col("concept_id").isNull()).alias("left"), F.lit(True).alias("right"))
-    pairs = similar_pairs(labels, MERGE_THRESHOLD).select("block", "a", "b")
+    spelling, so similarity runs within the patient on labels with at least one unknown side."""
+    labels = cl.groupBy("patient_id", "block", F.col("canonical").alias("label")).agg(
+        F.max(F.col("concept_id").isNull()).alias("left"), F.lit(True).alias("right"))
+    pairs = similar_pairs(labels, MERGE_THRESHOLD, ("patient_id", "block")).select("patient_id", "block", "a", "b")
     left = cl.select("patient_id", "block", F.col("canonical").alias("a"), F.col("cluster_key").alias("ka"))
     right = cl.select("patient_id", "block", F.col("canonical").alias("b"), F.col("cluster_key").alias("kb"))
-    return (left.join(pairs, ["block", "a"]).join(right, ["patient_id", "block", "b"])
+    return (left.join(pairs, ["patient_id", "block", "a"]).join(right, ["patient_id", "block", "b"])
             .select("patient_id", "block", F.col("ka").alias("a"), F.col("kb").alias("b")))
 
 

@@ -133,15 +133,15 @@ def barrier_relationships(entities: DataFrame, lex: Lexicon | None = None) -> Da
     targets = entities.filter(F.col("kind").isin("condition", "medication", "lab"))
     is_barrier = F.col("kind") == "barrier"
     labels = (entities.filter(F.col("kind").isin("barrier", "condition", "medication", "lab"))
-              .groupBy(F.lit("care").alias("block"), F.col("canonical_label").alias("label"))
+              .groupBy("patient_id", F.col("canonical_label").alias("label"))
               .agg(F.max(is_barrier).alias("left"), F.max(~is_barrier).alias("right")))
-    pairs = similar_pairs(labels, BARRIER_THRESHOLD)
-    same = barriers.select(F.col("canonical_label").alias("from_label")).distinct().join(
-        targets.select(F.col("canonical_label").alias("to_label")).distinct(),
-        F.col("from_label") == F.col("to_label")).withColumn("score", F.lit(1.0))
-    scored = pairs.select(F.col("a").alias("from_label"), F.col("b").alias("to_label"), "score").unionByName(same)
+    pairs = similar_pairs(labels, BARRIER_THRESHOLD, ("patient_id",))
+    # a label on both sides pairs with itself, and its pairs count for either side
+    both = labels.filter(F.col("left") & F.col("right")).select("patient_id", F.col("label").alias("a"), F.col("label").alias("b"), F.lit(1.0).alias("score"))
+    pairs = pairs.unionByName(pairs.select("patient_id", F.col("b").alias("a"), F.col("a").alias("b"), "score")).distinct().unionByName(both)
+    scored = pairs.select("patient_id", F.col("a").alias("from_label"), F.col("b").alias("to_label"), "score")
     kind_rank = F.when(F.col("to_kind") == "condition", 0).when(F.col("to_kind") == "medication", 1).otherwise(2)
-    c = (_side(barriers, "from").join(scored, "from_label").join(_side(targets, "to"), ["patient_id", "to_label"])
+    c = (_side(barriers, "from").join(scored, ["patient_id", "from_label"]).join(_side(targets, "to"), ["patient_id", "to_label"])
          .withColumn("family", F.lit(6)).withColumn("rule_no", F.lit(0)).withColumn("relation", F.lit("barrier_to"))
          .withColumn("confidence", F.lit(BARRIER_CONFIDENCE)).withColumn("severity", _empty())
          .withColumn("rationale", F.concat(F.lit('"'), "from_label", F.lit('" may be obstructing care for '),

@@ -1,10 +1,10 @@
-"""Exact similarity join of short labels (token Jaccard or bigram Dice at a threshold).
+"""Exact similarity join of short labels (token Jaccard or bigram Dice at a threshold) within a scope, such as a patient.
 
 Pairs come from shared signatures, not from comparing everything with everything:
 two sets whose overlap must reach ``o`` share at least ``m`` elements among their
-first ``n - o + m`` elements in any common global order (prefix filtering).  Rare
-elements come first, so signatures stay selective.  Every candidate is then verified
-with the exact measure; nothing is capped.
+first ``n - o + m`` elements in any common order (prefix filtering).  Signatures are made once per distinct
+label; labels only meet under the same signature of the same scope, so what two patients have in common makes no
+pair and no hot key.  Each distinct pair that meets is scored once with the exact measure; nothing is capped.
 """
 
 from __future__ import annotations
@@ -18,13 +18,9 @@ from carelattice.functions.text import bigrams, multiset, similarity, word_token
 from carelattice.session import cut_lineage
 
 
-def _ordered(df: DataFrame, elements: str, keys: list[str]) -> DataFrame:
-    """Replace an element array by the same elements, globally rarest first (arrays are label-sized)."""
-    long = df.select(*keys, F.explode(elements).alias("_e"))
-    freq = long.groupBy("block", "_e").agg(F.count(F.lit(1)).alias("_df"))
-    return (long.join(freq, ["block", "_e"]).groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("_df", "_e"))).alias("_s"))
-            .select(*keys, F.col("_s._e").alias(elements)))
+def _ordered(elements: Column) -> Column:
+    """The same elements in one order for all labels, that of a hash: common ones do not come first."""
+    return F.transform(F.array_sort(F.transform(elements, lambda e: F.struct(F.xxhash64(e).alias("h"), e.alias("e")))), lambda s: s.e)
 
 
 def _signatures(items: Column, share: float, width: int, tag: str) -> Column:
@@ -40,38 +36,40 @@ def _signatures(items: Column, share: float, width: int, tag: str) -> Column:
     return F.when(n == 1, F.transform(items, lambda e: F.concat(F.lit(tag + "1"), e))).otherwise(pairs)
 
 
-def similar_pairs(labels: DataFrame, threshold: float) -> DataFrame:
-    """(block, a, b, score) for pairs of labels of one block with similarity >= threshold.
+def label_signatures(labels: DataFrame, threshold: float) -> DataFrame:
+    """(label, _sigs) for each distinct label: similar ones share one at least."""
+    share = threshold / (2 - threshold)
+    width = 2 if math.ceil(2 * share - 1e-9) >= 2 else 1
+    grams = _ordered(multiset(bigrams(F.col("label"))))
+    words = _ordered(F.array_distinct(word_tokens(F.col("label"))))
+    feats = labels.select("label").distinct().select("label", grams.alias("_g"), words.alias("_t"))
+    by_grams = F.when(F.size("_g") > 0, _signatures(F.col("_g"), share, width, "g"))
+    by_words = F.when(F.size("_t") > 0, _signatures(F.col("_t"), threshold, width, "t"))
+    if width == 2:
+        # sets of at most n tokens reach the threshold only when equal, larger ones by prefix pairs
+        n = _equal_only(threshold)
+        whole = F.array(F.concat(F.lit("t="), F.array_join(F.col("_t"), "\u0001")))
+        by_words = F.when(F.size("_t") == 0, None).when(F.size("_t") <= n, whole).otherwise(by_words)
+    none = F.array().cast("array<string>")
+    return feats.select("label", F.array_distinct(F.concat(F.coalesce(by_grams, none), F.coalesce(by_words, none))).alias("_sigs"))
+
 
-    ``labels`` has distinct rows (block, label, left, right); a pair needs a on the left
+def similar_pairs(labels: DataFrame, threshold: float, scope: tuple[str, ...] = ("block",)) -> DataFrame:
+    """(scope..., a, b, score) for pairs of labels of one scope with similarity >= threshold.
+
+    ``labels`` has distinct rows (scope..., label, left, right); a pair needs a on the left
     side, b on the right side and a != b.  Where both labels are on both sides the pair
     appears once (a < b).
     """
-    dice_share = threshold / (2 - threshold)
-    width = 2 if math.ceil(2 * dice_share - 1e-9) >= 2 else 1
-    keys = ["block", "label", "left", "right"]
-    # features are computed once per distinct label and stored: several branches read them
-    feats = cut_lineage(labels.select(*keys, multiset(bigrams(F.col("label"))).alias("_g"),
-                                      F.array_distinct(word_tokens(F.col("label"))).alias("_t")))
-    grams = _ordered(feats, "_g", keys).select(*keys, F.explode(_signatures(F.col("_g"), dice_share, width, "g")).alias("_sig"))
-    if width == 2:
-        # sets of at most n tokens reach the threshold only when equal, larger ones by prefix pairs
-        n = _equal_only(threshold)
-        equal = feats.filter((F.size("_t") > 0) & (F.size("_t") <= n)).select(
-            *keys, F.concat(F.lit("t="), F.array_join(F.array_sort("_t"), "\u0001")).alias("_sig"))
-        # long labels are few: plain order is selective enough and needs no frequency pass
-        large = feats.filter(F.size("_t") > n).select(
-            *keys, F.explode(_signatures(F.array_sort("_t"), threshold, 2, "t")).alias("_sig"))
-        sig = grams.union(equal).union(large)
-    else:
-        sig = grams.union(_ordered(feats, "_t", keys).select(
-            *keys, F.explode(_signatures(F.col("_t"), threshold, 1, "t")).alias("_sig")))
-    a = sig.filter("left").select("block", "_sig", F.col("label").alias("a"), F.col("right").alias("_ra"))
-    b = sig.filter("right").select("block", "_sig", F.col("label").alias("b"), F.col("left").alias("_lb"))
-    pairs = a.join(b, ["block", "_sig"]).filter(
+    # read by both sides of the join
+    sig = cut_lineage(labels.join(label_signatures(labels, threshold), "label").select(*scope, "label", "left", "right", F.explode("_sigs").alias("_sig")))
+    a = sig.filter("left").select(*scope, "_sig", F.col("label").alias("a"), F.col("right").alias("_ra"))
+    b = sig.filter("right").select(*scope, "_sig", F.col("label").alias("b"), F.col("left").alias("_lb"))
+    met = a.join(b, [*scope, "_sig"]).filter(
         (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~(F.col("_ra") & F.col("_lb"))))
-    return (pairs.select("block", "a", "b").distinct()
-            .withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold))
+    met = cut_lineage(met.select(*scope, "a", "b").distinct())
+    scored = met.select("a", "b").distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    return met.join(scored, ["a", "b"]).select(*scope, "a", "b", "score")
 
 
 def _equal_only(threshold: float) -> int:
