@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +27,7 @@ EMBED_BATCH = 25
 # --- end of fixed values ----------------------------------------------------
 
 _MARKER = "\u0000"  # cannot occur in a token
+INDEX_BUCKETS = 64
 VECTOR_PART, QUERY_BLOCK = 4096, 1024  # vectors and queries that meet in one task, about
 
 
@@ -108,26 +109,33 @@ def bm25_contribution(tf: Column, df: Column, n: Column, doc_len: Column, avg_le
     return idf * (tf / (tf + 0.5 + 1.5 * (doc_len / avg_len)))
 
 
+def query_terms(queries: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, query_id, term, q_tf); a term repeated in a query counts again."""
+    return queries.select(*scope, "query_id", F.explode(search_tokens(F.col("query_text"))).alias("term")).groupBy(
+        *scope, "query_id", "term").agg(F.count(F.lit(1)).alias("q_tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = LEXICAL_K, scope: list[str] | None = None) -> DataFrame:
-    """Top ``k`` documents per query: (scope, query_id, doc_id, score, matched_terms, rank).
+    """Top ``k`` documents per query: (scope, query_id, doc_id, score, matched_terms, rank), by one pass over the texts.
 
-    ``queries`` has the scope columns, query_id and query_text.  A term repeated in a query
-    counts again.  Ties go to the smaller doc_id.
+    ``queries`` has the scope columns, query_id and query_text.  Ties go to the smaller doc_id.  For many searches of one
+    corpus, build_index() once and use search_index().
     """
     scope = scope or []
-    q = cut_lineage(queries.select(*scope, "query_id", F.explode(search_tokens(F.col("query_text"))).alias("term"))
-                    .groupBy(*scope, "query_id", "term").agg(F.count(F.lit(1)).alias("q_tf")))
-    # one pass over the texts: every document adds a marker posting, so document count and mean
-    # length come from the same stored rows as the postings of the query terms
+    q = cut_lineage(query_terms(queries, scope))
+    # every document adds a marker posting, so document count and mean length come from the same stored rows as the
+    # postings of the query terms
     tok = tokenized(docs, scope)
     marked = tok.select(*scope, "doc_id", "doc_len", F.array_append("tokens", F.lit(_MARKER)).alias("tokens"))
     wanted = q.select(*scope, "term").union(q.select(*scope, F.lit(_MARKER).alias("term"))).distinct()
     stored = cut_lineage(postings(marked, scope, wanted))
-    posts = stored.filter(F.col("term") != _MARKER)
-    freq = document_frequency(posts, scope)
     sizes = stored.filter(F.col("term") == _MARKER).groupBy(*scope).agg(
         F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
-    p = posts.join(freq, [*scope, "term"])
+    return _scored(stored.filter(F.col("term") != _MARKER), sizes, q, k, scope)
+
+
+def _scored(posts: DataFrame, sizes: DataFrame, q: DataFrame, k: int, scope: list[str]) -> DataFrame:
+    p = posts.join(document_frequency(posts, scope), [*scope, "term"])
     if scope:
         p = p.join(sizes, scope)
     else:
@@ -140,6 +148,32 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEXICAL_K, scope: list[st
     return top_k(scored, [*scope, "query_id"], k)
 
 
+def _term_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, scope: list[str] | None = None, buckets: int = INDEX_BUCKETS) -> None:
+    """Writes the postings, laid out by a hash of the term, and the document count and mean length of each index."""
+    scope = scope or []
+    tok = tokenized(docs, scope)
+    (postings(tok, scope).withColumn("bucket", _term_bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+     .write.partitionBy("bucket").parquet(f"{path}/postings"))
+    tok.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/sizes")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = LEXICAL_K, scope: list[str] | None = None) -> DataFrame:
+    """bm25() over a built index: only the partitions of the query terms are read."""
+    scope = scope or []
+    q = cut_lineage(query_terms(queries, scope))
+    sizes = spark.read.parquet(f"{path}/sizes")
+    buckets = sizes.agg(F.max("buckets")).first()[0] or 1
+    # at most ``buckets`` small integers reach the driver
+    asked = [r.bucket for r in q.select(_term_bucket(buckets).alias("bucket")).distinct().collect()]
+    posts = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(asked))
+    posts = posts.join(q.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+    return _scored(posts, sizes.drop("buckets"), q, k, scope)
+
+
 def top_k(hits: DataFrame, group: list[str], k: int, id_col: str = "doc_id") -> DataFrame:
     """rank <= k by score, then id.  Spark limits each group before and after the shuffle.
     Scores equal to nine decimals are ties, since sums depend on the order of addition."""

@@ -14,7 +14,8 @@ from carelattice.operators import proposals as pr
 from carelattice.operators import search as se
 from carelattice.plans import oracles as o
 from carelattice.plans.activity import health_events
-from carelattice.plans.catalog import FACT_TRENDS, GRAPH, GRAPH_ALL, _events_sources, _stored_graph, register
+from carelattice.plans.catalog import (CORPUS, FACT_TRENDS, GRAPH, GRAPH_ALL, POSTS, _bench_queries, _corpus, _events_sources, _stored_graph,
+                                        bm25_sql, register)
 from carelattice.session import ensure_checkpoint_dir
 from carelattice.sources import tables as tb
 from carelattice.streaming import incremental
@@ -220,3 +221,13 @@ def incremental_readings(spark, sf):
     for n in (0, 1, 2, 2):
         incremental.apply_batch(e.filter(F.col("seq") % 3 == n), n, root, derive, 8)
     return spark.read.parquet(f"{root}/readings").drop("bucket")
+
+
+@register("stored_index_topk", o.with_(CORPUS, POSTS, bm25_sql("SELECT item_id AS query_id, text AS query_text FROM benchmark", 8))
+          + "SELECT query_id, doc_id, round(score, 6) AS score, matched, rank FROM lexk")
+def stored_index_topk(spark, sf):
+    """The index is built and stored once, then searched by its terms' partitions."""
+    path = fresh_folder(spark)
+    se.build_index(_corpus(spark, sf), path)
+    hits = se.search_index(spark, path, _bench_queries(spark, sf))
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.size("matched_terms").cast("bigint").alias("matched"), "rank")

@@ -15,6 +15,8 @@ MAX_CHUNK, MIN_BREAK = 1200, 300
 _BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200b)))
 # --- end of fixed values ----------------------------------------------------
 
+OUTPUT_CHARS = 4 << 20  # pieces of about so many characters leave a task together
+
 
 def _cuts(text: str) -> list[tuple[int, int]]:
     """(start, end) of each piece: up to MAX_CHUNK characters, cut at the last paragraph break, else
@@ -39,7 +41,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "source_id", text: str = "raw
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for key, body in zip(pdf["id"], pdf["body"]):
                 ordinal = 0
                 for start, end in _cuts(body):
@@ -47,6 +49,10 @@ def chunk_documents(docs: DataFrame, id_col: str = "source_id", text: str = "raw
                     if piece:
                         rows.append((key, ordinal, start, end, piece))
                         ordinal += 1
+                held += len(body)
+                if held > OUTPUT_CHARS:  # bounds what a task holds, not what it reads
+                    yield pd.DataFrame(rows, columns=["id", "ordinal", "start_offset", "end_offset", "text"])
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=["id", "ordinal", "start_offset", "end_offset", "text"])
 
     body = docs.select(F.col(id_col).alias("id"), js_trim(F.col(text)).alias("body")).filter(F.col("body") != "")

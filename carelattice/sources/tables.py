@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.session import cut_lineage
+from carelattice.session import cut_lineage, remove_folder
 
 BUCKETS = 64
 
@@ -125,12 +125,10 @@ def delete_user(spark: SparkSession, root: str, user_id: str, buckets: int = BUC
             continue
         bucket_rows = spark.read.parquet(path).filter(F.col("bucket").isin(hit))
         rest = cut_lineage(bucket_rows.filter(F.col("user_id") != user_id))
-        if rest.isEmpty():
-            # dynamic overwrite never empties a partition: keep the table without it
-            others = cut_lineage(spark.read.parquet(path).filter(~F.col("bucket").isin(hit)))
-            others.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
-        else:
-            _replace_buckets(rest, path)
+        # dynamic overwrite never empties a partition, so those without any other user are dropped
+        for n in set(hit) - {r["bucket"] for r in rest.select("bucket").distinct().collect()}:
+            remove_folder(spark, f"{path}/bucket={n}")
+        _replace_buckets(rest, path)
 
 
 # -- referential filters -----------------------------------------------------------------------

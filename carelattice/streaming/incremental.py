@@ -12,7 +12,7 @@ from carelattice.functions.values import drift, is_worsening, reading
 from carelattice.lexicon import Lexicon
 from carelattice.operators.facts import fact_fingerprint
 from carelattice.operators.grounding import ground
-from carelattice.session import cut_lineage
+from carelattice.session import cut_lineage, folder_exists, remove_folder
 from carelattice.sources.tables import BUCKETS, bucket
 
 Derive = Callable[[DataFrame], dict[str, DataFrame]]
@@ -39,33 +39,17 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, derive: Derive, buck
     for name, out in derive(mine.drop("bucket", "batch_id")).items():
         path = f"{root}/{name}"
         new = cut_lineage(out.withColumn("bucket", bucket("patient_id", buckets)))
-        if not _exists(spark, path):
+        if not folder_exists(spark, path):
             new.write.partitionBy("bucket").parquet(path)
             continue
         old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(numbers))
         kept = cut_lineage(old.join(touched.select("patient_id"), "patient_id", "left_anti").select(*new.columns))
         both = kept.unionByName(new)
         for n in set(numbers) - {r["bucket"] for r in both.select("bucket").distinct().collect()}:
-            _remove(spark, f"{path}/bucket={n}")
+            remove_folder(spark, f"{path}/bucket={n}")
         both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def _path(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    files, place = _path(spark, path)
-    return files.exists(place)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Drops one partition's folder, by the file system Spark itself uses."""
-    files, place = _path(spark, path)
-    files.delete(place, True)
-
-
 def run_incremental(events: DataFrame, root: str, derive: Derive, checkpoint: str, buckets: int = BUCKETS,
                     available_now: bool = True) -> StreamingQuery:
     """Start the stream; each micro-batch goes through ``apply_batch``."""
