@@ -1,12 +1,14 @@
 """Conversations (conv_id, turn, role, text): filtering, transcripts, context and events.
 
 A conversation may be arbitrarily long.  Keyword flags are boolean aggregates, text prefixes
-need only the first turns, and the one phrase that can straddle turns is checked against the
+need only the first turns, and phrases that can straddle turns are checked against the
 next turns inside bounded buckets of turns; no conversation is gathered into one row.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +32,11 @@ SUMMARY_LENGTH, CONCERN_LENGTH, HISTORY_TURNS = 280, 80, 8
 # --- end of fixed values ----------------------------------------------------
 
 TURN_BUCKET = 4096
-_SPLIT_PHRASE = "shortness of breath"
+# Phrases of several words that a rule looks for: they may begin in one turn and end in a later one.
+PHRASES = sorted({alt for p in [p for p, *_ in KEYWORD_RULES] + [p for rules in CONTEXT_RULES.values() for p, _ in rules]
+                  for alt in p.split("|") if " " in alt})
+HEAD = max(map(len, PHRASES), default=0)
+AHEAD = max((len(p.split(" ")) - 1 for p in PHRASES), default=0)  # every turn adds a word at least
 
 
 def valid_messages(messages: DataFrame) -> DataFrame:
@@ -53,22 +59,22 @@ def history_tail(messages: DataFrame, turns: int = HISTORY_TURNS) -> DataFrame:
 
 
 def _following(user: DataFrame) -> DataFrame:
-    """Adds ``next``: the start of the user text after this turn.  Two further turns suffice for the
-    three-word phrase.  Buckets bound every window; the edge of a bucket continues into the next ones."""
-    head = F.substring(F.lower("text"), 1, 16)
+    """Adds ``next``: the start of the user text after this turn, from as many turns as the longest phrase can touch.
+    Buckets bound every window; the edge of a bucket continues into the next ones."""
+    head = F.substring(F.lower("text"), 1, HEAD)
     u = user.select("conv_id", "turn", F.lower("text").alias("low"), head.alias("head"),
                     F.floor(F.col("turn") / TURN_BUCKET).alias("bucket"))
     w = W.partitionBy("conv_id", "bucket").orderBy("turn")
-    u = u.withColumn("n1", F.lead("head", 1).over(w)).withColumn("n2", F.lead("head", 2).over(w))
-    first = (u.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2)
+    ahead = [f"n{k}" for k in range(1, AHEAD + 1)]
+    u = u.withColumns({n: F.lead("head", k).over(w) for k, n in enumerate(ahead, 1)})
+    first = (u.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= AHEAD)
              .groupBy("conv_id", "bucket").agg(F.array_join(F.transform(
                  F.array_sort(F.collect_list(F.struct("_r", "head"))), lambda s: s["head"]), " ").alias("start")))
     wb = W.partitionBy("conv_id").orderBy("bucket")
-    later = first.select("conv_id", "bucket", F.concat_ws(" ", F.lead("start", 1).over(wb), F.lead("start", 2).over(wb))
-                         .alias("after"))
-    edge = u.filter(F.col("n2").isNull()).join(later, ["conv_id", "bucket"]).select(
-        "conv_id", "low", F.concat_ws(" ", "n1", "after").alias("next"))
-    inner = u.filter(F.col("n2").isNotNull()).select("conv_id", "low", F.concat_ws(" ", "n1", "n2").alias("next"))
+    later = first.select("conv_id", "bucket", F.concat_ws(" ", *(F.lead("start", k).over(wb) for k in range(1, AHEAD + 1))).alias("after"))
+    edge = u.filter(F.col(ahead[-1]).isNull()).join(later, ["conv_id", "bucket"]).select(
+        "conv_id", "low", F.concat_ws(" ", *ahead, "after").alias("next"))
+    inner = u.filter(F.col(ahead[-1]).isNotNull()).select("conv_id", "low", F.concat_ws(" ", *ahead).alias("next"))
     return inner.unionByName(edge)
 
 
@@ -77,16 +83,22 @@ def user_flags(user: DataFrame, patterns: list[str]) -> DataFrame:
     flat = user.select("conv_id", F.lower("text").alias("low"))
     per_turn = [F.max(F.col("low").rlike(p)).alias(f"f{i}") for i, p in enumerate(patterns)]
     flags = flat.groupBy("conv_id").agg(*per_turn)
-    words = _SPLIT_PHRASE.split(" ")
-    cut = F.lit(False)
-    for n in range(1, len(words)):
-        cut = cut | (F.endswith(F.col("low"), F.lit(" ".join(words[:n])))
-                     & F.startswith(F.col("next"), F.lit(" ".join(words[n:]))))
-    span = _following(user).groupBy("conv_id").agg(F.max(cut).alias("_span"))
-    flags = flags.join(span, "conv_id", "left")
-    spanning = {f"f{i}": F.col(f"f{i}") | F.coalesce("_span", F.lit(False))
-                for i, p in enumerate(patterns) if _SPLIT_PHRASE in p}
-    return flags.withColumns(spanning).drop("_span") if spanning else flags.drop("_span")
+    if not PHRASES:
+        return flags
+
+    def cut(phrase: str) -> Column:
+        """A turn ends with the phrase's first words and the text after it goes on with the rest."""
+        words = phrase.split(" ")
+        return functools.reduce(lambda a, b: a | b, (
+            F.endswith(F.col("low"), F.lit(" ".join(words[:n]))) & F.startswith(F.col("next"), F.lit(" ".join(words[n:]))) for n in range(1, len(words))))
+
+    spans = _following(user).groupBy("conv_id").agg(*(F.max(cut(p)).alias(f"_span{i}") for i, p in enumerate(PHRASES)))
+    flags = flags.join(spans, "conv_id", "left")
+    for i, pattern in enumerate(patterns):
+        for j, phrase in enumerate(PHRASES):
+            if phrase in pattern.split("|"):
+                flags = flags.withColumn(f"f{i}", F.col(f"f{i}") | F.coalesce(f"_span{j}", F.lit(False)))
+    return flags.drop(*(f"_span{j}" for j in range(len(PHRASES))))
 
 
 def user_prefix(user: DataFrame, length: int) -> DataFrame:
