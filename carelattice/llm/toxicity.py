@@ -28,7 +28,7 @@ VOCABULARY = 8_192      # words at most: those with the largest excess among the
 MIN_POSITIVE = 3        # positives a word must stand in
 PRIOR = 0.1             # where the labels do not show it
 EXCESS = 3.0            # standard deviations by which a word must stand in more positives than its share
-ROUNDS, SHRINK = 1000, 0.001
+ROUNDS, SHRINK = 2000, 0.0002
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())  # punctuation around a word
 STEP_CHARS = 1 << 20
 
