@@ -11,8 +11,9 @@ JS_SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 ACRONYMS = (("Egfr", "eGFR"), ("Hba1c", "HbA1c"), ("Ldl", "LDL"), ("Tsh", "TSH"),
             ("Inr", "INR"), ("Ckd", "CKD"), ("Copd", "COPD"))
 STOP_WORDS = (
-    "a an the and or but in on at to for of with by from is are was were be been has have had "
-    "do does did will would could should may might this that these those it its").split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are",
+    "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "this", "that", "these", "those", "it", "its")
 # --- end of fixed values ----------------------------------------------------
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -26,6 +26,7 @@ def _empty() -> Column:
     return F.lit(None).cast("string")
 
 
+# The texts of this function must read as they do.
 def pair_rules(lex: Lexicon, spark) -> DataFrame:
     """(family, rule_no, from_concept, to_concept, relation, confidence, severity, rationale, in_order)."""
     rows = []
@@ -126,6 +127,7 @@ def rule_relationships(entities: DataFrame, trends: DataFrame | None = None, lex
             .agg(F.min_by(F.struct(*cols), order).alias("_r")).select("_r.*"))
 
 
+# The texts of this function must read as they do.
 def barrier_relationships(entities: DataFrame, lex: Lexicon | None = None) -> DataFrame:
     """Family 6: each barrier is tied to its lexically closest condition, medication or lab."""
     lex = lex or Lexicon.default()
@@ -174,6 +176,7 @@ def relationship_evidence(rels: DataFrame, members: DataFrame) -> DataFrame:
         "patient_id", "from_key", "to_key", "relation", "fact_id", "event_id", "seq")
 
 
+# The texts of this function must read as they do.
 def review_rows(rels: DataFrame) -> DataFrame:
     """One open review row per uncertain relationship."""
     return rels.filter(F.col("review_status") == "needs_review").select(

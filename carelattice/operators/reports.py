@@ -151,6 +151,7 @@ def report_briefs(patients: DataFrame, events: DataFrame, alerts: DataFrame, lex
     is_primary = F.col("specialty") == "primary_care"
     # primary care regards every condition as relevant
     relevant = F.when(is_primary, F.col("conditions")).otherwise(F.col("relevant"))
+    # The sentences below must read as they do.
     summary = F.array_join(F.filter(F.array(
         F.when(n("conditions_n") > 0, F.concat("name", F.lit(" has a history of "),
                                                describe_list(F.col("conditions"), F.col("conditions_n")), F.lit(".")))

@@ -83,6 +83,7 @@ def _texts(*items: str | Column) -> Column:
     return F.array(*[F.lit(i) if isinstance(i, str) else i for i in items])
 
 
+# The texts of this function must read as they do.
 def contraindication_alerts(summary: DataFrame, lex: Lexicon) -> DataFrame:
     meds = summary.filter(F.col("class") == "medication").select(
         "patient_id", F.col("concept_id").alias("med_concept"), F.col("canonical").alias("med"),
@@ -103,6 +104,7 @@ def contraindication_alerts(summary: DataFrame, lex: Lexicon) -> DataFrame:
                   event_a=F.col("med_event"))
 
 
+# The texts of this function must read as they do.
 def interaction_alerts(summary: DataFrame, events: DataFrame, lex: Lexicon) -> DataFrame:
     """Ordered pairs (a, b) where some a precedes some b.  The witnesses are a's first event and
     the first b after it; a later b is looked up only where b also occurs before a."""
@@ -136,6 +138,7 @@ def _unit_suffix(unit: Column) -> Column:
     return F.when(F.coalesce(unit, F.lit("")) != "", F.concat(F.lit(" "), unit)).otherwise("")
 
 
+# The texts of this function must read as they do.
 def range_alerts(summary: DataFrame) -> DataFrame:
     r = latest_readings(summary)
     is_bp = (F.col("canonical") == "Blood pressure") & F.col("systolic").isNotNull()
@@ -158,6 +161,7 @@ def range_alerts(summary: DataFrame) -> DataFrame:
     return bp.unionByName(lab)
 
 
+# The texts of this function must read as they do.
 def trend_alerts(summary: DataFrame) -> DataFrame:
     t = judge(summary.filter((F.col("class") == "measurement") & (F.col("points") >= 2))).filter("worsening")
     unit = F.when(F.coalesce(F.col("ref_unit"), F.lit("")) != "", F.col("ref_unit")).otherwise(F.col("last_unit"))
@@ -182,6 +186,7 @@ def monitoring_gaps(summary: DataFrame, lex: Lexicon) -> DataFrame:
     return meds.join(covered, ["patient_id", "med_concept"], "left_anti")
 
 
+# The texts of this function must read as they do.
 def gap_alerts(summary: DataFrame, lex: Lexicon) -> DataFrame:
     g = monitoring_gaps(summary, lex)
     return _alert(g, 5, F.lit("low"), F.concat(F.lit("Monitoring gap for "), "canonical"), F.lit("Next visit"),
@@ -192,6 +197,7 @@ def gap_alerts(summary: DataFrame, lex: Lexicon) -> DataFrame:
                   "first_seq", rule_key=F.concat(F.lit("monitor:"), "canonical"), event_a=F.col("first_event"))
 
 
+# The texts of this function must read as they do.
 def barrier_alerts(events: DataFrame) -> DataFrame:
     b = (events.filter(F.col("kind") == "barrier").groupBy("patient_id", F.lower("label").alias("_l"))
          .agg(F.min("seq").alias("seq"), F.min_by(F.struct("label", "event_id"), "seq").alias("f"))

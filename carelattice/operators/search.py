@@ -24,6 +24,7 @@ LEXICAL_K, VECTOR_K, VECTOR_FLOOR, RRF_K = 8, 8, 0.25, 60
 REMOTE_K, REMOTE_MIN_K, REMOTE_MAX_K = 12, 1, 50
 ALERT_K, ALERT_BOOST, SNIPPET_LENGTH = 6, 2.0, 240
 EMBED_BATCH = 25
+SOURCE_DOC, BARE_SOURCE_DOC, EVENT_DOC = "doc_src_", "doc_src_meta_", "doc_evt_"
 # --- end of fixed values ----------------------------------------------------
 
 _MARKER = "\u0000"  # cannot occur in a token
@@ -52,13 +53,13 @@ def evidence_documents(sources: DataFrame, events: DataFrame) -> DataFrame:
     """One document per source (its text, else title and type) and one per event."""
     has_text = F.coalesce(F.col("raw_text"), F.lit("")) != ""
     src = sources.select(
-        "patient_id", F.concat(F.when(has_text, "doc_src_").otherwise("doc_src_meta_"), "source_id").alias("doc_id"),
+        "patient_id", F.concat(F.when(has_text, SOURCE_DOC).otherwise(BARE_SOURCE_DOC), "source_id").alias("doc_id"),
         "source_id", F.lit(None).cast("string").alias("event_id"), "source_type", "title",
         F.when(has_text, F.col("raw_text")).otherwise(
             F.concat_ws(" ", F.col("title"), source_type_label(F.col("source_type")))).alias("text"),
         F.col("captured_at").alias("observed_at"))
     evt = events.select(
-        "patient_id", F.concat(F.lit("doc_evt_"), "event_id").alias("doc_id"), "source_id", "event_id",
+        "patient_id", F.concat(F.lit(EVENT_DOC), "event_id").alias("doc_id"), "source_id", "event_id",
         F.lit("event").alias("source_type"), F.col("label").alias("title"), event_text(events).alias("text"), "observed_at")
     return src.unionByName(evt)
 
