@@ -220,9 +220,9 @@ def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame,
 
     every = F.flatten(F.array(*(flipped(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])))))
     keys = known.select("fingerprint", "root", F.explode(every).alias("key"))
-    met = cut_lineage(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    parts, links, depth = met.where(F.col("n") <= NODE), [], 0
-    crowd = met.where(F.col("n") > NODE)
+    crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > NODE))
+    parts, links, depth = keys.join(crowded, "key", "left_anti"), [], 0
+    crowd = cut_lineage(keys.join(crowded, "key"))
     first = crowd.groupBy("key").agg(F.min(F.struct("root", "fingerprint")).alias("first"))
     links.append(crowd.join(first, "key").where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("first.fingerprint"))) <= max_bits)
                  .select(F.col("root").alias("a"), F.col("first.root").alias("b")))
@@ -232,8 +232,8 @@ def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame,
     while not crowd.isEmpty():
         depth += 4  # at 64 every fingerprint stands alone, so this ends
         split = crowd.withColumn("key", F.xxhash64("key", F.shiftrightunsigned(rank, 64 - depth))).drop("n")
-        split = cut_lineage(split.join(split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-        parts, crowd = parts.unionByName(split.where(F.col("n") <= NODE)), split.where(F.col("n") > NODE)
+        split = cut_lineage(split.join(split.groupBy("key").agg(F.count("*").alias("n")), "key"))
+        parts, crowd = parts.unionByName(split.where(F.col("n") <= NODE).drop("n")), split.where(F.col("n") > NODE)
     indexed = parts.select("key", "fingerprint", "root").repartition("key").sortWithinPartitions("key")
     links.append(indexed.mapInArrow(_search(max_bits), "a long, b long"))
     return distinct, links[0].union(links[1]).where("a <> b").distinct()
