@@ -22,7 +22,7 @@ import regex
 BYTE_BPE = "byte_bpe_50k.json"
 CACHE_ENTRIES = 600_000  # distinct chunks a worker remembers, about 120 MB; only a cache, results do not depend on it
 STEP_CHARS = 1 << 20     # a long text is cut into chunks about so many characters at a time
-SLICE_BYTES = 8 << 20    # texts whose words are encoded together
+SLICE_BYTES = 16 << 20    # texts whose words are encoded together
 
 # White space in the sense of Unicode, which is also that of the tokenizer's own pattern.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -95,6 +95,7 @@ class Encoder:
         self.added = [t["content"] for t in parts["added_tokens"]]
         self.by_chunk = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
                          and not parts["normalizer"])
+        self.added_are_marked = not any(t.isalpha() for t in self.added)
         self.chunks = _Chunks(tok)
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -124,12 +125,19 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         # White space at a word's end joins the next space: such texts, and those with added tokens, go the plain way.
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() or any(t in w for t in self.added) for w in distinct), bool, len(distinct))
+        found, odd, chunks = [], np.zeros(len(distinct), bool), self.chunks
+        for k, w in enumerate(distinct):
+            if w.isalpha() and self.added_are_marked:
+                found.append(chunks[" " + w])
+            elif not w or w[0].isspace() or odd_end(w, self.added):
+                odd[k] = True
+                found.append(b"")
+            else:
+                found.append(self._word(" " + w))
         firsts = [distinct[c] for c in codes[offsets[:-1]]]
         codes[offsets[:-1]] = len(distinct) + np.arange(len(firsts))
         plain = np.append(odd, np.zeros(len(firsts), bool))[codes]
         plain = (np.add.reduceat(plain, offsets[:-1]) > 0) | np.fromiter((not w or odd_end(w, self.added) for w in firsts), bool, len(firsts))
-        found = [b"" if o else self._word(" " + w) for w, o in zip(distinct, odd)]
         found += [b"" if p else self._word(w) for w, p in zip(firsts, plain)]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<u4")
