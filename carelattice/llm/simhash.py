@@ -12,7 +12,8 @@ number of keys follows the number of fingerprints, and the smallest fingerprint
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -27,6 +28,7 @@ from carelattice.session import cut_lineage
 SEED = 42
 NODE = 512        # distinct fingerprints in one index
 FANOUT = 16       # children of a node of the index
+COMMON = 64       # components that meet under a shingle before it is put last in the order of shingles
 STEP_BYTES = 1 << 20
 
 
@@ -42,45 +44,55 @@ def _word_steps(data: bytes) -> Iterator[list[bytes]]:
     yield data[at:].split()
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """See fingerprints()."""
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles in order, repeats included, as big-endian arrays; nothing if it has no words."""
     import xxhash
 
-    ones, n, held = np.zeros(64, np.int64), 0, []
+    none, held = True, []
     for some in _word_steps((text or "").encode().lower()):  # bytes.lower and bytes.split know ASCII only
         held += some
         m = len(held) - words + 1
         if m > 0:
             shingles = map(b" ".join, zip(*(held[k:] for k in range(words))))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), ">u8", m)
-            for at in range(0, m, 1 << 16):
-                part = hashes[at:at + (1 << 16)]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            n += m
-            held = held[m:]
-    if not n and held:
-        ones += np.unpackbits(np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], ">u8").view(np.uint8))
-        n = 1
+            yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), ">u8", m)
+            none, held = False, held[m:]
+    if none and held:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], ">u8")
+
+
+def _majority(hashes: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for some in hashes:
+        for at in range(0, len(some), 1 << 16):
+            part = some[at:at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(some)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text", text_key: bool = False) -> DataFrame:
-    """doc_id, fingerprint (long, the 64 bits)[, text_key: a hash of the text].
+def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]).astype(np.uint64))
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """See fingerprints()."""
+    return _majority(_hashes(text, words))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (long, the 64 bits).
 
     Lower-cases A-Z, splits at ASCII white space, and hashes shingles of so many words, repeats included (fewer words:
     the whole sequence), with XXH64; a bit is set if it is in over half of the hashes.  No words, or null: 0.
     One row per row of ``docs``; other columns are not read."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())] + [("text_key", pa.int64())] * text_key)
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], schema=schema)
 
-    whole = F.col(text).cast("string")
-    extra = [F.xxhash64(whole).alias("text_key")] * text_key
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), *extra) \
-        .mapInArrow(run, "doc_id long, fingerprint long" + ", text_key long" * text_key)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -205,8 +217,9 @@ def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame,
     differing bits than blocks can be split for.
 
     Fingerprints meet where two of them differ in at most two of the bits of one of three blocks (each emits its block as it
-    is and with each bit flipped): all pairs up to 8 bits apart meet, of those 9 to ``max_bits`` apart most.  What meets
-    is searched with the index and linked at ``max_bits``.  A crowd, more than NODE distinct fingerprints under a key, is cut in Gray
+    is and with each bit flipped): all pairs up to 8 bits apart meet, at 9, 10, 11, 12, 13 and
+    14 bits about 90, 75, 59, 45, 33 and 24 %.  What meets
+    is searched with the index and linked at ``max_bits``; completed() finds the near copies that do not meet here.  A crowd, more than NODE distinct fingerprints under a key, is cut in Gray
     order, by ever more leading bits of the rank, until the parts fit an index; its first fingerprint is
     compared with all of it, so the parts hang together where they are near."""
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("root")))
@@ -241,21 +254,49 @@ def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame,
 
 def shingle_sets(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, shingles: the distinct hashes of a text's shingles, as fingerprints() makes them."""
-    import xxhash
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for value in batch.column(1):
-                w = (value.as_py() or "").encode().lower().split()
-                some = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)][:len(w)]
-                found.append(np.array(sorted(set(map(xxhash.xxh64_intdigest, some, repeat(SEED)))), dtype=np.uint64).view(np.int64))
+            found = [_distinct(list(_hashes(value.as_py(), words))).view(np.int64) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, shingles array<long>")
 
 
+def _prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
+    """Of n distinct shingles the n - ceil(least * n) + 1 that come first in the order of their hashes, with the sorted
+    ``common`` ones after all others."""
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        shingles = np.concatenate([shingles[~often], shingles[often]])
+    return shingles[:len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, words: int, least: float, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_key: a hash of the text, fingerprint, node: a hash of the set of distinct shingles, size: of the set,
+    prefix: the shingles of which similar sets share one."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for value in batch.column(2):
+                hashes = list(_hashes(value.as_py(), words))
+                shingles = _distinct(hashes)
+                found.append((_signed(_majority(hashes)), _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)), len(shingles),
+                              _prefix(shingles, least, np.zeros(0, np.uint64)).view(np.int64)))
+            types = {"fingerprint": pa.int64(), "node": pa.int64(), "size": pa.int32(), "prefix": pa.list_(pa.int64())}
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "text_key", *types])
+
+    return _keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, text_key long, fingerprint long, node long, size int, prefix array<long>")
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    whole = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_key"), whole.alias("text"))
+
+
 def similar(links: DataFrame, docs: DataFrame, words: int, least: float, doc_id: str, text: str) -> DataFrame:
     """The links (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more.  Of several texts with one
     doc_id the first counts."""
@@ -280,15 +321,19 @@ def _classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int = WIDE_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest doc_id, nulls last, then by a hash of the text.
-    Near copies have equal fingerprints, or near ones and a similarity of ``least`` or more between their shingle sets.
-    Repeated rows are copies.  Documents without ids are only copies of each other if no document with an id has their
-    fingerprint, and then by equal fingerprints.  Texts without words are one class.  All columns stay as they are."""
-    prints = cut_lineage(fingerprints(docs, words, doc_id, text, text_key=True))
+    Near copies have the same set of distinct shingles, or sets with a similarity of ``least`` or more.
+    Repeated rows are copies.  Documents without ids are compared like any other.  Texts without words are one class.
+    All columns stay as they are."""
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
-    distinct, links = candidates(prints, max_bits)
-    alike = similar(cut_lineage(links), docs, words, least, doc_id, text)
-    kept = prints.join(_classes(distinct, alike), "fingerprint").groupBy(
-        "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min(own).alias("own"))
+    nodes = cut_lineage(sketches(docs, words, least, doc_id, text).groupBy("node").agg(
+        F.min(own).alias("own"), *(F.first(c).alias(c) for c in ("fingerprint", "size", "prefix"))))
+    texts = lambda ids: _texts(docs, nodes.join(ids, "node", "left_semi"), doc_id, text)
+    distinct, near = candidates(nodes.select(F.col("node").alias("doc_id"), "fingerprint"), max_bits)
+    same = nodes.join(distinct, "fingerprint").select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    links = _verified(near.union(same), texts, words, least)
+    links = links.union(completed(texts, nodes, links, words, least))
+    found = connected_components(links, []).withColumnRenamed("node", "member")
+    kept = nodes.join(found, nodes.node == found.member, "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("own").alias("own"))
     kept = kept.select(F.col("own.doc_id").alias("kept_id"), F.col("own.text_key").alias("kept_key"))
     row = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("row_id"), F.xxhash64(F.col(text).cast("string")).alias("row_key"))
     stay = row.join(kept, row.row_id.eqNullSafe(kept.kept_id) & (row.row_key == kept.kept_key))
@@ -296,6 +341,63 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: i
     return stay.withColumn("first", first).where("first = 1").select("row.*")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text): the text of each node's first document, again for each repeated row."""
+    of = nodes.select("node", F.col("own.doc_id").alias("of_id"), F.col("own.text_key").alias("of_key"))
+    all_ = _keyed(docs, doc_id, text)
+    return all_.join(of, all_.doc_id.eqNullSafe(of.of_id) & (all_.text_key == of.of_key)).select("node", "text")
+
+
+def _verified(links: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
+    links = cut_lineage(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return cut_lineage(similar(links, texts(ends), words, least, "node", "text"))
+
+
+def prefixes(texts: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
+    """(node, key): the prefix of each text's set, see _prefix()."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_prefix(_distinct(list(_hashes(value.as_py(), words))), least, common).view(np.int64) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key"))
+
+
+def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
+    """The links (a, b) of similarity ``least`` or more between nodes that ``links`` leaves in different components; none is missed.
+
+    Similar sets share a shingle of their prefixes, whatever the order of shingles (prefix filter).  Nodes of one
+    component are not compared again, so a crowd of near copies makes no pairs.  A key under which more than COMMON
+    components meet goes last in the order, and the nodes that had it get new prefixes, until no such key is new; so
+    mixed crowds meet under their rarer shingles.  ``texts``: (node, text) of given nodes."""
+    found = connected_components(links, []).withColumnRenamed("node", "member")
+    known = nodes.join(found, nodes.node == found.member, "left").select("node", "size", F.coalesce("root", "node").alias("component"), "prefix")
+    rows = cut_lineage(known.select("node", "size", "component", F.explode("prefix").alias("key")))
+    known = cut_lineage(known.drop("prefix"))
+    common = np.zeros(0, np.uint64)
+    under = Window.partitionBy("key")
+    while True:
+        several = rows.withColumn("low", F.min("component").over(under)).withColumn("high", F.max("component").over(under))
+        met = cut_lineage(several.where("low < high").select("node", "size", "component", "key").distinct())
+        here = met.groupBy("key", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+        crowded = here.groupBy("key").count().where(F.col("count") > COMMON).select("key")
+        new = np.setdiff1d(np.array([r.key for r in crowded.toLocalIterator()], np.int64).view(np.uint64), common)
+        if not len(new):
+            break
+        common = np.union1d(common, new)
+        marked = met.sparkSession.createDataFrame(pa.table({"key": new.view(np.int64)}))
+        again = cut_lineage(met.join(marked, "key", "left_semi").select("node").distinct())
+        anew = prefixes(texts(again), words, least, common).join(known, "node").select("node", "size", "component", "key")
+        rows = cut_lineage(rows.join(again, "node", "left_anti").union(anew))
+    one, two = (here.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "least", "most"))) for x in "ab")
+    fits = lambda small, large: F.col(large) >= F.lit(least) * F.col(small) - 1e-9
+    meet = one.join(two, "key").where(F.col("component_a") < F.col("component_b")).where(fits("least_a", "most_b") & fits("least_b", "most_a"))
+    a, b = (met.select("key", F.col("component").alias(f"component_{x}"), F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    pairs = meet.select("key", "component_a", "component_b").join(a, ["key", "component_a"]).join(b, ["key", "component_b"])
+    return _verified(pairs.where(fits("size_a", "size_b") & fits("size_b", "size_a")).select("a", "b").distinct(), texts, words, least)
+
+
 def components(docs: DataFrame, words: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id, one row per row of ``docs``.
 

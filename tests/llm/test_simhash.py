@@ -100,3 +100,37 @@ def test_similarity_decides(spark):
     links = spark.createDataFrame([(2, 1)], "a long, b long")
     assert S.similar(links, docs, 5, 0.8, "doc_id", "text").count() == 0
     assert S.similar(links, docs, 5, 0.5, "doc_id", "text").count() == 1
+
+
+def near_classes(texts, words, least):
+    """Smallest member of each text's class, by all pairs."""
+    sets = [{tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_mixed_crowds_equal_all_pairs(spark, monkeypatch):
+    """Different texts around one long stock passage, and near copies of some: crowded keys, small limits, no pair lost."""
+    rng = np.random.default_rng(12)
+    stock, texts = [f"s{x}" for x in range(60)], []
+    for k in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 9000, int(rng.integers(8, 40)))]
+        texts.append(" ".join(own + stock))
+        if k % 3 == 0:
+            texts.append(" ".join(own + stock[:-4] + [f"z{k}"]))
+    monkeypatch.setattr(S, "NODE", 8)
+    monkeypatch.setattr(S, "COMMON", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted(set(near_classes(texts, 5, 0.8)))
+    none = spark.createDataFrame([], "a long, b long")  # the completing join alone, without the index's links
+    nodes = S.sketches(docs, 5, 0.8, "doc_id", "text").withColumn("node", F.col("doc_id"))
+    pick = lambda ids: docs.withColumnRenamed("doc_id", "node").join(ids, "node", "left_semi")
+    got = {(max(r), min(r)) for r in S.completed(pick, nodes, none, 5, 0.8).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if near_classes([texts[i], texts[j]], 5, 0.8) == [0, 0]}
+    assert got == want and want
