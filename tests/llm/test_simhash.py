@@ -115,6 +115,21 @@ def near_classes(texts, words, least):
     return root
 
 
+def test_no_pair_at_the_similarity_is_lost(spark):
+    """Pairs a little over 0.8, whose fingerprints differ in 9 bits and more: recall is 1 against all pairs."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 50000, int(rng.integers(60, 400)))]
+        at, n = int(rng.integers(0, len(base) - 12)), int(len(base) * rng.uniform(0.05, 0.13))
+        texts += [" ".join(base), " ".join(base[:at] + [f"z{x}" for x in rng.integers(0, 50000, n)] + base[at + n:])]
+    prints = np.array([S.fingerprint(t, 5) for t in texts], np.uint64)
+    root = near_classes(texts, 5, 0.8)
+    assert sum(np.bitwise_count(prints[i] ^ prints[r]) > 11 for i, r in enumerate(root)) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted(set(root))
+
+
 def test_mixed_crowds_equal_all_pairs(spark, monkeypatch):
     """Different texts around one long stock passage, and near copies of some: crowded keys, small limits, no pair lost."""
     rng = np.random.default_rng(12)
