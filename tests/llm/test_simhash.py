@@ -149,3 +149,11 @@ def test_mixed_crowds_equal_all_pairs(spark, monkeypatch):
     got = {(max(r), min(r)) for r in S.completed(pick, nodes, none, 5, 0.8).collect()}
     want = {(i, j) for i in range(len(texts)) for j in range(i) if near_classes([texts[i], texts[j]], 5, 0.8) == [0, 0]}
     assert got == want and want
+
+
+def test_equal_fingerprints_are_no_copies(spark):
+    """One shingle that fills over half of each text is the fingerprint of both."""
+    texts = [" ".join(["n/a"] * 130 + [f"{x}{i}" for i in range(100)]) for x in "ab"] + [" ".join(["n/a"] * 150 + [f"b{i}" for i in range(100)])]
+    assert len({S.fingerprint(t, 5) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == [0, 1]
