@@ -5,6 +5,7 @@ so they count code points.  Candidate strings for the entropy test are the maxim
 characters of at least a window's length.  A window slides over a candidate; the sum of count * log2(count) over its
 characters is kept and only changed by the character that leaves and the one that enters, so is its Shannon entropy.
 A window is high if its entropy reaches the limit of its character class.  Touching high windows join to one span.
+An allowed stretch within a candidate takes only the windows over it; an allowed shape takes the whole candidate.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"
 # Character classes of a window, the first that fits counts, with the entropy (bits a character) from which it is high.
 # Letters alone are long words, digits alone are numbers and card numbers: no limit makes those secrets.
 CLASSES = ((r"^[0-9+/_=-]*$", None), (r"^[A-Za-z+/_=-]*$", None), (r"^[0-9a-f]*$|^[0-9A-F]*$", 3.0), (r"", 3.6))
-# Candidate strings that are public by their shape.
-ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)example", r"(?i)0123456789|abcdefghij",
-           r"(.)\1{7}", r"^(?:[A-Za-z]*[-_/=+])*[A-Za-z]*[0-9]{0,4}$")
+# Candidate strings that are public by their whole shape: UUIDs, paths of words, the example keys of a provider's manual.
+ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^(?:[A-Za-z]*[-_/=+])*[A-Za-z]*[0-9]{0,4}$",
+           r"^(?:AKIA[0-9A-Z]{9}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY)$")
+# Stretches that are public wherever they stand: no window over a part of one is high, the windows beside it are judged.
+STRETCH = r"(?i:example|0123456789|abcdefghij)|(.)\1{7,}"
 CHUNK = 256
 
 
@@ -105,12 +108,22 @@ def high_windows(text: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, start, step, lambda s: s.spans)
 
 
+def pieces(text: Column, pattern: str) -> Column:
+    """array<struct<start, piece>>: what stands between the matches, in order."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    lengths = F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.coalesce(F.length(hit), F.lit(0)))
+    found = F.zip_with(running_starts(lengths), gaps, lambda s, gap: F.struct(s.alias("start"), gap.alias("piece")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array(F.struct(F.lit(0).alias("start"), text.alias("piece"))))
+
+
 def entropy_spans(text: Column, window: int = WINDOW) -> Column:
-    """Spans of the joined high windows of all candidates that no allowed shape covers."""
+    """Spans of the joined high windows of all candidates of no allowed shape, beside the allowed stretches in them."""
     allowed = lambda s: F.coalesce(*(F.when(s.rlike(p), F.lit(True)) for p in ALLOWED), F.lit(False))
     strings = F.filter(matches(text, CANDIDATE % window), lambda x: ~allowed(x.hit))
-    return F.flatten(F.transform(strings, lambda x: F.transform(
-        high_windows(x.hit, window), lambda w: _span("entropy", x.start + w.start, x.start + w.end))))
+    parts = F.flatten(F.transform(strings, lambda x: F.transform(pieces(x.hit, STRETCH), lambda p: F.struct(
+        (x.start + p.start).alias("start"), p.piece.alias("piece")))))
+    return F.flatten(F.transform(F.filter(parts, lambda p: F.length(p.piece) >= window), lambda p: F.transform(
+        high_windows(p.piece, window), lambda w: _span("entropy", p.start + w.start, p.start + w.end))))
 
 
 def scan(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -65,3 +65,20 @@ def test_empty_table(spark):
 def test_running_starts(spark, sizes):
     df = spark.createDataFrame([(sizes,)], "x array<int>").select(S.running_starts(S.F.col("x")).alias("s"))
     assert df.first().s == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+KEY = "Zx8Kp2Lw9Qv4Rt7Yb3NcD5mJ"
+
+
+@pytest.mark.parametrize("text, want", [
+    (f"/srv/example/keys/{KEY}", True), (f"b3BlbnNzaC1rZXktdjEA{'A' * 12}{KEY}", True), (f"{KEY}0123456789", True), (f"é {KEY}/EXAMPLE/{KEY[::-1]}", True),
+    ("x" * 30, False), ("/srv/example/keys/Zx8Kp2Lw", False), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", False), ("AAAAAAAAAAZx8Kp2Lw9QAAAAAAAAAA", False)])
+def test_allowed_stretches_take_only_themselves(spark, text, want):
+    """A window over part of an allowed stretch is not high; every other window is judged as if the stretch were not there."""
+    spans = spark.createDataFrame([(text,)], "text string").select(S.entropy_spans(S.F.col("text")).alias("s")).first().s
+    free = [i for i in range(len(text)) if not any(m.start() <= i < m.end() for m in re.finditer(S.STRETCH, text))]
+    covered = {i for s in spans for i in range(s.start, s.end)}
+    assert covered <= set(free) and bool(spans) == want
+    if want:
+        at = text.index(KEY)
+        assert covered >= set(range(at, at + len(KEY)))
