@@ -354,14 +354,14 @@ def _verified(links: DataFrame, texts: Callable[[DataFrame], DataFrame], words:
     return cut_lineage(similar(links, texts(ends), words, least, "node", "text"))
 
 
-def prefixes(texts: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(node, key): the prefix of each text's set, see _prefix()."""
+def prefixes(sets: DataFrame, least: float, common: np.ndarray) -> DataFrame:
+    """(node, key): the prefix of each set of ``sets`` (node, shingles), see _prefix()."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_prefix(_distinct(list(_hashes(value.as_py(), words))), least, common).view(np.int64) for value in batch.column(1)]
+            found = [_prefix(some.values.to_numpy().view(np.uint64), least, common).view(np.int64) for some in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key"))
+    return sets.select("node", "shingles").mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key"))
 
 
 def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
@@ -369,8 +369,8 @@ def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links:
 
     Similar sets share a shingle of their prefixes, whatever the order of shingles (prefix filter).  Nodes of one
     component are not compared again, so a crowd of near copies makes no pairs.  A key under which more than COMMON
-    components meet goes last in the order, and the nodes that had it get new prefixes, until no such key is new; so
-    mixed crowds meet under their rarer shingles.  ``texts``: (node, text) of given nodes."""
+    components meet goes last in the order, with all shingles as common among the nodes that had it, and those nodes get new
+    prefixes, until no such key is new; so mixed crowds meet under their rarer shingles.  ``texts``: (node, text) of given nodes."""
     found = connected_components(links, []).withColumnRenamed("node", "member")
     known = nodes.join(found, nodes.node == found.member, "left").select("node", "size", F.coalesce("root", "node").alias("component"), "prefix")
     rows = cut_lineage(known.select("node", "size", "component", F.explode("prefix").alias("key")))
@@ -382,13 +382,16 @@ def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links:
         met = cut_lineage(several.where("low < high").select("node", "size", "component", "key").distinct())
         here = met.groupBy("key", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
         crowded = here.groupBy("key").count().where(F.col("count") > COMMON).select("key")
-        new = np.setdiff1d(np.array([r.key for r in crowded.toLocalIterator()], np.int64).view(np.uint64), common)
+        listed = lambda keys: np.array([r.key for r in keys.toLocalIterator()], np.int64).view(np.uint64)
+        new = np.setdiff1d(listed(crowded), common)
         if not len(new):
             break
-        common = np.union1d(common, new)
         marked = met.sparkSession.createDataFrame(pa.table({"key": new.view(np.int64)}))
         again = cut_lineage(met.join(marked, "key", "left_semi").select("node").distinct())
-        anew = prefixes(texts(again), words, least, common).join(known, "node").select("node", "size", "component", "key")
+        sets = cut_lineage(shingle_sets(texts(again), words, "node", "text").withColumnRenamed("doc_id", "node"))
+        often = sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") > COMMON).select("key")
+        common = np.union1d(common, np.union1d(new, listed(often)))
+        anew = prefixes(sets, least, common).join(known, "node").select("node", "size", "component", "key")
         rows = cut_lineage(rows.join(again, "node", "left_anti").union(anew))
     one, two = (here.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "least", "most"))) for x in "ab")
     fits = lambda small, large: F.col(large) >= F.lit(least) * F.col(small) - 1e-9
