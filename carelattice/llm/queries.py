@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelattice.llm import audio, lines, maxscore, mixing, packing, rules, secrets, simhash, simple8b, toxicity
+from carelattice.llm import audio, exacthash, hardneg, lines, maxscore, mixing, packing, prefixtrie, rules, secrets, simhash, simple8b, toxicity
 from carelattice.session import cut_lineage
 
 
@@ -66,6 +66,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with the first turns of the one its number is rounded down to a multiple of five to."""
+    conv = F.col("conv")
+    told, members = prefixtrie.spliced(prefixtrie.turns(table(spark, sf_dir, "conversations")), base=conv - F.pmod(conv, F.lit(5)),
+                                       head=F.crc32(conv.cast("string").cast("binary")) % 9, most=8)
+    return prefixtrie.trie(told, members)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = cut_lineage(hardneg.quantised(table(spark, sf_dir, "embeddings"), 256, label))
+    mined = hardneg.mine(rows, rows.where("vec_id % 50 = 0"), positive=5, negative=3, low=50, high=95)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exacthash.copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_chroma_alignment, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op9_soft_mixing, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL, "op8_maxscore_topk": maxscore.SQL}
+    f.__name__: f for f in (op1_best_fit_packing, op2_chroma_alignment, op3_simple8b, op4_log_template_lines, op5_simhash_components, op6_quality_rules, op7_toxicity_pu, op8_maxscore_topk, op9_soft_mixing, op10_secret_scan,
+                                 op11_prefix_trie, op12_hard_negatives, op13_exact_dedup)}
+ORACLES: dict[str, str] = {"op4_log_template_lines": lines.SQL, "op8_maxscore_topk": maxscore.SQL, "op11_prefix_trie": prefixtrie.SQL,
+                           "op12_hard_negatives": hardneg.SQL, "op13_exact_dedup": exacthash.SQL}
