@@ -5,6 +5,7 @@ so they count code points.  Candidate strings for the entropy test are the maxim
 characters of at least a window's length.  A window slides over a candidate; the sum of count * log2(count) over its
 characters is kept and only changed by the character that leaves and the one that enters, so is its Shannon entropy.
 A window is high if its entropy reaches the limit of its character class.  Touching high windows join to one span.
+Long candidates are cut into stretches of STRIDE windows, and spans that touch at a cut are joined, so the cost is in proportion to the text.
 An allowed stretch within a candidate takes only the windows over it; an allowed shape takes the whole candidate.
 """
 
@@ -25,11 +26,17 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"
 # Letters alone are long words, digits alone are numbers and card numbers: no limit makes those secrets.
 CLASSES = ((r"^[0-9+/_=-]*$", None), (r"^[A-Za-z+/_=-]*$", None), (r"^[0-9a-f]*$|^[0-9A-F]*$", 3.0), (r"", 3.6))
 # Candidate strings that are public by their whole shape: UUIDs, paths of words, the example keys of a provider's manual.
-ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^(?:[A-Za-z]*[-_/=+])*[A-Za-z]*[0-9]{0,4}$",
+ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^[A-Za-z+/_=-]*+[0-9]{0,4}$",
            r"^(?:AKIA[0-9A-Z]{9}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY)$")
 # Stretches that are public wherever they stand: no window over a part of one is high, the windows beside it are judged.
 STRETCH = r"(?i:example|0123456789|abcdefghij)|(.)\1{7,}"
 CHUNK = 256
+STRIDE = 256  # windows of a candidate that are slid over in one go
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _scan(lengths: Column) -> Column:
@@ -39,11 +46,16 @@ def _scan(lengths: Column) -> Column:
 
 def running_starts(lengths: Column) -> Column:
     """The sum of all lengths before each; CHUNK at a time, so the cost hardly grows faster than the array."""
-    chunks = F.when(F.size(lengths) == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda i: F.slice(lengths, i * CHUNK + 1, F.lit(CHUNK))))
-    bases = _scan(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)))
-    return F.flatten(F.zip_with(chunks, bases, lambda c, b: F.transform(
-        F.slice(_scan(F.coalesce(c, F.array().cast("array<int>"))), F.lit(1), F.coalesce(F.size(c), F.lit(0))), lambda x: x + b)))
+    def cut(lengths: Column) -> Column:
+        return F.when(F.size(lengths) == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda i: F.slice(lengths, i * CHUNK + 1, F.lit(CHUNK))))
+
+    def summed(chunks: Column) -> Column:
+        bases = _scan(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)))
+        return F.flatten(F.zip_with(chunks, bases, lambda c, b: F.transform(
+            F.slice(_scan(F.coalesce(c, F.array().cast("array<int>"))), F.lit(1), F.coalesce(F.size(c), F.lit(0))), lambda x: x + b)))
+
+    return _let(_let(lengths, cut), summed)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -80,8 +92,27 @@ def _count(text: Column, char: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, char))
 
 
-def high_windows(text: Column, window: int = WINDOW) -> Column:
-    """array<struct<start, end>>: the joined high windows of one candidate string, by place in it."""
+def high_windows(text: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
+    """array<struct<start, end>>: the joined high windows of one candidate string, by place in it.
+
+    The candidate is cut into pieces of ``stride``; each is slid over with the next ``window - 1`` characters behind it."""
+    def stretches(pieces: Column) -> Column:
+        return F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece, after: F.concat(piece, F.coalesce(F.left(after, F.lit(window - 1)), F.lit(""))))
+
+    cut = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)), stretches)
+    return _let(F.flatten(F.transform(cut, lambda s, i: F.transform(
+        _slide(s, window), lambda w: F.struct((w.start + i * stride).alias("start"), (w.end + i * stride).alias("end"))))), _joined)
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that touch as one."""
+    first = F.filter(spans, lambda s, i: (i == 0) | (s.start > F.get(spans, i - 1).end))
+    last = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1).start > s.end))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.start.alias("start"), b.end.alias("end")))
+
+
+def _slide(text: Column, window: int) -> Column:
+    """The joined high windows of a short string (none, if it is shorter than a window)."""
     limit = lambda w: F.coalesce(*(F.when(w.rlike(p), F.lit(float("inf") if h is None else float(h))) for p, h in CLASSES))
     first = F.substring(text, 1, window)
     total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, c: a + _clog(_count(first, c)))
@@ -103,7 +134,7 @@ def high_windows(text: Column, window: int = WINDOW) -> Column:
         total = state.total - _clog(less + 1) + _clog(less) + _clog(more + 1) - _clog(more)
         return F.struct(total.alias("total"), join(state.spans, total, at).alias("spans"))
 
-    start = F.struct(total.alias("total"), join(none, total, F.lit(0)).alias("spans"))
+    start = F.struct(total.alias("total"), F.when(F.length(text) >= window, join(none, total, F.lit(0))).otherwise(none).alias("spans"))
     steps = F.when(F.length(text) > window, F.sequence(F.lit(1), F.length(text) - window)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, start, step, lambda s: s.spans)
 
@@ -130,7 +161,8 @@ def scan(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame
     """All columns of ``docs`` and assign, access, hex, entropy: arrays of struct<start, rank, kind, end>.
 
     Whole texts; null counts as empty.  An entropy span within a known one is left out.  Empty, short and very long
-    texts: all the same rule.  Repeated rows: once per row.  Columns that have one of these names are replaced."""
+    texts: all the same rule, at a cost in proportion to the text.  Ties: spans of one start in the order of KINDS, entropy last.
+    Empty table: no rows.  Repeated rows: once per row.  Columns that have one of these names are replaced."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.withColumns(known_spans(whole) | {"entropy": entropy_spans(whole, window)})
     known = F.concat("assign", "access", "hex")

@@ -82,3 +82,36 @@ def test_allowed_stretches_take_only_themselves(spark, text, want):
     if want:
         at = text.index(KEY)
         assert covered >= set(range(at, at + len(KEY)))
+
+
+RUN = "".join(chr(65 + i % 26) + "qZ8x/K2+w"[i * i % 9] + str(i * 7 % 10) for i in range(350_000))
+
+
+@pytest.mark.parametrize("text", ["-" * 100_000 + " " + KEY, "=_" * 60_000 + f"\n{KEY}", "/".join(["part"] * 20_000) + f" {KEY}", "a/" * 30_000 + KEY, "k" * 200_000 + f" {KEY}"],
+                         ids=["dashes", "separators", "path", "path and key", "letters"])
+def test_long_candidates_of_one_kind(spark, text):
+    """Ruler lines and paths of any length: no recursion, and the key behind them is found."""
+    spans = spark.createDataFrame([(text,)], "text string").select(S.entropy_spans(S.F.col("text")).alias("s")).first().s
+    assert any(s.start <= len(text) - len(KEY) + 4 and s.end == len(text) for s in spans)
+
+
+def test_a_megabyte_of_base64(spark):
+    text = f"data:{RUN} {KEY}"
+    spans = spark.createDataFrame([(text,)], "text string").select(S.entropy_spans(S.F.col("text")).alias("s")).first().s
+    high = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        assert not re.search(S.STRETCH, m[0])
+        for i in range(len(m[0]) - 19):
+            w = m[0][i:i + 20]
+            limit = next((math.inf if h is None else h) for p, h in S.CLASSES if re.search(p, w))
+            if -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values()) >= limit - 1e-12:
+                high.update(range(m.start() + i, m.start() + i + 20))
+    assert high and {i for s in spans for i in range(s.start, s.end)} == high
+
+
+@pytest.mark.parametrize("stride", [20, 21, 50, 256])
+def test_cuts_do_not_change_the_spans(spark, stride):
+    texts = [(t,) for t in TEXTS if t] + [(KEY * 30 + "x" * n + KEY,) for n in (0, 1, 18, 19, 20, 21, 40)]
+    frame = spark.createDataFrame(texts, "text string")
+    got = frame.select("text", S.high_windows(S.F.col("text"), 20, stride).alias("cut"), S.high_windows(S.F.col("text"), 20, 10_000).alias("whole")).collect()
+    assert all(r.cut == r.whole for r in got) and any(len(r.whole) > 1 for r in got)
