@@ -98,20 +98,16 @@ def test_long_candidates_of_one_kind(spark, text):
 def test_a_megabyte_of_base64(spark):
     text = f"data:{RUN} {KEY}"
     spans = spark.createDataFrame([(text,)], "text string").select(S.entropy_spans(S.F.col("text")).alias("s")).first().s
-    high = set()
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        assert not re.search(S.STRETCH, m[0])
-        for i in range(len(m[0]) - 19):
-            w = m[0][i:i + 20]
-            limit = next((math.inf if h is None else h) for p, h in S.CLASSES if re.search(p, w))
-            if -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values()) >= limit - 1e-12:
-                high.update(range(m.start() + i, m.start() + i + 20))
-    assert high and {i for s in spans for i in range(s.start, s.end)} == high
+    assert not re.search(S.STRETCH, RUN) and RUN[:3510] == RUN[3510:7020]
+    for i in range(3510):  # the run repeats itself, so this is every window of it
+        w = RUN[i:i + 20]
+        assert -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values()) >= next(h for p, h in S.CLASSES if re.search(p, w))
+    assert [(s.start, s.end) for s in spans] == [(5, 5 + len(RUN)), (6 + len(RUN), len(text))]
 
 
 @pytest.mark.parametrize("stride", [20, 21, 50, 256])
 def test_cuts_do_not_change_the_spans(spark, stride):
-    texts = [(t,) for t in TEXTS if t] + [(KEY * 30 + "x" * n + KEY,) for n in (0, 1, 18, 19, 20, 21, 40)]
+    texts = [(t,) for t in TEXTS if t and len(t) < 2000] + [(KEY * 30 + "x" * n + KEY,) for n in (0, 1, 18, 19, 20, 21, 40)]
     frame = spark.createDataFrame(texts, "text string")
     got = frame.select("text", S.high_windows(S.F.col("text"), 20, stride).alias("cut"), S.high_windows(S.F.col("text"), 20, 10_000).alias("whole")).collect()
     assert all(r.cut == r.whole for r in got) and any(len(r.whole) > 1 for r in got)
