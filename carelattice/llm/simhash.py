@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from carelattice.llm.skew import hot_limit, join_split
 from carelattice.operators.components import connected_components
 from carelattice.session import cut_lineage
 
 SEED = 42
 NODE = 512        # distinct fingerprints in one index
 FANOUT = 16       # children of a node of the index
-COMMON = 64       # components that meet under a shingle before it is put last in the order of shingles
+COMMON = 64       # nodes whose pairs are as many as may meet under a shingle before it is put last in the order of shingles
 STEP_BYTES = 1 << 20
 
 
@@ -216,22 +217,17 @@ def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame,
     """((fingerprint, root): the smallest doc_id of each fingerprint, (a, b): roots whose fingerprints are near), for more
     differing bits than blocks can be split for.
 
-    Fingerprints meet where two of them differ in at most two of the bits of one of three blocks (each emits its block as it
-    is and with each bit flipped): all pairs up to 8 bits apart meet, at 9, 10, 11, 12, 13 and
-    14 bits about 90, 75, 59, 45, 33 and 24 %.  What meets
-    is searched with the index and linked at ``max_bits``; completed() finds the near copies that do not meet here.  A crowd, more than NODE distinct fingerprints under a key, is cut in Gray
-    order, by ever more leading bits of the rank, until the parts fit an index; its first fingerprint is
-    compared with all of it, so the parts hang together where they are near."""
+    Fingerprints meet where one of three blocks of bits is equal: all up to two bits apart, and of others those whose bits
+    differ within two blocks.  What meets is searched with the index and linked at ``max_bits``; completed() finds the near copies
+    that do not meet here.  A crowd, more than NODE distinct fingerprints under a key, is cut in Gray order, by ever more
+    leading bits of the rank, until the parts fit an index; its first fingerprint is compared with all of it, so the parts
+    hang together where they are near."""
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("root")))
     known = distinct.where("root is not null")
     cuts = (0, 22, 43, 64)
     block = lambda f, lo, hi: F.shiftrightunsigned(F.shiftleft(f, 64 - hi), 64 - hi + lo)
 
-    def flipped(k: int, lo: int, hi: int) -> Column:
-        masks = F.lit([0] + [_signed(1 << b) for b in range(lo, hi)])
-        return F.transform(masks, lambda m: block(F.col("fingerprint").bitwiseXOR(m), lo, hi) * 4 + k)
-
-    every = F.flatten(F.array(*(flipped(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])))))
+    every = F.array(*(block(F.col("fingerprint"), lo, hi) * 4 + k for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))))
     keys = known.select("fingerprint", "root", F.explode(every).alias("key"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > NODE))
     parts, links, depth = keys.join(crowded, "key", "left_anti"), [], 0
@@ -264,10 +260,10 @@ def shingle_sets(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFra
 
 
 def _prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
-    """Of n distinct shingles the n - ceil(least * n) + 1 that come first in the order of their hashes, with the sorted
-    ``common`` ones after all others."""
+    """Of n distinct shingles the n - ceil(least * n) + 1 that come first in the order of their hashes, with those that are
+    among ``common`` after all others."""
     if len(common):
-        often = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        often = np.isin(shingles, common)
         shingles = np.concatenate([shingles[~often], shingles[often]])
     return shingles[:len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
 
@@ -354,51 +350,82 @@ def _verified(links: DataFrame, texts: Callable[[DataFrame], DataFrame], words:
     return cut_lineage(similar(links, texts(ends), words, least, "node", "text"))
 
 
-def prefixes(sets: DataFrame, least: float, common: np.ndarray) -> DataFrame:
-    """(node, key): the prefix of each set of ``sets`` (node, shingles), see _prefix()."""
+def prefixes(sets: DataFrame, least: float, common: DataFrame) -> DataFrame:
+    """(node, key): the prefix of each set of ``sets`` (node, shingles), the shingles of ``common`` (key) last; see _prefix()."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_prefix(some.values.to_numpy().view(np.uint64), least, common).view(np.int64) for some in batch.column(1)]
+            found = []
+            for some, often in zip(batch.column(1), batch.column(2)):
+                last = often.values.to_numpy().view(np.uint64) if often.is_valid else np.zeros(0, np.uint64)
+                found.append(_prefix(some.values.to_numpy().view(np.uint64), least, last).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key"))
+    own = sets.select("node", F.explode("shingles").alias("key")).join(common, "key").groupBy("node").agg(F.collect_list("key").alias("often"))
+    both = sets.join(own, "node", "left").select("node", "shingles", "often")
+    return both.mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key"))
 
 
-def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
-    """The links (a, b) of similarity ``least`` or more between nodes that ``links`` leaves in different components; none is missed.
+def _needed(least: float, small_a: str, small_b: str, large_a: str, large_b: str) -> Column:
+    """Prefix shingles that two similar sets share at least, if their sizes are within these bounds.  Of the shingles that both
+    have, those up to the end of the prefix that ends first are in both prefixes; all others are behind that set's prefix."""
+    both = F.ceil(F.lit(least / (1 + least)) * (F.col(small_a) + F.col(small_b)) - 1e-9)
+    behind = F.greatest(*(F.ceil(F.lit(least) * F.col(c) - 1e-9) for c in (large_a, large_b))) - 1
+    return F.greatest(F.lit(1), both - behind)
 
-    Similar sets share a shingle of their prefixes, whatever the order of shingles (prefix filter).  Nodes of one
-    component are not compared again, so a crowd of near copies makes no pairs.  A key under which more than COMMON
-    components meet goes last in the order, with all shingles as common among the nodes that had it, and those nodes get new
-    prefixes, until no such key is new; so mixed crowds meet under their rarer shingles.  ``texts``: (node, text) of given nodes."""
+
+def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
+    """The links (a, b) of similarity ``least`` or more between nodes that ``links`` leaves in different components; none is missed,
+    but where the first nodes of two components are similar no other pair of these two is looked at.
+
+    Similar sets share a shingle of their prefixes, whatever the order of shingles (prefix filter), and as many as _needed()
+    says.  Nodes of one component are not compared again, so a crowd of near copies makes no pairs.  A key under which more pairs
+    of nodes meet than COMMON nodes make goes last in the order, with all shingles as common among the nodes that had it; nodes with such
+    a shingle in their prefix get a new one, until no such key is new.  So mixed crowds meet under their rarer shingles.
+    Only keys that several components have are stored.  ``nodes``: a written table; ``texts``: (node, text) of given nodes."""
     found = connected_components(links, []).withColumnRenamed("node", "member")
     known = nodes.join(found, nodes.node == found.member, "left").select("node", "size", F.coalesce("root", "node").alias("component"), "prefix")
-    rows = cut_lineage(known.select("node", "size", "component", F.explode("prefix").alias("key")))
-    known = cut_lineage(known.drop("prefix"))
-    common = np.zeros(0, np.uint64)
-    under = Window.partitionBy("key")
+    base = known.select("node", "size", "component", F.explode("prefix").alias("key"))
+    several = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")]
+    shared = cut_lineage(base.groupBy("key").agg(*several).where("low < high").select("key", "rows"))
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    pool = cut_lineage(join_split(base, shared, ["key"], "rows", hot_limit(total)))
+    empty = pool.limit(0)
+    common, moved, fresh = empty.select("key"), empty.select("node"), empty
     while True:
-        several = rows.withColumn("low", F.min("component").over(under)).withColumn("high", F.max("component").over(under))
-        met = cut_lineage(several.where("low < high").select("node", "size", "component", "key").distinct())
-        here = met.groupBy("key", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-        crowded = here.groupBy("key").count().where(F.col("count") > COMMON).select("key")
-        listed = lambda keys: np.array([r.key for r in keys.toLocalIterator()], np.int64).view(np.uint64)
-        new = np.setdiff1d(listed(crowded), common)
-        if not len(new):
+        tops = pool.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        crowded = tops.where(F.col("n") * F.col("n") - F.col("own") > COMMON * (COMMON - 1)).select("key")
+        new = cut_lineage(crowded.join(common, "key", "left_anti"))
+        if new.isEmpty():
             break
-        marked = met.sparkSession.createDataFrame(pa.table({"key": new.view(np.int64)}))
-        again = cut_lineage(met.join(marked, "key", "left_semi").select("node").distinct())
-        sets = cut_lineage(shingle_sets(texts(again), words, "node", "text").withColumnRenamed("doc_id", "node"))
-        often = sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") > COMMON).select("key")
-        common = np.union1d(common, np.union1d(new, listed(often)))
-        anew = prefixes(sets, least, common).join(known, "node").select("node", "size", "component", "key")
-        rows = cut_lineage(rows.join(again, "node", "left_anti").union(anew))
-    one, two = (here.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "least", "most"))) for x in "ab")
+        had = cut_lineage(pool.join(new, "key", "left_semi").select("node").distinct())
+        sets = shingle_sets(texts(had), words, "node", "text").select(F.explode("shingles").alias("key"))
+        often = sets.groupBy("key").count().where(F.col("count") > COMMON).select("key")
+        new = cut_lineage(new.union(often).distinct().join(common, "key", "left_anti"))
+        common = cut_lineage(common.union(new))
+        now = base.join(moved, "node", "left_anti").unionByName(fresh)
+        again = cut_lineage(now.join(new, "key", "left_semi").select("node").distinct())
+        sets = cut_lineage(shingle_sets(texts(again), words, "node", "text").withColumnRenamed("doc_id", "node").dropDuplicates(["node"]))
+        anew = cut_lineage(prefixes(sets, least, common).join(known.drop("prefix"), "node").select(*empty.columns))
+        moved = cut_lineage(moved.union(again).distinct())
+        fresh = cut_lineage(fresh.join(again, "node", "left_anti").unionByName(anew))
+        now = base.join(moved, "node", "left_anti").unionByName(fresh)
+        pool = pool.join(again, "node", "left_anti").unionByName(now.join(anew.select("key").distinct(), "key", "left_semi")).distinct()
+        pool = cut_lineage(pool)
+        shared = pool.groupBy("key").agg(*several).where("low < high").select("key")
+        pool = cut_lineage(pool.join(shared, "key", "left_semi"))
+    here = cut_lineage(pool.groupBy("key", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("node").alias("first"), F.max("node").alias("last")))
+    one, two = (here.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "least", "most", "first", "last"))) for x in "ab")
     fits = lambda small, large: F.col(large) >= F.lit(least) * F.col(small) - 1e-9
-    meet = one.join(two, "key").where(F.col("component_a") < F.col("component_b")).where(fits("least_a", "most_b") & fits("least_b", "most_a"))
-    a, b = (met.select("key", F.col("component").alias(f"component_{x}"), F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    pairs = meet.select("key", "component_a", "component_b").join(a, ["key", "component_a"]).join(b, ["key", "component_b"])
-    return _verified(pairs.where(fits("size_a", "size_b") & fits("size_b", "size_a")).select("a", "b").distinct(), texts, words, least)
+    met = one.join(two, "key").where(F.col("component_a") < F.col("component_b")).groupBy("component_a", "component_b").agg(
+        F.count("*").alias("keys"), *(f(c).alias(c) for x in "ab" for f, c in ((F.min, f"least_{x}"), (F.max, f"most_{x}"), (F.min, f"first_{x}"), (F.max, f"last_{x}"))))
+    met = cut_lineage(met.where(fits("least_a", "most_b") & fits("least_b", "most_a")).where(F.col("keys") >= _needed(least, "least_a", "least_b", "most_a", "most_b")))
+    firsts = _verified(met.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")), texts, words, least)
+    rest = met.where("first_a < last_a or first_b < last_b").join(firsts, (F.col("first_a") == F.col("a")) & (F.col("first_b") == F.col("b")), "left_anti")
+    a, b = (pool.select("key", F.col("component").alias(f"component_{x}"), F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    pairs = rest.select("component_a", "component_b", "first_a", "first_b").join(a, "component_a").join(b, ["key", "component_b"])
+    pairs = pairs.where("a <> first_a or b <> first_b").where(fits("size_a", "size_b") & fits("size_b", "size_a"))
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("keys")).where(F.col("keys") >= _needed(least, "size_a", "size_b", "size_a", "size_b"))
+    return firsts.union(_verified(pairs.select("a", "b"), texts, words, least))
 
 
 def components(docs: DataFrame, words: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,7 +19,9 @@ def join_split(rows: DataFrame, table: DataFrame, on: list[str], weight: str, li
 
     Keys with more than ``limit`` rows are broadcast, so none of their rows is shuffled; with hot_limit() there are fewer
     than HOT of them, whatever the data.  The others meet by a shuffle, of ``limit`` rows a key at most.  ``weight`` is not
-    kept.  Both sides should be written tables: each is read twice."""
+    kept.  ``table`` should be a written one, and ``rows`` cheap to make: each is read twice if there is a hot key."""
+    if table.where(F.col(weight) > limit).isEmpty():
+        return rows.join(table.drop(weight), on)
     hot = F.broadcast(table.where(F.col(weight) > limit).drop(weight))
     rest = rows.join(hot.select(*on), on, "left_anti").join(table.where(F.col(weight) <= limit).drop(weight), on)
     return rows.join(hot, on).unionByName(rest)
