@@ -157,11 +157,20 @@ def share_reports(reports: DataFrame, root: str, created_at: Column, salt: str)
     token = F.concat(F.lit("shr_"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.col("patient_id").cast("string"),
                                                                      "specialty", created_at.cast("string")), 256), 1, 32))
     rows = reports.withColumns({"token": token, "created_at": created_at}).withColumn("token_prefix", F.substring("token", 5, 2))
-    rows.write.mode("append").partitionBy("token_prefix").parquet(f"{root}/shared_reports")
+    # one file a prefix and write, in order of the token: a lookup reads one partition, and min/max values and the
+    # Bloom filter on the token leave at most one row group of it
+    (rows.repartition("token_prefix").sortWithinPartitions("token_prefix", "token").write.mode("append")
+     .option("parquet.bloom.filter.enabled#token", "true").partitionBy("token_prefix").parquet(f"{root}/shared_reports"))
     return rows.select("token", "patient_id", "specialty", "created_at")
 
 
 def shared_report(spark: SparkSession, root: str, token: str) -> DataFrame:
-    """Point lookup; the token prefix prunes to one partition."""
+    """Point lookup; the token prefix prunes to one partition, the token to a row group."""
     return spark.read.parquet(f"{root}/shared_reports").filter(
         (F.col("token_prefix") == token[4:6]) & (F.col("token") == token))
+
+
+def shared_reports_of(spark: SparkSession, root: str, tokens: DataFrame) -> DataFrame:
+    """Lookup of many tokens (column token); those that nobody shared give nothing."""
+    asked = tokens.select("token", F.substring("token", 5, 2).alias("token_prefix")).distinct()
+    return spark.read.parquet(f"{root}/shared_reports").join(asked, ["token_prefix", "token"], "left_semi")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from carelattice.functions.values import drift, is_worsening, reading
 from carelattice.lexicon import Lexicon
 from carelattice.operators.facts import fact_fingerprint
 from carelattice.operators.grounding import ground
+from carelattice.operators.trends import trend_summary
 from carelattice.session import cut_lineage, folder_exists, remove_folder
 from carelattice.sources.tables import BUCKETS, bucket
 
@@ -74,14 +74,25 @@ def streaming_dedup(events: DataFrame, delay: str, lex: Lexicon | None = None, a
 
 
 def streaming_trends(events: DataFrame, lex: Lexicon | None = None) -> DataFrame:
-    """Running first and latest reading per (patient, measurement), for update mode; the state is a
-    fixed-size aggregate per series."""
-    g = ground(events.filter(F.col("kind").isin("lab", "vital")), lex)
-    g = g.withColumn("_v", reading(F.col("value"))).filter(F.col("_v").isNotNull())
-    order = F.struct("observed_at", "seq")
-    s = g.groupBy("patient_id", "canonical").agg(
-        F.count(F.lit(1)).alias("points"), F.min_by("_v", order).alias("first_value"), F.max_by("_v", order).alias("last_value"),
-        F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_observed_at"),
-        F.first("direction").alias("_d"))
-    moved = drift(F.col("first_value"), F.col("last_value"))
-    return s.withColumns({"direction": moved, "worsening": is_worsening(F.col("_d"), moved)}).drop("_d")
+    """The trend summary of a stream, for update mode: its state is one row of fixed size per series, and a trigger gives the
+    series it changed."""
+    return trend_summary(events, lex)
+
+
+def append_changes(changed: DataFrame, batch_id: int, path: str) -> None:
+    """Sink of an update-mode query: the changed rows under their batch's number; a replay replaces them."""
+    rows = changed.withColumn("batch_id", F.lit(batch_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What append_changes() wrote, the last state of each key; series that did not change are not written again."""
+    rows = spark.read.parquet(path)
+    kept = [c for c in rows.columns if c != "batch_id"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*kept), "batch_id").alias("_r")).select("_r.*")
+
+
+def trend_stream(events: DataFrame, path: str, checkpoint: str, lex: Lexicon | None = None) -> StreamingQuery:
+    """Keep the trend table at ``path`` up to date with all there is of a stream of events; read it with latest_rows()."""
+    writer = streaming_trends(events, lex).writeStream.outputMode("update").foreachBatch(lambda df, n: append_changes(df, n, path))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
