@@ -29,6 +29,8 @@ from carelattice.session import cut_lineage
 SEED = 42
 NODE = 512        # distinct fingerprints in one index
 FANOUT = 16       # children of a node of the index
+FEW_KEYS = 1 << 21  # at most so many 64-bit keys are broadcast
+PART = 8          # one in so many nodes shows which shingles of crowds are common
 COMMON = 64       # nodes whose pairs are as many as may meet under a shingle before it is put last in the order of shingles
 STEP_BYTES = 1 << 20
 
@@ -259,15 +261,19 @@ def shingle_sets(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFra
         run, "doc_id long, shingles array<long>")
 
 
-def _prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
-    """Of n distinct shingles the n - ceil(least * n) + 1 that come first in the order of their hashes, with those that are
-    among ``common`` after all others."""
-    if len(common):
-        often = np.isin(shingles, common)
-        shingles = np.concatenate([shingles[~often], shingles[often]])
+def _prefix(shingles: np.ndarray, least: float) -> np.ndarray:
+    """Of n sorted distinct shingles the first n - ceil(least * n) + 1."""
     return shingles[:len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
 
 
+def _moved_in(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
+    """What the prefix has with the shingles that are among ``common`` after all others: those behind the plain prefix that
+    come into it, and the common ones that are left in it because others run out."""
+    often, n = np.isin(shingles, common), len(_prefix(shingles, least))
+    last = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[:n]
+    return shingles[np.sort(last[(last >= n) | often[last]])]
+
+
 def sketches(docs: DataFrame, words: int, least: float, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_key: a hash of the text, fingerprint, node: a hash of the set of distinct shingles, size: of the set,
     prefix: the shingles of which similar sets share one."""
@@ -280,7 +286,7 @@ def sketches(docs: DataFrame, words: int, least: float, doc_id: str, text: str)
                 hashes = list(_hashes(value.as_py(), words))
                 shingles = _distinct(hashes)
                 found.append((_signed(_majority(hashes)), _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)), len(shingles),
-                              _prefix(shingles, least, np.zeros(0, np.uint64)).view(np.int64)))
+                              _prefix(shingles, least).view(np.int64)))
             types = {"fingerprint": pa.int64(), "node": pa.int64(), "size": pa.int32(), "prefix": pa.list_(pa.int64())}
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(types.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "text_key", *types])
@@ -350,19 +356,18 @@ def _verified(links: DataFrame, texts: Callable[[DataFrame], DataFrame], words:
     return cut_lineage(similar(links, texts(ends), words, least, "node", "text"))
 
 
-def prefixes(sets: DataFrame, least: float, common: DataFrame) -> DataFrame:
-    """(node, key): the prefix of each set of ``sets`` (node, shingles), the shingles of ``common`` (key) last; see _prefix()."""
+def moved_in(texts: DataFrame, words: int, least: float, common: DataFrame) -> DataFrame:
+    """(node, key): what _moved_in() gives for the texts of ``texts`` (node, text) with the shingles of ``common`` (key) last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for some, often in zip(batch.column(1), batch.column(2)):
-                last = often.values.to_numpy().view(np.uint64) if often.is_valid else np.zeros(0, np.uint64)
-                found.append(_prefix(some.values.to_numpy().view(np.uint64), least, last).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "prefix"])
+            for text, often in zip(batch.column(1), batch.column(2)):
+                found.append(_moved_in(_distinct(list(_hashes(text.as_py(), words))), least, often.values.to_numpy().view(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "keys"])
 
-    own = sets.select("node", F.explode("shingles").alias("key")).join(common, "key").groupBy("node").agg(F.collect_list("key").alias("often"))
-    both = sets.join(own, "node", "left").select("node", "shingles", "often")
-    return both.mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key"))
+    every = shingle_sets(texts, words, "node", "text").select(F.col("doc_id").alias("node"), F.explode("shingles").alias("key"))
+    own = every.join(common, "key").groupBy("node").agg(F.collect_set("key").alias("often"))  # a node's own shingles bound it
+    return texts.join(own, "node").select("node", "text", "often").mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def _needed(least: float, small_a: str, small_b: str, large_a: str, large_b: str) -> Column:
@@ -384,35 +389,38 @@ def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links:
     Only keys that several components have are stored.  ``nodes``: a written table; ``texts``: (node, text) of given nodes."""
     found = connected_components(links, []).withColumnRenamed("node", "member")
     known = nodes.join(found, nodes.node == found.member, "left").select("node", "size", F.coalesce("root", "node").alias("component"), "prefix")
-    base = known.select("node", "size", "component", F.explode("prefix").alias("key"))
-    several = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")]
-    shared = cut_lineage(base.groupBy("key").agg(*several).where("low < high").select("key", "rows"))
-    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    pool = cut_lineage(join_split(base, shared, ["key"], "rows", hot_limit(total)))
-    empty = pool.limit(0)
-    common, moved, fresh = empty.select("key"), empty.select("node"), empty
+    base = known.select("node", "component", F.explode("prefix").alias("key"))
+    about = cut_lineage(known.drop("prefix"))
+    shared = cut_lineage(base.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+                         .where("low < high").select("key", "rows"))
+    base = base.drop("component")
+    if shared.count() <= FEW_KEYS:
+        met = base.join(F.broadcast(shared.drop("rows")), "key")
+    else:
+        met = join_split(base, shared, ["key"], "rows", hot_limit(nodes.agg(F.sum(F.size("prefix"))).first()[0]))
+    pool = cut_lineage(met.join(about, "node"))
+    common, fresh = pool.select("key").limit(0), pool.select("node", "key").limit(0)
     while True:
         tops = pool.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         crowded = tops.where(F.col("n") * F.col("n") - F.col("own") > COMMON * (COMMON - 1)).select("key")
         new = cut_lineage(crowded.join(common, "key", "left_anti"))
         if new.isEmpty():
             break
-        had = cut_lineage(pool.join(new, "key", "left_semi").select("node").distinct())
-        sets = shingle_sets(texts(had), words, "node", "text").select(F.explode("shingles").alias("key"))
-        often = sets.groupBy("key").count().where(F.col("count") > COMMON).select("key")
+        # Any shingles may go last; a part of the nodes is enough to tell which others are as common, for fewer rounds.
+        some = pool.join(new, "key", "left_semi").select("node").distinct().where(F.pmod(F.xxhash64("node"), F.lit(PART)) == 0)
+        sets = shingle_sets(texts(cut_lineage(some)), words, "node", "text").select(F.explode("shingles").alias("key"))
+        often = sets.groupBy("key").count().where(F.col("count") > max(1, COMMON // PART)).select("key")
         new = cut_lineage(new.union(often).distinct().join(common, "key", "left_anti"))
-        common = cut_lineage(common.union(new))
-        now = base.join(moved, "node", "left_anti").unionByName(fresh)
+        now = base.join(common, "key", "left_anti").unionByName(fresh)
         again = cut_lineage(now.join(new, "key", "left_semi").select("node").distinct())
-        sets = cut_lineage(shingle_sets(texts(again), words, "node", "text").withColumnRenamed("doc_id", "node").dropDuplicates(["node"]))
-        anew = cut_lineage(prefixes(sets, least, common).join(known.drop("prefix"), "node").select(*empty.columns))
-        moved = cut_lineage(moved.union(again).distinct())
-        fresh = cut_lineage(fresh.join(again, "node", "left_anti").unionByName(anew))
-        now = base.join(moved, "node", "left_anti").unionByName(fresh)
-        pool = pool.join(again, "node", "left_anti").unionByName(now.join(anew.select("key").distinct(), "key", "left_semi")).distinct()
-        pool = cut_lineage(pool)
-        shared = pool.groupBy("key").agg(*several).where("low < high").select("key")
-        pool = cut_lineage(pool.join(shared, "key", "left_semi"))
+        common = cut_lineage(common.union(new))
+        extra = cut_lineage(moved_in(texts(again), words, least, common))
+        fresh = cut_lineage(fresh.join(again, "node", "left_anti").unionByName(extra))
+        now = base.join(common, "key", "left_anti").unionByName(fresh)
+        also = now.join(extra.select("key").distinct(), "key", "left_semi").join(about, "node")
+        both = cut_lineage(pool.join(new, "key", "left_anti").unionByName(also).distinct())
+        several = both.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        pool = cut_lineage(both.join(several, "key", "left_semi"))
     here = cut_lineage(pool.groupBy("key", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("node").alias("first"), F.max("node").alias("last")))
     one, two = (here.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "least", "most", "first", "last"))) for x in "ab")
     fits = lambda small, large: F.col(large) >= F.lit(least) * F.col(small) - 1e-9

@@ -157,3 +157,36 @@ def test_equal_fingerprints_are_no_copies(spark):
     assert len({S.fingerprint(t, 5) for t in texts}) == 1
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == [0, 1]
+
+
+def test_two_crowds_under_one_key(spark, monkeypatch):
+    """Two crowds of near copies share a passage: their nodes are not multiplied out, and a text near a few of one crowd only is found."""
+    rng = np.random.default_rng(21)
+    stock, texts = [f"s{x}" for x in range(9)], []
+    for crowd in "ab":
+        base = [f"{crowd}{x}" for x in range(120)]
+        for k in range(40):
+            at = int(rng.integers(0, 110))
+            texts.append(" ".join(base[:at] + [f"{crowd}z{k}"] + base[at + 1:] + stock))
+    texts.append(" ".join([f"b{x}" for x in range(112)] + ["other"] * 3 + stock))
+    monkeypatch.setattr(S, "COMMON", 6)
+    monkeypatch.setattr(S, "PART", 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_classes(texts, 5, 0.8)
+    assert len(set(want)) == 2 and sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted(set(want))
+    nodes = S.sketches(docs, 5, 0.8, "doc_id", "text").withColumn("node", F.col("doc_id"))
+    links = spark.createDataFrame([(i, 0 if i < 40 else 40) for i in range(80) if i not in (0, 40)], "a long, b long")
+    pick = lambda ids: docs.withColumnRenamed("doc_id", "node").join(ids, "node", "left_semi")
+    found = [tuple(r) for r in S.completed(pick, nodes, links, 5, 0.8).collect()]
+    assert found and all({a < 40, b < 40} == {False} for a, b in found)
+
+
+def test_moved_in_keys_are_those_of_the_new_prefix():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 50):
+        shingles = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        for share in (0, 0.1, 0.5, 1):
+            common = shingles[rng.random(len(shingles)) < share]
+            order = [x for x in shingles if x not in common] + [x for x in shingles if x in common]
+            old, new = set(S._prefix(shingles, 0.8)), set(order[:len(S._prefix(shingles, 0.8))])
+            assert {x for x in old if x not in common} | set(S._moved_in(shingles, 0.8, common)) == new
