@@ -284,6 +284,35 @@ def fuse(lexical: DataFrame, semantic: DataFrame, group: list[str], limit: int =
     return top_k(every, group, limit, "item_id")
 
 
+def scoped_vector_top_k(vectors: DataFrame, queries: DataFrame, scope: list[str], k: int = VECTOR_K, floor: float = VECTOR_FLOOR) -> DataFrame:
+    """Exact nearest vectors within a scope such as a patient: (scope, query_id, rank, score) and all columns of ``vectors`` but
+    the vector.  A scope's vectors meet its own queries only; Spark limits the hits before they are shuffled."""
+    asked = queries.filter(F.col("vector").isNotNull()).select(*scope, "query_id", F.col("vector").alias("_asked"))
+    scored = vectors.filter(F.col("vector").isNotNull()).join(asked, scope).withColumn("score", dot(F.col("vector"), F.col("_asked")))
+    return top_k(scored.filter(F.col("score") >= floor).drop("vector", "_asked"), [*scope, "query_id"], k, "id")
+
+
+def reference_rows(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """What is embedded: (patient_id, id, ref_type, ref_id, source_id, text) of the chunks of sources and of stored facts.
+
+    ``chunks``: patient_id, source_id, chunk_id, text; ``facts``: clinical facts.  A fact refers to its event, a chunk to itself."""
+    def rows(df: DataFrame, kind: str, ref: str, text: Column) -> DataFrame:
+        key = F.concat_ws(":", F.lit(kind), F.col("patient_id").cast("string"), ref)
+        return df.select("patient_id", key.alias("id"), F.lit(kind).alias("ref_type"), F.col(ref).alias("ref_id"), "source_id", text.alias("text"))
+
+    return rows(chunks, "chunk", "chunk_id", F.col("text")).unionByName(rows(facts, "fact", "event_id", fact_text()))
+
+
+def evidence_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, lexical_k: int = ALERT_K) -> DataFrame:
+    """Hybrid retrieval per patient and query over documents, stored facts and chunks.
+
+    ``queries``: patient_id, query_id, query_text; ``vectors``: reference_rows() with their vector; ``query_vectors``: patient_id,
+    query_id, vector.  Vector hits are routed to documents by what they refer to before both lists are fused."""
+    lexical = bm25(docs, queries, lexical_k, ["patient_id"])
+    hits = scoped_vector_top_k(vectors, query_vectors, ["patient_id"], REMOTE_K)
+    return fuse(lexical, semantic_documents(hits, docs), ["patient_id", "query_id"])
+
+
 def semantic_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Map vector hits (query_id, ref_type, ref_id, source_id, score, rank) to documents: facts by their
     event, chunks by the first document of their source; hits without a document are dropped."""
