@@ -7,7 +7,7 @@ in display order, so a patient of any size can be reported.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -245,6 +245,20 @@ def report_lines(briefs: DataFrame, lists: DataFrame) -> DataFrame:
     return out.unionByName(mine.select(*out.columns))
 
 
+def write_reports(lines: DataFrame, path: str) -> None:
+    """report_lines() as text files, one a report, its lines in order: ``path``/patient_id=../specialty=../.  Reports are dealt over
+    tasks and sorted outside memory where they must be, so a report may have any number of lines."""
+    order = ["patient_id", "specialty", "section_no", "part", F.col("observed_at").desc(), "seq", "text"]
+    (lines.repartition("patient_id", "specialty").sortWithinPartitions(*order).select("patient_id", "specialty", F.col("text").alias("value"))
+     .write.partitionBy("patient_id", "specialty").text(path))
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(patient_id, specialty, body) of written reports."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select("patient_id", "specialty", F.regexp_replace("value", r"\n\z", "").alias("body"))
+
+
 def merge_extracted(briefs: DataFrame, extracted: DataFrame, conversation: DataFrame | None = None) -> DataFrame:
     """Extracted summary, concerns and questions replace the template's where non-empty;
     a conversation's summary is attached where the patient has one."""
