@@ -30,7 +30,8 @@ SEED = 42
 NODE = 512        # distinct fingerprints in one index
 FANOUT = 16       # children of a node of the index
 FEW_KEYS = 1 << 21  # at most so many 64-bit keys are broadcast
-PART = 8          # one in so many nodes shows which shingles of crowds are common
+SAMPLE = 4096     # nodes, about, that show which shingles of crowds are common
+PAIRS = 4         # pairs that may meet for each prefix key stored before crowded keys are put last
 COMMON = 64       # nodes whose pairs are as many as may meet under a shingle before it is put last in the order of shingles
 STEP_BYTES = 1 << 20
 
@@ -219,17 +220,18 @@ def candidates(prints: DataFrame, max_bits: int = WIDE_BITS) -> tuple[DataFrame,
     """((fingerprint, root): the smallest doc_id of each fingerprint, (a, b): roots whose fingerprints are near), for more
     differing bits than blocks can be split for.
 
-    Fingerprints meet where one of three blocks of bits is equal: all up to two bits apart, and of others those whose bits
-    differ within two blocks.  What meets is searched with the index and linked at ``max_bits``; completed() finds the near copies
+    Fingerprints meet where two of six blocks of bits are equal: all up to four bits apart; at 5, 6, 8, 10, 12 and 14 differing bits
+    about 90, 72, 37, 16, 6 and 2 %.  What meets is searched with the index and linked at ``max_bits``; completed() finds the near copies
     that do not meet here.  A crowd, more than NODE distinct fingerprints under a key, is cut in Gray order, by ever more
     leading bits of the rank, until the parts fit an index; its first fingerprint is compared with all of it, so the parts
     hang together where they are near."""
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("root")))
     known = distinct.where("root is not null")
-    cuts = (0, 22, 43, 64)
+    cuts = (0, 11, 22, 33, 43, 54, 64)
     block = lambda f, lo, hi: F.shiftrightunsigned(F.shiftleft(f, 64 - hi), 64 - hi + lo)
 
-    every = F.array(*(block(F.col("fingerprint"), lo, hi) * 4 + k for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))))
+    parts = [block(F.col("fingerprint"), lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+    every = F.array(*((parts[i] * 2048 + parts[j]) * 64 + 8 * i + j for i, j in combinations(range(len(parts)), 2)))
     keys = known.select("fingerprint", "root", F.explode(every).alias("key"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > NODE))
     parts, links, depth = keys.join(crowded, "key", "left_anti"), [], 0
@@ -401,15 +403,20 @@ def completed(texts: Callable[[DataFrame], DataFrame], nodes: DataFrame, links:
     pool = cut_lineage(met.join(about, "node"))
     common, fresh = pool.select("key").limit(0), pool.select("node", "key").limit(0)
     while True:
-        tops = pool.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        crowded = tops.where(F.col("n") * F.col("n") - F.col("own") > COMMON * (COMMON - 1)).select("key")
-        new = cut_lineage(crowded.join(common, "key", "left_anti"))
+        tops = cut_lineage(pool.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+            F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")))
+        total = tops.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
+        if (total["pairs"] or 0) <= PAIRS * (total["rows"] or 0):
+            break
+        new = cut_lineage(tops.where(F.col("pairs") > COMMON * (COMMON - 1) // 2).select("key").join(common, "key", "left_anti"))
         if new.isEmpty():
             break
         # Any shingles may go last; a part of the nodes is enough to tell which others are as common, for fewer rounds.
-        some = pool.join(new, "key", "left_semi").select("node").distinct().where(F.pmod(F.xxhash64("node"), F.lit(PART)) == 0)
-        sets = shingle_sets(texts(cut_lineage(some)), words, "node", "text").select(F.explode("shingles").alias("key"))
-        often = sets.groupBy("key").count().where(F.col("count") > max(1, COMMON // PART)).select("key")
+        had = cut_lineage(pool.join(new, "key", "left_semi").select("node").distinct())
+        part = max(1, had.count() // SAMPLE)
+        some = cut_lineage(had.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0))
+        sets = shingle_sets(texts(some), words, "node", "text").select(F.explode("shingles").alias("key"))
+        often = sets.groupBy("key").count().where(F.col("count") > max(1, COMMON // (2 * part))).select("key")
         new = cut_lineage(new.union(often).distinct().join(common, "key", "left_anti"))
         now = base.join(common, "key", "left_anti").unionByName(fresh)
         again = cut_lineage(now.join(new, "key", "left_semi").select("node").distinct())

@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ import regex
 
 BYTE_BPE = "byte_bpe_50k.json"
 CACHE_ENTRIES = 600_000  # distinct chunks a worker remembers, about 120 MB; only a cache, results do not depend on it
+KEPT_ENTRIES = 150_000   # of them, the first, stay from task to task: frequent ones come early
 STEP_CHARS = 1 << 20     # a long text is cut into chunks about so many characters at a time
 SLICE_BYTES = 8 << 20    # texts whose words are encoded together
 
@@ -66,7 +68,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
-            self.clear()
+            self.trim()
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isascii() and word.isalpha():
             ids = array("I", [t.id for t in self.tokenize(chunk if word is chunk else _SPACE_CHAR + word)]).tobytes()
@@ -78,6 +80,13 @@ class _Chunks(dict):
         self[chunk] = ids
         return ids
 
+    def trim(self) -> None:
+        """Gives memory back at the end of a task, and when the cache is full."""
+        if len(self) > KEPT_ENTRIES:
+            kept = list(islice(self.items(), KEPT_ENTRIES))
+            self.clear()
+            self.update(kept)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

@@ -141,6 +141,7 @@ def test_mixed_crowds_equal_all_pairs(spark, monkeypatch):
             texts.append(" ".join(own + stock[:-4] + [f"z{k}"]))
     monkeypatch.setattr(S, "NODE", 8)
     monkeypatch.setattr(S, "COMMON", 3)
+    monkeypatch.setattr(S, "PAIRS", 0)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted(set(near_classes(texts, 5, 0.8)))
     none = spark.createDataFrame([], "a long, b long")  # the completing join alone, without the index's links
@@ -170,7 +171,8 @@ def test_two_crowds_under_one_key(spark, monkeypatch):
             texts.append(" ".join(base[:at] + [f"{crowd}z{k}"] + base[at + 1:] + stock))
     texts.append(" ".join([f"b{x}" for x in range(112)] + ["other"] * 3 + stock))
     monkeypatch.setattr(S, "COMMON", 6)
-    monkeypatch.setattr(S, "PART", 2)
+    monkeypatch.setattr(S, "SAMPLE", 30)
+    monkeypatch.setattr(S, "PAIRS", 0)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = near_classes(texts, 5, 0.8)
     assert len(set(want)) == 2 and sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted(set(want))
