@@ -325,24 +325,6 @@ class Lexicon:
     def _by_canonical(self, kind: str) -> dict[str, int]:
         return {c["canonical"]: c["concept_id"] for c in self.concepts if c["kind"] == kind}
 
-    def risk_link_pairs(self, spark: SparkSession) -> DataFrame:
-        ids = self._by_canonical("condition")
-        rows = [(i, ids[a], ids[b], a, b) for i, (a, b) in enumerate(self.risk_links)]
-        return local_table(spark, rows, _schema(rule_no=_I, from_concept=_I, to_concept=_I, from_name=_S, to_name=_S))
-
-    def lab_link_pairs(self, spark: SparkSession) -> DataFrame:
-        labs = self._by_canonical("lab")
-        rows, done = [], set()
-        for lab, canonical, category in self.lab_links:
-            if lab in done:
-                continue
-            done.add(lab)
-            for c in self.concepts:
-                if c["kind"] == "condition" and ((canonical and c["canonical"] == canonical)
-                                                 or (category and c["category"] == category)):
-                    rows.append((labs[lab], c["concept_id"]))
-        return local_table(spark, rows, _schema(lab_concept=_I, cond_concept=_I))
-
     def monitor_pairs(self, spark: SparkSession) -> DataFrame:
         labs = self._by_canonical("lab")
         rows = [(c["concept_id"], labs[lab]) for c in self.concepts for lab in c["monitor_labs"] if lab in labs]

@@ -186,3 +186,11 @@ def events_from_facts(facts: DataFrame) -> DataFrame:
     return facts.select("event_id", "patient_id", "seq", "source_id", "source_type", "kind", label.alias("label"),
                         "value", "unit", "observed_at", "status", "fact_id", "confidence", "ai_extracted", "ai_score",
                         "relevance", "review_status", "evidence_quote")
+
+
+def review_totals(*items: DataFrame) -> DataFrame:
+    """(patient_id, target_type, open_items) over any review rows."""
+    every = items[0].select("patient_id", "target_type", "status")
+    for more in items[1:]:
+        every = every.unionByName(more.select("patient_id", "target_type", "status"))
+    return every.filter(F.col("status") == "open").groupBy("patient_id", "target_type").agg(F.count(F.lit(1)).alias("open_items"))

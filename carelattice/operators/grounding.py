@@ -66,11 +66,6 @@ def ground(df: DataFrame, lex: Lexicon | None = None, label: str = "label", kind
         F.coalesce(F.col("c_canonical"), fix_acronyms(generic)).alias("normalized_label"), *CONCEPT_COLUMNS)
 
 
-def normalize_labels(df: DataFrame, lex: Lexicon | None = None, label: str = "label", kind: str = "kind") -> DataFrame:
-    """Input columns plus normalized_label only."""
-    return ground(df, lex, label, kind).select(*df.columns, "normalized_label")
-
-
 def canonical_key(kind: Column, normalized: Column) -> Column:
     return F.concat_ws(":", kind, F.lower(normalized))
 

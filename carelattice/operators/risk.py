@@ -261,3 +261,10 @@ def alert_source_types(evidence: DataFrame, events: DataFrame, sources: DataFram
 def alert_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("patient_id").agg(
         F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "high").alias("high_alerts"))
+
+
+def alert_totals(rules: DataFrame, extra: DataFrame) -> DataFrame:
+    """(patient_id, rule_alerts, extra_alerts, method) of every patient with an alert."""
+    counted = rules.select("patient_id", F.lit(1).alias("rule")).unionByName(extra.select("patient_id", F.lit(0).alias("rule")))
+    n = counted.groupBy("patient_id").agg(F.sum("rule").alias("rule_alerts"), F.sum(1 - F.col("rule")).alias("extra_alerts"))
+    return n.withColumn("method", F.when(F.col("extra_alerts") > 0, "rules+extra").otherwise("rules"))

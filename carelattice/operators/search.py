@@ -64,8 +64,8 @@ def evidence_documents(sources: DataFrame, events: DataFrame) -> DataFrame:
     return src.unionByName(evt)
 
 
-def documents_of_source(docs: DataFrame, source_id: str) -> DataFrame:
-    return docs.filter(F.col("source_id") == source_id)
+def documents_of_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    return docs.join(sources.select("patient_id", "source_id").distinct(), ["patient_id", "source_id"], "left_semi")
 
 
 def documents_of_events(docs: DataFrame, event_ids: DataFrame) -> DataFrame:
@@ -303,13 +303,14 @@ def reference_rows(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     return rows(chunks, "chunk", "chunk_id", F.col("text")).unionByName(rows(facts, "fact", "event_id", fact_text()))
 
 
-def evidence_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, lexical_k: int = ALERT_K) -> DataFrame:
+def evidence_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, lexical_k: int = ALERT_K,
+                    semantic_k: int | None = None) -> DataFrame:
     """Hybrid retrieval per patient and query over documents, stored facts and chunks.
 
     ``queries``: patient_id, query_id, query_text; ``vectors``: reference_rows() with their vector; ``query_vectors``: patient_id,
     query_id, vector.  Vector hits are routed to documents by what they refer to before both lists are fused."""
     lexical = bm25(docs, queries, lexical_k, ["patient_id"])
-    hits = scoped_vector_top_k(vectors, query_vectors, ["patient_id"], REMOTE_K)
+    hits = scoped_vector_top_k(vectors, query_vectors, ["patient_id"], clamp_k(semantic_k))
     return fuse(lexical, semantic_documents(hits, docs), ["patient_id", "query_id"])
 
 

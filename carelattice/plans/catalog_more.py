@@ -147,15 +147,15 @@ def fact_texts(spark, sf):
                                           grounding.canonical_key(F.col("kind"), F.col("normalized_label")).alias("canonical_key"))
 
 
-@register("cited_parts", """WITH a AS (SELECT doc_id AS answer_id, concat(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 30), '[', doc_id % 7, '] and [', doc_id % 3, '] end') AS t, left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 30) AS head FROM documents)
+@register("cited_parts", """WITH a AS (SELECT doc_id AS answer_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g') AS head FROM documents)
 SELECT answer_id, (pos + CASE WHEN head = '' THEN 0 ELSE 1 END)::INT AS part, kind AS type, value, citation FROM (
  SELECT answer_id, head, -1 AS pos, 'text' AS kind, head AS value, NULL::INT AS citation FROM a WHERE head <> ''
  UNION ALL SELECT answer_id, head, 0, 'cite', concat('[', answer_id % 7, ']'), (answer_id % 7)::INT FROM a UNION ALL SELECT answer_id, head, 1, 'text', ' and ', NULL FROM a
  UNION ALL SELECT answer_id, head, 2, 'cite', concat('[', answer_id % 3, ']'), (answer_id % 3)::INT FROM a UNION ALL SELECT answer_id, head, 3, 'text', ' end', NULL FROM a)""")
 def cited_parts(spark, sf):
-    """Answers built from each document's first letters with two citations, split again."""
+    """Answers built from each document's letters with two citations behind them, split again."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    head = F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(30))
+    head = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")
     text = F.concat(head, F.lit("["), F.col("doc_id") % 7, F.lit("] and ["), F.col("doc_id") % 3, F.lit("] end"))
     return pr.split_answer(docs.select(F.col("doc_id").alias("answer_id"), text.alias("answer")))
 
