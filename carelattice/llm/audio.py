@@ -2,13 +2,14 @@
 
 A recording becomes frames of 12 pitch-class energies.  Sums over rectangles of that image come from its integral
 image; 16 filters compare such sums, each gives two bits, and the 16 pairs make one 32-bit integer for each frame.
-Recordings with the same integers form a class.  Classes that share integers vote for the offset between them;
+Recordings with the same integers form a class.  Halves of integers that two classes share vote for the offset between them;
 the bit errors over the overlap at the strongest offset decide whether they are aligned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ FILTERS = tuple((k % 5, (5 * k) % (13 - (2, 3, 4, 6)[k // 4]), (2, 3, 4, 6)[k //
 LIMITS = np.array([-0.12, 0.0, 0.12])     # of log((1 + a) / (1 + b)): four levels
 GRAY = np.array([0, 1, 3, 2], np.uint32)  # neighbouring levels differ in one bit
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 2, 8, 0.25
+SHARD, BLOCK = 1 << 18, 512  # frames of recordings and queries that meet in one task, about
+MEETINGS = 1 << 22           # equal halves of a query and a shard counted in one go, about
 
 Decoder = Callable[[object], np.ndarray | None]  # a media value to samples at RATE, or None
 
@@ -47,10 +50,12 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     return np.where(norm > 1e-6, smooth / np.maximum(norm, 1e-6), 0)
 
 
+@cache
 def _window() -> np.ndarray:
     return np.hanning(FRAME).astype(np.float32)
 
 
+@cache
 def _pitches() -> np.ndarray:
     """Frequency bins x pitch classes."""
     hertz = np.arange(FRAME // 2 + 1) * RATE / FRAME
@@ -114,31 +119,100 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.where((F.size("prints") > 0) & F.col("recording").isNotNull()).groupBy("prints").agg(F.min("recording").alias("class_id")).select("class_id", "prints")
 
 
+class _Votes:
+    """Prints of many recordings by the halves of their integers, and what a query has in common with them."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.sizes = np.array([len(p) for p in prints], np.int64)
+        self.starts = np.append(0, np.cumsum(self.sizes))
+        self.frames = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
+        at = np.flatnonzero(_turns(self.frames, self.starts[:-1]))
+        keys = _halves(self.frames[at])
+        order = np.argsort(keys, kind="stable")
+        self.at = np.tile(at, 2)[order]
+        self.first = np.searchsorted(keys[order], np.arange(2 ** 17 + 1))
+        self.owner = np.repeat(np.arange(len(prints)), self.sizes)
+
+    def offsets(self, query: np.ndarray, min_votes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, offset, votes) of each recording's strongest offset with so many votes; ties go to the smaller
+        absolute offset, then the smaller."""
+        own = np.flatnonzero(_turns(query, np.zeros(1, np.int64)[:len(query)]))
+        keys, mine = _halves(query[own]), np.tile(own, 2)
+        lo, n = self.first[keys], self.first[keys + 1] - self.first[keys]
+        span = len(query) + int(self.sizes.max(initial=0)) + 1
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(np.append(-1, np.cumsum(n) // MEETINGS))), len(n))
+        for some in map(slice, cuts[:-1], cuts[1:]):
+            taken = n[some]
+            at = self.at[np.repeat(lo[some] - np.cumsum(taken) + taken, taken) + np.arange(taken.sum())]
+            who = self.owner[at]
+            new, times = np.unique(who * span + (at - self.starts[who]) - np.repeat(mine[some], taken) + len(query), return_counts=True)
+            codes, place = np.unique(np.append(codes, new), return_inverse=True)
+            counts = np.bincount(place, np.append(counts, times), len(codes)).astype(np.int64)
+        codes, counts = codes[counts >= min_votes], counts[counts >= min_votes]
+        who, offset = codes // span, codes % span - len(query)
+        order = np.lexsort((offset, np.abs(offset), -counts, who))
+        best = order[np.append(True, np.diff(who[order]) > 0)[:len(order)]]
+        return who[best], offset[best], counts[best]
+
+    def errors(self, query: np.ndarray, who: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(overlap, bit errors over it) at the given offsets."""
+        skip = np.maximum(0, -offset)
+        begin = np.maximum(0, offset)
+        overlap = np.minimum(len(query) - skip, self.sizes[who] - begin)
+        ends = np.cumsum(overlap)
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - overlap, overlap)
+        wrong = np.bitwise_count(query[np.repeat(skip, overlap) + step] ^ self.frames[np.repeat(self.starts[who] + begin, overlap) + step])
+        total = np.append(0, np.cumsum(wrong, dtype=np.int64))
+        return overlap, total[ends] - total[ends - overlap]
+
+
+def _turns(frames: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a frame differs from the one before it, or begins a recording."""
+    out = np.append(True, frames[1:] != frames[:-1])[:len(frames)]
+    out[starts[starts < len(frames)]] = True
+    return out
+
+
+def _halves(frames: np.ndarray) -> np.ndarray:
+    """The upper halves, then the lower ones, told apart."""
+    return np.concatenate([frames >> np.uint32(16), (frames & np.uint32(0xFFFF)) | np.uint32(1 << 16)]).astype(np.int64)
+
+
 def align(every: DataFrame, queries: DataFrame, min_votes: int = MIN_VOTES, min_overlap: int = MIN_OVERLAP, max_error: float = MAX_ERROR) -> DataFrame:
     """query_class, class_id, offset, votes, overlap, bit_errors of the aligned pairs of different classes.
 
-    ``every`` and ``queries``: (class_id, prints).  Frame i of the query is frame i + offset of the other.  Of equal integers in a
-    row only the first votes.  The strongest offset is verified; ties go to the smaller absolute one, then the smaller.
-    A pair of queries is found from both sides."""
-    def keys(table: DataFrame) -> DataFrame:
-        first = F.filter(F.transform("prints", lambda x, i: F.struct(x.alias("key"), i.alias("at"))),
-                         lambda s: (s.at == 0) | (F.get("prints", s.at - 1) != s.key))
-        return table.select("class_id", F.explode(first).alias("s")).select("class_id", "s.key", "s.at")
-
-    left = keys(queries).select(F.col("class_id").alias("query_class"), "key", F.col("at").alias("query_at"))
-    met = keys(every).join(left, "key").where(F.col("class_id") != F.col("query_class"))
-    votes = met.groupBy("query_class", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= min_votes).groupBy("query_class", "class_id").agg(
-        F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("best"))
-    pairs = best.select("query_class", "class_id", (-F.col("best.low")).alias("offset"), "best.votes")
-    pairs = pairs.join(queries.select(F.col("class_id").alias("query_class"), F.col("prints").alias("a")), "query_class").join(
-        every.select("class_id", F.col("prints").alias("b")), "class_id")
-    from_a, from_b = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    overlap = F.least(F.size("a") - from_a, F.size("b") - from_b)
-    errors = F.aggregate(F.zip_with(F.slice("a", from_a + 1, overlap), F.slice("b", from_b + 1, overlap),
-                                    lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, e: s + e)
-    out = pairs.select("query_class", "class_id", "offset", "votes", overlap.alias("overlap"), errors.alias("bit_errors"))
-    return out.where((F.col("overlap") >= min_overlap) & (F.col("bit_errors") <= F.col("overlap") * 32 * max_error))
+    ``every`` and ``queries``: (class_id, prints).  Frame i of the query is frame i + offset of the other.  Equal halves of
+    integers vote for an offset, so an integer with wrong bits in one half still votes; of equal integers in a row only the first
+    does.  Votes only propose: the strongest offset is taken if the bit errors over the overlap are few enough.  A pair of queries is
+    found from both sides.  Recordings in shards and queries in blocks meet as pairs, so a frequent integer is
+    counted within a task and not joined with itself."""
+    frames = every.agg(F.sum(F.size("prints"))).first()[0] or 0
+    shards, blocks = max(1, -(-frames // SHARD)), max(1, -(-queries.count() // BLOCK))
+
+    def pair(shard: pa.Table, block: pa.Table) -> pa.Table:
+        ids, found = shard["other_id"].to_numpy(), []
+        if len(ids) and len(block):
+            votes = _Votes(_prints(shard["other"]))
+            for own, query in zip(block["query_class"].to_pylist(), _prints(block["prints"])):
+                who, offset, counts = votes.offsets(query, min_votes)
+                overlap, wrong = votes.errors(query, who, offset)
+                keep = (overlap >= min_overlap) & (wrong <= overlap * 32 * max_error) & (ids[who] != own)
+                found.append([x[keep] for x in (np.full(len(who), own), ids[who], offset, counts, overlap, wrong)])
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(6)]
+        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(names, columns)})
+
+    names = ["query_class", "class_id", "offset", "votes", "overlap", "bit_errors"]
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = every.select(F.col("class_id").alias("other_id"), F.col("prints").alias("other"), dealt("class_id", shards).alias("shard"), each(blocks).alias("block"))
+    right = queries.select(F.col("class_id").alias("query_class"), F.col("prints").alias("prints"), dealt("class_id", blocks).alias("block"), each(shards).alias("shard"))
+    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(pair, ", ".join(f"{n} long" for n in names))
+    return met.select("query_class", "class_id", *(F.col(n).cast("long" if n == "votes" else "int").alias(n) for n in names[2:]))
+
+
+def _prints(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint32) for chunk in lists.chunks for x in chunk]
 
 
 def search(prints: DataFrame, is_query) -> DataFrame:
