@@ -22,7 +22,7 @@ def brute_lines(rows):
     for doc, text in rows:
         for n, line in enumerate((text or "").split("\n")):
             w = re.sub(lines.VARIABLE_TOKEN, lines.VARIABLE, line.strip(" ")).split(" ")
-            if len(w) < lines.MIN_TOKENS:
+            if not w[0]:
                 continue
             keys = [(len(w), 0, tuple(w), ())]
             if len(w) >= lines.GENERAL_TOKENS:
@@ -33,7 +33,7 @@ def brute_lines(rows):
     out = set()
     for key, places in paths.items():
         seen = {d for d, _ in places}
-        if len(seen) >= (lines.MIN_GENERAL if key[1] else lines.MIN_DOCS):
+        if len(seen) >= (lines.MIN_GENERAL if key[1] else lines.MIN_DOCS * 2 ** max(0, lines.LONG - key[0])):
             out |= {p for p in places if p[0] > min(seen)}
     return {(d, "\n".join(x for n, x in enumerate((t or "").split("\n")) if (d, n) not in out)) for d, t in rows}
 
@@ -70,6 +70,28 @@ def test_lines_keep_columns_rows_and_nothing(spark):
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
+def test_short_lines_need_more_documents(spark):
+    rows = [(i, f"own text of document {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (1 + i // 26)}\nAll rights reserved.\n" + ("Les.\n" if i < 31 else "") + ("three short words\n" if i < 7 else "") + "\n") for i in range(40)]
+    got = {(r.doc_id, r.text) for r in lines.dedup(docs_of(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+    text = dict(got)
+    assert "All rights reserved." in text[0] and not any("reserved" in text[i] for i in range(1, 40))
+    assert all("Les." in text[i] for i in range(31)) and all("three short words" in text[i] for i in range(7))
+
+
+def test_lines_with_clashing_columns_and_a_very_long_text(spark):
+    names = ["doc", "row", "lines", "dropped", "held", "line", "_doc", "_row", "_dropped", "template", "tokens", "part", "words"]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f\nx y z u v"), (3, "\n".join(f"{'qwertzuiop'[i % 10]} {'asdfghjkl'[i % 9]} w" + "xyz"[i % 3] * (1 + i // 90) + " line of text" for i in range(30_000)))]
+    docs = docs_of(spark, rows + [(4, rows[2][1])])
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"my {n}"))
+    out = lines.dedup(docs)
+    assert out.columns == docs.columns + ["n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[i][n] == f"my {n}" for i in got for n in names)
+    assert got[1].text == "a b c d e f" and got[2].text == "x y z u v" and got[3].n_lines == 30_000 and got[4].text == ""
+
+
 # -- rules -------------------------------------------------------------------------------------
 
 def test_statistics(spark):
