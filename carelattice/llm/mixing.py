@@ -26,7 +26,9 @@ VOCABULARY = 4_096    # words at most: those with the largest excess in one doma
 EXCESS, MIN_DOCS = 4.0, 3
 BINS = 8              # parts of each statistic
 ROUNDS, SHRINK = 500, 3e-4
-STEPS, STORE_EVERY, CLOSE = 60, 8, 1e-6
+STORE_EVERY = 8
+CLOSE, STILL = 1e-6, 1e-5  # the descent ends at totals so near the targets, or when a step moves them no more than so, as parts of all tokens
+MOST_STEPS = 1_000         # more are an error, not an answer
 SYMBOLS = b"#$%&*|<>{}[]@^~_=+\\/!?"
 UPPER = bytes(range(65, 91))
 DOMAINS = ("clean", "junk", "toxic")
@@ -163,7 +165,8 @@ def rates(soft: DataFrame, targets: list[float] | None = None, weights: list[flo
     """(``soft`` with rate, the expected totals of the domains): tokens and p from members().
 
     ``targets``: token totals by domain; or ``weights``: shares of the present total.  The least squares count each domain by
-    its own scale, and a step moves rates in proportion to the residuals, p weighing them, whatever the length.  A domain
+    its own scale, and a step moves rates in proportion to the residuals, p weighing them, whatever the length.  The descent goes on
+    until the targets are met or the projected gradient is so small that the totals stand still.  A domain
     nobody belongs to cannot reach its target: its residual stays, the others are met."""
     k = len(targets or weights)
     tokens, p = F.col("tokens").cast("double"), lambda i: F.col("p")[i]
@@ -175,16 +178,19 @@ def rates(soft: DataFrame, targets: list[float] | None = None, weights: list[flo
     scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1.0))
     top = float(np.linalg.eigvalsh(gram * scale[:, None] * scale[None, :])[-1]) if gram.any() else 1.0
     state, rate = soft.withColumn("rate", F.lit(1.0)), F.col("rate")
-    for step in range(1, STEPS + 1):
+    moved, step = np.inf, 0
+    while np.abs(totals - goal).max() > CLOSE * max(1.0, goal.sum()) and moved > STILL * max(1.0, goal.sum()):
+        step += 1
+        if step > MOST_STEPS:
+            raise RuntimeError(f"the rates have not settled after {MOST_STEPS} steps")
         error = (totals - goal) * scale
-        if np.abs(totals - goal).max() <= CLOSE * max(1.0, goal.sum()):
-            break
         move = (error * scale / max(top, 1e-12)).tolist()
         rate = F.greatest(F.lit(0.0), rate - sum((p(i) * move[i] for i in range(1, k)), p(0) * move[0]))
         if step % STORE_EVERY == 0:
             state, rate = cut_lineage(state.withColumn("rate", rate)), F.col("rate")
         got = state.agg(*(F.coalesce(F.sum(tokens * p(i) * rate), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
-        totals = np.array([got[f"t{i}"] for i in range(k)])
+        before, totals = totals, np.array([got[f"t{i}"] for i in range(k)])
+        moved = np.abs(totals - before).max()
     return state.withColumn("rate", rate), totals.tolist()
 
 
@@ -204,10 +210,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None,
     """doc_id, tokens, p, rate, copies, one row per row of ``docs``.
 
     ``docs``: doc_id and text, ``labels``: doc_id and domain.  Null texts have no tokens and so no influence; a null doc_id is
-    treated like any other.  Repeated rows count each.  Empty table: no rows."""
+    treated like any other.  Repeated rows count each.  Empty table: no rows.  Whether a fraction becomes a copy follows from the
+    doc_id and the text, so rows with one id, or with none, draw each for its text.  Other columns are not read."""
     soft = cut_lineage(members(docs, train(docs, labels, domains)))
     out, _ = rates(soft, targets, weights)
-    return out.withColumn("copies", copies(F.col("rate"), "doc_id"))
+    return out.withColumn("copies", copies(F.col("rate"), "doc_id", "text_key"))
 
 
 def grown_targets(soft_totals: list[float], shares: list[float], main: int, growth: float) -> list[float]:

@@ -174,6 +174,34 @@ def test_risk_estimator_does_not_go_below_zero():
 
 # -- mixing ------------------------------------------------------------------------------------
 
+def projected_gradient(tokens, p, goal, steps=200_000):
+    """The same least squares by a solver of its own: fixed small steps on all rates at once."""
+    share = tokens[:, None] * p
+    size = np.sqrt(np.maximum((share[:, :, None] * p[:, None, :]).sum(0).diagonal(), 1.0))
+    gram = (share[:, :, None] * p[:, None, :]).sum(0) / size[:, None] / size[None, :]
+    step, rate, last = 0.5 / np.linalg.eigvalsh(gram)[-1], np.ones(len(tokens)), None
+    for _ in range(steps):
+        totals = share.T @ rate
+        if last is not None and np.abs(totals - last).max() <= 1e-12 * goal.sum():
+            break
+        rate, last = np.maximum(0, rate - step * p @ ((totals - goal) / size / size)), totals
+    return rate, share.T @ rate
+
+
+@pytest.mark.parametrize("goal", [[20_000.0, 20_000.0, 10_000.0], [100.0, 100.0, 100.0]])
+def test_rates_equal_a_second_solver(spark, goal):
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 120)
+    tokens = rng.integers(0, 900, 120)
+    soft = spark.createDataFrame([(i, i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, text_key long, tokens long, p array<double>")
+    out, reached = mixing.rates(soft, targets=goal)
+    rate, totals = projected_gradient(tokens.astype(float), p, np.array(goal))
+    got = np.array([r.rate for r in out.orderBy("doc_id").collect()])
+    assert (got >= 0).all() and np.allclose((tokens[:, None] * p).T @ got, reached, rtol=1e-6, atol=1e-3)
+    scale = np.sqrt((tokens[:, None] * p * p).sum(0))
+    assert np.abs((np.array(reached) - goal) / scale).sum() <= np.abs((totals - goal) / scale).sum() + 2e-3 * sum(goal) / scale.min()
+
+
 def test_rates_meet_the_targets(spark):
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.3, 0.3, 0.3], 500)
