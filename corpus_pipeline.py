@@ -17,7 +17,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go.
+
+    Null and empty texts are judged by their statistics like any other, repeated rows alike; very long texts are read whole.  All columns
+    stay, whatever their names.  No labelled documents: all are scored alike.  Empty table: no rows."""
     model = rules.train(docs, _labels(spark, sf_dir), "quality")
     rows = docs.select(F.struct("*").alias("row"), "text")
     return rules.score(rules.statistics(rows, keep=("row",)), model, 0.3).where("predicted = 1").select("row.*")
@@ -35,16 +38,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by the rates that bring the domains to SHARES; at a rate below 1 some go."""
+    """Documents repeated by the rates that bring the domains to SHARES; at a rate below 1 some go.
+
+    Null and empty texts count no tokens and move no total.  Copies are drawn by doc_id and text, so equal rows stay or go
+    together.  All columns stay, whatever their names.  Empty table: no rows."""
     model = mixing.train(docs, mixing.domain_labels(_labels(spark, sf_dir)))
     soft = cut_lineage(mixing.members(docs, model))
     targets = mixing.grown_targets(mixing.totals(soft, len(SHARES)), SHARES, 0, GROWTH)
     rated, _ = mixing.rates(soft, targets)
-    return mixing.repeated(docs, rated.withColumn("copies", mixing.copies(F.col("rate"), "doc_id")))
+    return mixing.repeated(docs, rated.withColumn("copies", mixing.copies(F.col("rate"), "doc_id", "text_key")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; a repeated document is packed as often as it comes."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; a repeated document is packed as often as it comes.
+
+    Null and empty texts are one end id; null ids are packed like others; long texts are cut at the capacity.  Other columns are not
+    read.  Empty table: no rows."""
     return packing.pack_documents(docs)
 
 
