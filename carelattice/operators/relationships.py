@@ -11,10 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelattice.functions.text import js_number, stable_id
+from carelattice.functions.text import js_number, similarity, stable_id
 from carelattice.functions.values import CONFIDENCE_REVIEW
 from carelattice.lexicon import SEVERITY_CONFIDENCE, Lexicon, local_table
-from carelattice.operators.similarity import similar_pairs
 
 # --- fixed values -----------------------------------------------------------
 RISK_CONFIDENCE, TREND_CONFIDENCE, SYMPTOM_CONFIDENCE, BARRIER_CONFIDENCE = 0.72, 0.8, 0.6, 0.65
@@ -133,17 +132,11 @@ def barrier_relationships(entities: DataFrame, lex: Lexicon | None = None) -> Da
     lex = lex or Lexicon.default()
     barriers = entities.filter(F.col("kind") == "barrier")
     targets = entities.filter(F.col("kind").isin("condition", "medication", "lab"))
-    is_barrier = F.col("kind") == "barrier"
-    labels = (entities.filter(F.col("kind").isin("barrier", "condition", "medication", "lab"))
-              .groupBy("patient_id", F.col("canonical_label").alias("label"))
-              .agg(F.max(is_barrier).alias("left"), F.max(~is_barrier).alias("right")))
-    pairs = similar_pairs(labels, BARRIER_THRESHOLD, ("patient_id",))
-    # a label on both sides pairs with itself, and its pairs count for either side
-    both = labels.filter(F.col("left") & F.col("right")).select("patient_id", F.col("label").alias("a"), F.col("label").alias("b"), F.lit(1.0).alias("score"))
-    pairs = pairs.unionByName(pairs.select("patient_id", F.col("b").alias("a"), F.col("a").alias("b"), "score")).distinct().unionByName(both)
-    scored = pairs.select("patient_id", F.col("a").alias("from_label"), F.col("b").alias("to_label"), "score")
+    # a patient's few barriers meet their entities directly: at so low a threshold signatures would be most of the bigrams
+    met = _side(barriers, "from").join(_side(targets, "to"), ["patient_id"])
+    near = met.select("from_label", "to_label").distinct().withColumn("score", similarity(F.col("from_label"), F.col("to_label")))
     kind_rank = F.when(F.col("to_kind") == "condition", 0).when(F.col("to_kind") == "medication", 1).otherwise(2)
-    c = (_side(barriers, "from").join(scored, ["patient_id", "from_label"]).join(_side(targets, "to"), ["patient_id", "to_label"])
+    c = (met.join(near.filter(F.col("score") >= BARRIER_THRESHOLD), ["from_label", "to_label"])
          .withColumn("family", F.lit(6)).withColumn("rule_no", F.lit(0)).withColumn("relation", F.lit("barrier_to"))
          .withColumn("confidence", F.lit(BARRIER_CONFIDENCE)).withColumn("severity", _empty())
          .withColumn("rationale", F.concat(F.lit('"'), "from_label", F.lit('" may be obstructing care for '),

@@ -1033,6 +1033,12 @@ def vector_upsert(spark, sf):
  UNION ALL SELECT conv_id, concat('node_ctx_', conv_id), concat('node_src_', conv_id), 'mentioned_in' FROM ut UNION ALL SELECT conv_id, concat('node_ctx_', conv_id), node, 'possibly_related_to' FROM lk""")
 def conversation_graph(spark, sf):
     """Each conversation as a patient of its own: its hub node and the edges of the hub."""
+    g, _ = _conversation_graph(spark, sf)
+    hub = F.col("from_node").startswith("node_ctx_") | F.col("to_node").startswith("node_ctx_")
+    return g.edges.filter(hub).select("patient_id", "from_node", "to_node", "relation")
+
+
+def _conversation_graph(spark, sf):
     msg = cv.valid_messages(_messages(spark, sf))
     sid = F.col("conv_id").cast("string")
     ev = cut_lineage(cv.conversation_events(msg).select(
@@ -1045,6 +1051,24 @@ def conversation_graph(spark, sf):
     e = cut_lineage(e)
     patients = ctx.select("patient_id", F.concat(F.lit("Patient "), "context_id").alias("name"))
     links = ev.select("patient_id", F.col("source_id").alias("context_id"), "event_id", "seq")
-    g = gr.build(patients, src, e, m, rel.rule_relationships(e), ctx, links)
-    hub = F.col("from_node").startswith("node_ctx_") | F.col("to_node").startswith("node_ctx_")
-    return g.edges.filter(hub).select("patient_id", "from_node", "to_node", "relation")
+    return gr.build(patients, src, e, m, rel.rule_relationships(e), ctx, links), ev
+
+
+@register("conversation_citations", o.with_(MSG, f"kw(rule, pat, kind, label, value) AS {KW}", "hit AS (SELECT conv_id, rule, kind, label, value FROM ut JOIN kw ON regexp_matches(low, pat) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rule) = 1)",
+          f"cx AS (SELECT conv_id, t, {_list_sql('symptoms')} AS s, {_list_sql('barriers')} AS b FROM ut)")
+          + """SELECT conv_id AS patient_id, 0 AS pos, coalesce(s[1], b[1], trim(substr(t, 1, 80))) AS label, 'conversation' AS kind, concat('node_ctx_', conv_id) AS node_id, NULL AS event_id, NULL AS detail FROM cx
+ UNION ALL SELECT conv_id, 1, concat(label, CASE WHEN value IS NOT NULL THEN concat(' ', value) ELSE '' END, ' · Feb 2024'), kind,
+  CASE rule WHEN 0 THEN 'symptom:fatigue' WHEN 1 THEN 'symptom:edema' WHEN 2 THEN 'symptom:shortness of breath' WHEN 3 THEN 'medication:ibuprofen' WHEN 4 THEN 'condition:care access barrier' ELSE 'condition:medication refill issue' END,
+  concat('evt_', conv_id, '_', rule), 'noted' FROM hit
+ UNION ALL SELECT conv_id, 2, 'see chart', NULL, NULL, NULL, 'see chart' FROM ut""")
+def conversation_citations(spark, sf):
+    """Citations of each conversation's hub node, of its first event, and of a node that does not exist."""
+    g, ev = _conversation_graph(spark, sf)
+    none = F.lit(None).cast("string")
+    cols = lambda pos, node, event, note: (F.lit(1).alias("answer_id"), F.lit(pos).alias("pos"), node.alias("node_id"), event.alias("event_id"), note.alias("note"))
+    hubs = g.nodes.filter("kind = 'conversation'")
+    first = ev.filter("kind <> 'note'").groupBy("patient_id").agg(F.min_by("event_id", "seq").alias("first_event"))
+    asked = hubs.select("patient_id", *cols(0, F.col("node_id"), none, none)).unionByName(
+        first.select("patient_id", *cols(1, none, F.col("first_event"), F.lit(" noted")))).unionByName(
+        hubs.select("patient_id", *cols(2, F.lit("gone"), none, F.lit("see chart"))))
+    return pr.resolve_citations(asked, g.nodes, g.node_events, ev).drop("answer_id")
