@@ -175,6 +175,53 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = LE
     return _scored(posts, sizes.drop("buckets"), q, k, scope)
 
 
+def build_bounded_index(docs: DataFrame, path: str, scope: list[str] | None = None, parts: int = INDEX_BUCKETS) -> None:
+    """Writes each document's score for each of its terms, by parts of documents, and the largest score of a term in a part."""
+    scope = scope or []
+    tok = cut_lineage(tokenized(docs, scope))
+    sizes = tok.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
+    posts = cut_lineage(postings(tok, scope))
+    p = posts.join(document_frequency(posts, scope), [*scope, "term"])
+    if scope:
+        p = p.join(sizes, scope)
+    else:
+        p = p.withColumn("n", sizes.select("n").scalar()).withColumn("avg_len", sizes.select("avg_len").scalar())
+    impact = bm25_contribution(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("avg_len"))
+    scored = p.select(*scope, "term", "doc_id", impact.alias("impact"), F.pmod(F.xxhash64(*scope, "doc_id"), F.lit(parts)).cast("int").alias("part"))
+    scored.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/impacts")
+    kept = docs.sparkSession.read.parquet(f"{path}/impacts")
+    kept.groupBy(*scope, "term", "part").agg(F.max("impact").alias("bound")).write.parquet(f"{path}/bounds")
+
+
+def search_bounded_index(spark: SparkSession, path: str, queries: DataFrame, k: int = LEXICAL_K, scope: list[str] | None = None) -> tuple[DataFrame, list[int]]:
+    """(bm25() over the index, the parts that were read).
+
+    A query's bound in a part is the sum of its terms' largest scores there.  The part with the highest bound is scored first; its
+    k-th score is a limit that parts with a lower bound cannot reach, so those are not read for the query, and a part that no
+    query needs is not read at all."""
+    scope = scope or []
+    group = [*scope, "query_id"]
+    q = cut_lineage(query_terms(queries, scope))
+    bounds = spark.read.parquet(f"{path}/bounds").join(q, [*scope, "term"])
+    sums = cut_lineage(bounds.groupBy(*group, "part").agg(F.sum(F.col("bound") * F.col("q_tf")).alias("bound")))
+    first = W.partitionBy(*group).orderBy(F.col("bound").desc(), "part")
+    ranked = sums.withColumn("_r", F.row_number().over(first))
+
+    def scores(wanted: DataFrame) -> tuple[DataFrame, set[int]]:
+        some = {r["part"] for r in wanted.select("part").distinct().collect()}  # as many as the index has at most
+        rows = spark.read.parquet(f"{path}/impacts").filter(F.col("part").isin(sorted(some)))
+        asked = wanted.select(*group, "part").join(q, group)
+        hit = rows.join(asked, [*scope, "term", "part"]).groupBy(*group, "doc_id").agg(
+            F.sum(F.col("impact") * F.col("q_tf")).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+        return cut_lineage(hit), some
+
+    best, one = scores(ranked.filter("_r = 1"))
+    limit = top_k(best, group, k).filter(F.col("rank") == k).select(*group, F.col("score").alias("limit"))
+    open_ = ranked.filter("_r > 1").join(limit, group, "left").filter(F.col("limit").isNull() | (F.round("bound", 9) >= F.round("limit", 9)))
+    others, two = scores(cut_lineage(open_))
+    return top_k(best.unionByName(others), group, k), sorted(one | two)
+
+
 def top_k(hits: DataFrame, group: list[str], k: int, id_col: str = "doc_id") -> DataFrame:
     """rank <= k by score, then id.  Spark limits each group before and after the shuffle.
     Scores equal to nine decimals are ties, since sums depend on the order of addition."""

@@ -13,8 +13,9 @@ from carelattice.operators import risk
 from carelattice.operators import search as se
 from carelattice.plans import oracles as o
 from carelattice.plans.activity import health_events
-from carelattice.plans.catalog import (CHUNKS, DOCS, EXTRA, FACT_TRENDS, GRAPH, ORACLES, PATIENT_BM25, SUBGRAPH, _alerts, _events_sources, _messages, _relationships,
+from carelattice.plans.catalog import (CHUNKS, DOCS, EXTRA, FACT_TRENDS, GRAPH, ORACLES, PATIENT_BM25, SUBGRAPH, _alerts, _bench_queries, _corpus, _events_sources, _messages, _relationships,
                                        _stored_graph, MSG, QUERIES, register, tokens_sql)
+from carelattice.plans.catalog_more import fresh_folder
 from carelattice.session import cut_lineage
 from carelattice.sources import chunks as ch
 from carelattice.sources import notes as nt
@@ -119,3 +120,12 @@ def search_subgraph(spark, sf):
     nodes, edges = gr.query_graph(_stored_graph(spark, sf), search_hits=cut_lineage(hits.select("patient_id", "query_id", "event_id")))
     return (nodes.select("patient_id", "query_id", F.lit("node").alias("part"), F.col("node_id").alias("id"))
             .unionByName(edges.select("patient_id", "query_id", F.lit("edge").alias("part"), F.col("edge_id").alias("id"))))
+
+
+@register("bounded_index_topk", ORACLES["stored_index_topk"])
+def bounded_index_topk(spark, sf):
+    """The index keeps each term's largest score by part of the corpus; parts that cannot reach a query's best are not read for it."""
+    path = fresh_folder(spark)
+    se.build_bounded_index(_corpus(spark, sf), path)
+    hits, _ = se.search_bounded_index(spark, path, _bench_queries(spark, sf))
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.size("matched_terms").cast("bigint").alias("matched"), "rank")

@@ -115,3 +115,20 @@ def test_components_of_chains_and_hubs(spark):
     df = spark.createDataFrame(chain + hub, "scope string, a string, b string")
     out = {(r.scope, r.node): r.root for r in components.connected_components(df, ["scope"]).collect()}
     assert len(out) == 32 and {v for (s, _), v in out.items() if s == "p"} == {"n00"} and {v for (s, _), v in out.items() if s == "q"} == {"m0"}
+
+
+def test_bounds_leave_out_parts_and_no_hit(spark, tmp_path):
+    """Same rows as without an index; a query for rare words reads a few parts, one for common words more."""
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    docs = spark.createDataFrame([(i, "", " ".join(words[(i * k) % 5] for k in range(1, 4 + i % 7)) + (f" rare{i // 3}" if i % 50 == 0 else "")) for i in range(600)],
+                                 "doc_id long, title string, text string")
+    search.build_bounded_index(docs, str(tmp_path / "i"), parts=16)
+    for text in ("rare0", "rare50 rare100", "alpha beta", "omega rare150 rare150", "nothing", "gamma delta alpha rare183"):
+        queries = spark.createDataFrame([(1, text)], "query_id int, query_text string")
+        hits, read = search.search_bounded_index(spark, str(tmp_path / "i"), queries, 3)
+        cols = ["query_id", "doc_id", "rank", "matched_terms"]
+        want = search.bm25(docs, queries, 3)
+        assert sorted(map(tuple, hits.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+        assert len(read) < 16 if "rare" in text and len(text) < 20 else len(read) <= 16
+    both = spark.createDataFrame([(1, "alpha"), (2, "rare50 delta")], "query_id int, query_text string")
+    assert search.search_bounded_index(spark, str(tmp_path / "i"), both, 3)[0].count() == 6
