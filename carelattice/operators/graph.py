@@ -144,6 +144,13 @@ def build(patients: DataFrame, sources: DataFrame, entities: DataFrame, members:
     return Graph(nodes.select(*node), node_events, edges.withColumn("edge_id", edge_id()), evidence)
 
 
+def linked_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relationships, such as stored or foreign ones, both of whose ends are entities of the patient."""
+    keys = entities.select("patient_id", "entity_key")
+    ends = relationships.join(keys.withColumnRenamed("entity_key", "from_key"), ["patient_id", "from_key"], "left_semi")
+    return ends.join(keys.withColumnRenamed("entity_key", "to_key"), ["patient_id", "to_key"], "left_semi").select(*relationships.columns)
+
+
 def conversation_parts(contexts: DataFrame, context_events: DataFrame, sources: DataFrame, node_events: DataFrame, nodes: DataFrame):
     """Hub node per conversation: reported by the patient, mentioned in its source, possibly related
     to the node of each of its events (each node once, witnessed by its first event)."""

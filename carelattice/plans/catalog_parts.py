@@ -18,6 +18,7 @@ from carelattice.plans.catalog import (CHUNKS, DOCS, EXTRA, FACT_TRENDS, GRAPH,
 from carelattice.plans.catalog_more import fresh_folder
 from carelattice.session import cut_lineage
 from carelattice.sources import chunks as ch
+from carelattice.sources import conversations as cv
 from carelattice.sources import notes as nt
 
 
@@ -129,3 +130,20 @@ def bounded_index_topk(spark, sf):
     se.build_bounded_index(_corpus(spark, sf), path)
     hits, _ = se.search_bounded_index(spark, path, _bench_queries(spark, sf))
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.size("matched_terms").cast("bigint").alias("matched"), "rank")
+
+
+@register("follow_up_items", o.with_(o.HE) + "SELECT patient_id, source_id, row_number() OVER (PARTITION BY patient_id, source_id ORDER BY seq) AS rank, label FROM he WHERE kind = 'care_task' QUALIFY rank <= 5")
+def follow_up_items(spark, sf):
+    """Each source of a patient as a conversation."""
+    return cv.follow_up_items(health_events(spark, sf), ["patient_id", "source_id"])
+
+
+@register("linked_relationships", o.with_(o.GROUND, o.FACTS, FACT_TRENDS, o.entities_cte(), o.REL, recursive=True) + """SELECT patient_id, from_key, to_key, relation FROM rels
+ WHERE confidence >= 0.5 AND EXISTS (SELECT 1 FROM ent e WHERE e.patient_id = rels.patient_id AND e.entity_key = to_key)""")
+def linked_relationships(spark, sf):
+    """Relationships with low confidence, and copies of others, point to entities that nobody has."""
+    r, e, _, _ = _relationships(spark, sf)
+    lost = F.when(F.col("confidence") < 0.5, "lab:gone").otherwise(F.col("from_key"))
+    foreign = r.select("patient_id", lost.alias("from_key"), "to_key", "relation").unionByName(
+        r.select("patient_id", "from_key", F.concat(F.lit("gone:"), "to_key").alias("to_key"), "relation"))
+    return gr.linked_relationships(foreign, e)

@@ -29,6 +29,7 @@ TITLE = "Conversation"
 NO_CONCERN = "Patient-reported health update"
 NO_SUMMARY = "Patient shared symptoms, medications, and care context."
 SUMMARY_LENGTH, CONCERN_LENGTH, HISTORY_TURNS = 280, 80, 8
+FOLLOW_UPS = 5  # fixed value: follow-up items of a conversation
 # --- end of fixed values ----------------------------------------------------
 
 TURN_BUCKET = 4096
@@ -143,3 +144,10 @@ def conversation_context(messages: DataFrame) -> DataFrame:
                          F.nullif(js_trim(F.substring("prefix", 1, CONCERN_LENGTH)), F.lit("")), F.lit(NO_CONCERN))
     return lists.select("conv_id", F.lit(TITLE).alias("title"), F.coalesce(F.nullif(js_trim(F.col("prefix")), F.lit("")), F.lit(NO_SUMMARY)).alias("summary"),
                         concern.alias("chief_concern"), topics.alias("topics"), *CONTEXT_RULES, "message_count")
+
+
+def follow_up_items(events: DataFrame, group: list[str], order: str = "seq", limit: int = FOLLOW_UPS) -> DataFrame:
+    """(group..., rank, label): the first care tasks of each conversation, in order; Spark limits them before the shuffle."""
+    w = W.partitionBy(*group).orderBy(order)
+    tasks = events.filter(F.col("kind") == "care_task").select(*group, order, "label").withColumn("rank", F.row_number().over(w))
+    return tasks.filter(F.col("rank") <= limit).select(*group, "rank", "label")
