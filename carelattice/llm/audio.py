@@ -26,7 +26,9 @@ SPAN = 16  # frames a filter sees at most
 FILTERS = tuple((k % 5, (5 * k) % (13 - (2, 3, 4, 6)[k // 4]), (2, 3, 4, 6)[k // 4], (4, 8, 12, 16)[k % 4]) for k in range(16))
 LIMITS = np.array([-0.12, 0.0, 0.12])     # of log((1 + a) / (1 + b)): four levels
 GRAY = np.array([0, 1, 3, 2], np.uint32)  # neighbouring levels differ in one bit
-MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 2, 8, 0.25
+# At their best offset foreign melodies mostly differ in over a fifth of the bits, noisy copies in less; frames nearer than SPAN are alike
+# by themselves, so a short overlap tells little.
+MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 2, 24, 0.2
 SHARD, BLOCK = 1 << 18, 512  # frames of recordings and queries that meet in one task, about
 MEETINGS = 1 << 22           # equal halves of a query and a shard counted in one go, about
 

@@ -143,7 +143,7 @@ def test_a_frequent_integer_meets_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(audio, "MEETINGS", 50)
     rng = np.random.default_rng(4)
     base = rng.integers(-2 ** 31, 2 ** 31, 6)
-    prints = {k: [int(base[(i // (1 + k % 3)) % 2]) if rng.random() < 0.8 else int(base[rng.integers(0, 6)]) for i in range(int(rng.integers(9, 40)))] for k in range(14)}
+    prints = {k: [int(base[(i // (1 + k % 3)) % 2]) if rng.random() < 0.8 else int(base[rng.integers(0, 6)]) for i in range(int(rng.integers(26, 60)))] for k in range(14)}
     prints[20] = prints[3][:-1] + [prints[3][-1] ^ 7]
     table = spark.createDataFrame(list(prints.items()), "recording long, prints array<int>")
     links = {(r.query_class, r.class_id): (r.offset, r.votes, r.overlap, r.bit_errors)
