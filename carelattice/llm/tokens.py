@@ -68,7 +68,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
-            self.trim()
+            self.clear()
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isascii() and word.isalpha():
             ids = array("I", [t.id for t in self.tokenize(chunk if word is chunk else _SPACE_CHAR + word)]).tobytes()
@@ -81,7 +81,7 @@ class _Chunks(dict):
         return ids
 
     def trim(self) -> None:
-        """Gives memory back at the end of a task, and when the cache is full."""
+        """Gives memory back at the end of a task."""
         if len(self) > KEPT_ENTRIES:
             kept = list(islice(self.items(), KEPT_ENTRIES))
             self.clear()
