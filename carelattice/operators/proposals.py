@@ -14,6 +14,7 @@ from carelattice.lexicon import REPORT_SPECIALTIES, Lexicon
 from carelattice.operators.graph import edge_id
 from carelattice.operators.relationships import valid_relations
 from carelattice.operators.risk import SEVERITIES, severity_rank
+from carelattice.session import cut_large, cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 PROPOSED_CONFIDENCE, EXTRA_ALERTS = 0.7, 2
@@ -32,6 +33,15 @@ def _key(c: Column) -> Column:
     return F.substring(c, 1, 3)
 
 
+def _containing(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """Rows of ``parts`` and ``wholes`` of one patient where the text ``whole`` contains the text ``part``.  Of the pieces of a whole,
+    many times the rows, only those that some part begins with leave the scan."""
+    keyed = parts.withColumn("g", _key(F.col(part)))
+    begin = cut_lineage(keyed.select("g").distinct())  # at most as many as there are beginnings of three characters
+    pieces = wholes.select("*", F.explode(_pieces(F.col(whole))).alias("g")).join(F.broadcast(begin), "g", "left_semi")
+    return keyed.join(pieces.hint("merge"), ["patient_id", "g"]).filter(F.contains(F.col(whole), F.col(part)) & (F.col(part) != "")).drop("g")
+
+
 def fuzzy_lookup(labels: DataFrame, targets: DataFrame, order: str, exact_first: bool = True) -> DataFrame:
     """Match each (patient_id, label) to the first target of the patient whose text equals, contains or is
     contained in the label.  ``targets`` has patient_id, target_id, text and the ``order`` column.
@@ -40,17 +50,13 @@ def fuzzy_lookup(labels: DataFrame, targets: DataFrame, order: str, exact_first:
     texts meet through equi-joins on (patient, piece) and are then checked.
     """
     ask = labels.select("patient_id", F.lower("label").alias("q"), F.col("label").alias("raw")).distinct()
-    t = targets.groupBy("patient_id", F.lower("text").alias("t")).agg(
-        F.min_by("target_id", order).alias("target_id"), F.min(order).alias("_o"))
+    ask, t = cut_large(ask), cut_large(targets.groupBy("patient_id", F.lower("text").alias("t")).agg(
+        F.min_by("target_id", order).alias("target_id"), F.min(order).alias("_o")))
     exact = ask.join(t.withColumnRenamed("t", "q"), ["patient_id", "q"]).select("patient_id", "raw", "target_id", "_o",
                                                                                   F.lit(0).alias("_p"))
     rest = ask.join(exact.select("patient_id", "raw"), ["patient_id", "raw"], "left_anti") if exact_first else ask
     cols = ["patient_id", "raw", "q", "t", "target_id", "_o"]
-    inside_target = rest.withColumn("g", _key(F.col("q"))).join(
-        t.select("*", F.explode(_pieces(F.col("t"))).alias("g")), ["patient_id", "g"]).filter(F.contains(F.col("t"), F.col("q")))
-    inside_label = rest.select("*", F.explode(_pieces(F.col("q"))).alias("g")).join(
-        t.withColumn("g", _key(F.col("t"))), ["patient_id", "g"]).filter(F.contains(F.col("q"), F.col("t")))
-    near = inside_target.select(*cols).unionByName(inside_label.select(*cols)).filter((F.col("q") != "") & (F.col("t") != ""))
+    near = _containing(rest, "q", t, "t").select(*cols).unionByName(_containing(t, "t", rest, "q").select(*cols))
     every = exact.unionByName(near.select("patient_id", "raw", "target_id", "_o", F.lit(1).alias("_p")))
     rank = F.struct("_p", "_o") if exact_first else F.struct("_o")
     return every.groupBy("patient_id", F.col("raw").alias("label")).agg(F.min_by("target_id", rank).alias("target_id"))
@@ -65,7 +71,7 @@ def proposed_edges(proposals: DataFrame, nodes: DataFrame, node_events: DataFram
     """
     targets = nodes.select("patient_id", F.col("node_id").alias("target_id"), F.col("label").alias("text"), "ord")
     asked = proposals.select("patient_id", F.explode(F.array("from_label", "to_label")).alias("label")).distinct()
-    found = fuzzy_lookup(asked, targets, "ord")
+    found = cut_large(fuzzy_lookup(asked, targets, "ord"))  # read for both ends
     kinds = nodes.select("patient_id", "node_id", "kind")
 
     def end(side: str) -> DataFrame:
@@ -92,9 +98,7 @@ def proposed_edge_evidence(edges: DataFrame, node_events: DataFrame, events: Dat
     asks = bare.select("patient_id", "edge_id", F.explode(F.array(F.lower("from_label"), F.lower("to_label"))).alias("q"))
     text = events.select("patient_id", "event_id", F.lower("label").alias("l"))
     labels = text.select("patient_id", "l").distinct()
-    hits = asks.withColumn("g", _key(F.col("q"))).join(
-        labels.select("*", F.explode(_pieces(F.col("l"))).alias("g")), ["patient_id", "g"]).filter(
-        F.contains(F.col("l"), F.col("q")) & (F.col("q") != "")).drop("g").distinct()
+    hits = _containing(asks, "q", labels, "l").distinct()
     loose = hits.join(text, ["patient_id", "l"]).select("patient_id", "edge_id", "event_id").distinct()
     return direct.unionByName(loose)
 
