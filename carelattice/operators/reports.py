@@ -16,7 +16,7 @@ from carelattice.functions.values import is_concerning, lab_flag
 from carelattice.lexicon import Lexicon
 from carelattice.operators.grounding import ground
 from carelattice.operators.trends import trend_summary
-from carelattice.session import cut_lineage
+from carelattice.session import PARALLEL_COMMIT, cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 SPECIALTY_TITLES = [("primary_care", "Primary Care"), ("cardiology", "Cardiology"), ("nephrology", "Nephrology"),
@@ -250,7 +250,7 @@ def write_reports(lines: DataFrame, path: str) -> None:
     tasks and sorted outside memory where they must be, so a report may have any number of lines."""
     order = ["patient_id", "specialty", "section_no", "part", F.col("observed_at").desc(), "seq", "text"]
     (lines.repartition("patient_id", "specialty").sortWithinPartitions(*order).select("patient_id", "specialty", F.col("text").alias("value"))
-     .write.partitionBy("patient_id", "specialty").text(path))
+     .write.option(*PARALLEL_COMMIT).partitionBy("patient_id", "specialty").text(path))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
