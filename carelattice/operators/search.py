@@ -81,7 +81,8 @@ def tokenized(docs: DataFrame, scope: list[str]) -> DataFrame:
 
 def postings(tok: DataFrame, scope: list[str], terms: DataFrame | None = None) -> DataFrame:
     """(scope, term, doc_id, tf, doc_len).  With ``terms`` only those terms leave the scan stage."""
-    long = tok.select(*scope, "doc_id", "doc_len", F.explode("tokens").alias("term"))
+    # outer, since Spark would make the tokens a second time for the condition that a plain explode adds below itself
+    long = tok.select(*scope, "doc_id", "doc_len", F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     if terms is not None:
         long = long.join(terms, [*scope, "term"], "left_semi")
     return long.groupBy(*scope, "term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
