@@ -137,17 +137,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEXICAL_K, scope: list[st
 
 
 def _scored(posts: DataFrame, sizes: DataFrame, q: DataFrame, k: int, scope: list[str]) -> DataFrame:
-    p = posts.join(document_frequency(posts, scope), [*scope, "term"])
+    """Best ``k`` documents of each query from stored postings.  Scores are summed without the terms, which are
+    gathered for the best documents alone."""
+    p = posts.join(cut_lineage(document_frequency(posts, scope)), [*scope, "term"])
     if scope:
         p = p.join(sizes, scope)
     else:
         p = p.withColumn("n", sizes.select("n").scalar()).withColumn("avg_len", sizes.select("avg_len").scalar())
+        # all terms of a document in one task: its scores need no further shuffle, and of a task's documents only the best leave it
+        p = p.repartition("doc_id")
     part = bm25_contribution(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("avg_len"))
     p = p.select(*scope, "term", "doc_id", part.alias("part"))
     scored = (p.join(q, [*scope, "term"]).groupBy(*scope, "query_id", "doc_id")
-              .agg(F.sum(F.col("part") * F.col("q_tf")).alias("score"),
-                   F.array_sort(F.collect_set("term")).alias("matched_terms")))
-    return top_k(scored, [*scope, "query_id"], k)
+              .agg(F.sum(F.col("part") * F.col("q_tf")).alias("score")))
+    best = cut_lineage(top_k(scored, [*scope, "query_id"], k))
+    asked = best.select(*scope, "query_id", "doc_id").join(q.select(*scope, "query_id", "term"), [*scope, "query_id"])
+    matched = (posts.select(*scope, "doc_id", "term").join(asked, [*scope, "doc_id", "term"])
+               .groupBy(*scope, "query_id", "doc_id").agg(F.array_sort(F.collect_set("term")).alias("matched_terms")))
+    return best.join(matched, [*scope, "query_id", "doc_id"]).select(*scope, "query_id", "doc_id", "score", "matched_terms", "rank")
 
 
 def _term_bucket(buckets: int) -> Column:
@@ -172,7 +179,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = LE
     # at most ``buckets`` small integers reach the driver
     asked = [r.bucket for r in q.select(_term_bucket(buckets).alias("bucket")).distinct().collect()]
     posts = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(asked))
-    posts = posts.join(q.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+    posts = cut_lineage(posts.join(q.select(*scope, "term").distinct(), [*scope, "term"], "left_semi"))
     return _scored(posts, sizes.drop("buckets"), q, k, scope)
 
 
