@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from carelattice.functions.text import js_number, stable_id
 from carelattice.functions.values import diastolic, is_concerning, lab_flag, reading, systolic
 from carelattice.lexicon import Lexicon
-from carelattice.operators.grounding import ground, specialties_or_default
+from carelattice.operators.grounding import ground, ground_rows, specialties_or_default
 from carelattice.operators.trends import judge, trend_aggregates
 
 SEVERITIES = ("high", "medium", "low")
@@ -33,7 +33,7 @@ def event_class(kind: Column) -> Column:
 
 def concept_summary(events: DataFrame, lex: Lexicon | None = None) -> DataFrame:
     """One row per (patient, class, canonical) of medications, conditions and measurements."""
-    g = ground(events.filter(F.col("kind").isin("medication", "condition", "lab", "vital")), lex)
+    g = ground_rows(events.filter(F.col("kind").isin("medication", "condition", "lab", "vital")), lex)
     g = g.withColumn("class", event_class(F.col("kind")))
     v = F.when(F.col("class") == "measurement", reading(F.col("value")))
     newest_first = F.struct((-F.unix_micros("observed_at")).alias("t"), F.col("seq"))

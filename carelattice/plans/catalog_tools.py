@@ -18,9 +18,9 @@ NEIGHBORS = """seen AS (SELECT patient_id, from_node AS node_id, edge_id, relati
 @memo
 def _tools(spark, sf):
     alerts, events = _alerts(spark, sf)
-    r, _, m, _ = _relationships(spark, sf)
+    r, m = _relationships(spark, sf)[0], _graph(spark, sf)[1]
     root = fresh_folder(spark)
-    tools.store(root, events, alerts, risk.alert_evidence(alerts, events), _stored_graph(spark, sf), ent.entity_aliases(_graph(spark, sf)[1]), r, m)
+    tools.store(root, events, alerts, risk.alert_evidence(alerts, events), _stored_graph(spark, sf), ent.entity_aliases(m), r, m)
     return root
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from carelattice.operators import proposals, search, similarity
+from carelattice.operators import facts, grounding, proposals, search, similarity
 from carelattice.session import cut_large
 from carelattice.sources import emr
 
@@ -52,3 +52,41 @@ def test_tokens_are_made_once(spark):
     posts = search.postings(search.tokenized(docs, []), [])
     assert sorted((r.doc_id, r.term, r.tf, r.doc_len) for r in posts.collect()) == [(1, "kidney", 2, 3), (1, "labs", 1, 3)]
     assert plan(posts).split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("split(") == 1
+
+
+def test_distinct_labels_are_grounded_once(spark, monkeypatch):
+    """Rows with a null label or kind get what ``ground`` gives them too."""
+    seen, own = [], grounding.ground
+    monkeypatch.setattr(grounding, "ground", lambda df, *more: seen.append(df.count()) or own(df, *more))
+    labels = [("lab", "a1c"), ("lab", None), (None, "CKD"), (None, None), ("lab", " "), ("barrier", "Lisinopril refill issue")]
+    rows = spark.createDataFrame([(i, *x) for i in range(10) for x in labels], "seq int, kind string, label string")
+    got = grounding.ground_rows(rows)
+    assert seen == [len(labels)]
+    assert sorted(map(str, got.select(own(rows).columns).collect())) == sorted(map(str, own(rows).collect()))
+
+
+def test_blank_and_generic_labels(spark):
+    rows = spark.createDataFrame([("lab", x) for x in (None, "", " \t\u00a0\n", " Noted labs\u3000", "clinician NOTE", "noted labs x", "a")], "kind string, label string")
+    judged = rows.select(facts.relevance(F.col("kind"), F.col("label")).alias("r"))
+    assert [r.r for r in judged.collect()] == ["ignore"] * 3 + ["evidence_only"] * 2 + ["graph"] * 2
+    assert "regexp_replace" not in plan(judged)  # nothing is trimmed to be judged
+
+
+def test_signatures_of_one_label_alone_are_not_stored(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(similarity, "cut_large", lambda df: stored.append(cut_large(df)) or stored[-1])
+    labels = spark.createDataFrame([(p, "condition", n, True, True) for p in range(5) for n in ("Fibromyalgia syndrome", "Fibromyalgia syndromes", "CKD", "Asthma")],
+                                   "patient_id int, block string, label string, left boolean, right boolean")
+    pairs = similarity.similar_pairs(labels, 0.84, ("patient_id", "block"))
+    assert {r.label for r in stored[0].select("label").distinct().collect()} == {"Fibromyalgia syndrome", "Fibromyalgia syndromes"}
+    assert sorted(r.patient_id for r in pairs.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_terms_are_gathered_for_the_best_documents_only(spark, monkeypatch):
+    seen, own = [], search.top_k
+    monkeypatch.setattr(search, "top_k", lambda hits, *more: seen.append(hits.columns) or own(hits, *more))
+    docs = spark.createDataFrame([(1, "kidney kidney labs", ""), (1, "kidney", ""), (2, "kidney labs", "x1"), (3, None, ""), (4, "labs", "")], "doc_id int, text string, title string")
+    queries = spark.createDataFrame([("a", "labs kidney Kidney"), ("b", "nothing"), ("c", None), ("d", "labs")], "query_id string, query_text string")
+    hits = sorted((r.query_id, r.rank, r.doc_id, r.matched_terms) for r in search.bm25(docs, queries, 2).collect())
+    assert seen == [["query_id", "doc_id", "score"]]
+    assert hits == [("a", 1, 1, ["kidney", "labs"]), ("a", 2, 2, ["kidney", "labs"]), ("d", 1, 4, ["labs"]), ("d", 2, 1, ["labs"])]
