@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from carelattice.operators import facts, grounding, proposals, search, similarity
+from carelattice.operators import facts, grounding, proposals, search, similarity, tools
+from carelattice.plans import activity, catalog
 from carelattice.session import cut_large
 from carelattice.sources import emr
 
@@ -90,3 +91,33 @@ def test_terms_are_gathered_for_the_best_documents_only(spark, monkeypatch):
     hits = sorted((r.query_id, r.rank, r.doc_id, r.matched_terms) for r in search.bm25(docs, queries, 2).collect())
     assert seen == [["query_id", "doc_id", "score"]]
     assert hits == [("a", 1, 1, ["kidney", "labs"]), ("a", 2, 2, ["kidney", "labs"]), ("d", 1, 4, ["labs"]), ("d", 2, 1, ["labs"])]
+
+
+def test_events_get_their_vocabulary_by_slot(spark, tmp_path):
+    """No row carries the vocabulary; events without an id, or with a negative one, keep their kind."""
+    log = [(1, "purchase"), (7, "purchase"), (41, "click"), (37, "click"), (58, "view"), (None, "error"), (-5, "signup"), (2, None)]
+    spark.createDataFrame([(i, t, 5, 250.0) for i, t in log], "event_id bigint, event_type string, user_id bigint, value double") \
+        .withColumn("ts", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    events = activity.health_events(spark, str(tmp_path))
+    assert sorted((r.seq or 0, r.kind, r.label or "", r.value or "") for r in events.collect()) == [
+        (-5, "symptom", "", ""), (0, "condition", "", ""), (1, "lab", "eGFR", "65.0"), (2, "vital", "bp", "135/82"), (7, "lab", "eGFR", "65.0"),
+        (37, "care_task", "Repeat HbA1c", ""), (41, "note", "Patient-reported context", ""), (58, "barrier", "Missed appointment", "")]
+    assert "Generate" not in plan(events)
+
+
+def test_stored_facts_hold_only_what_a_row_does_not_tell(spark, monkeypatch, make_events, make_sources):
+    stored = []
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: stored.append(df.columns) or cut_large(df))
+    events = make_events(dict(kind="lab", label="a1c", value="7.1"), dict(kind="lab", label="HbA1c", value="7.1"), dict(kind="condition", label="CKD", status="resolved", source="src_b"))
+    sources = make_sources(("p1", "src_a", "emr", "x"), ("p1", "src_b", "voice", None))
+    monkeypatch.setattr(catalog, "_events_sources", lambda *_: (events, sources))
+    got, whole = catalog._stored_facts(spark, ""), catalog._facts(spark, "")
+    assert got.columns == whole.columns and sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() == 2
+    assert not {"provenance", "fact_id", "valid_from", "recorded_at", "drug_classes", "coding_code"} & set(stored[0])
+
+
+def test_tools_store_without_a_pass_for_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", None)
+    rows = spark.createDataFrame([("p2", 1), ("p1", 2), (None, 3), ("p1", 4)], "patient_id string, x int")
+    tools.write_by_patient(rows, f"{tmp_path}/rows")
+    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [1, 2, 3, 4]
