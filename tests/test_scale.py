@@ -1,11 +1,15 @@
 """Plans that must not grow with copies of the input: where work is done once, and what stays off the driver."""
 
+import collections
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from carelattice.operators import facts, grounding, proposals, search, similarity, tools
-from carelattice.plans import activity, catalog
+from carelattice.plans import activity, catalog, catalog_ingest
 from carelattice.session import cut_large
-from carelattice.sources import emr
+from carelattice.sources import emr, files
 
 
 def plan(df) -> str:
@@ -121,3 +125,33 @@ def test_tools_store_without_a_pass_for_ranges(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("p2", 1), ("p1", 2), (None, 3), ("p1", 4)], "patient_id string, x int")
     tools.write_by_patient(rows, f"{tmp_path}/rows")
     assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [1, 2, 3, 4]
+
+
+def test_names_of_small_files_give_their_keys(spark, tmp_path):
+    odd = ["a/b", "x+y z", "100%", "v1.2", "a.txt", "ä=é", "%2F", "", None]
+    lines = spark.createDataFrame([(i // 2, k, f"{k}") for i, k in enumerate(odd)], "a int, k string, value string")
+    files.write_files(lines, str(tmp_path / "flat"), ["a", "k"])
+    lines.write.partitionBy("a", "k").text(str(tmp_path / "nested"))  # where tasks do not reach the folder as a path
+    for path in ("flat", "nested"):
+        read = spark.read.text(str(tmp_path / path), wholetext=True).select("a", files.last_key("k", F.col("_metadata.file_path")).alias("k"), "value")
+        assert sorted((r.a, r.k or "", r.value) for r in read.collect()) == sorted((i // 2, k or "", f"{k}\n") for i, k in enumerate(odd)), path
+    assert sorted(f.name for f in (tmp_path / "flat" / "a=0").iterdir()) == ["k=a%2Fb.txt", "k=x+y z.txt"]
+    with pytest.raises(FileExistsError):
+        files.write_files(lines, str(tmp_path / "flat"), ["a", "k"])
+
+
+def test_small_exports_become_few_records_files(spark, tmp_path):
+    """One export a patient and 1,000 events, read back; the stored records are not one file for every few exports."""
+    rows = [(i * 250, dt.datetime(2026, 1, 1), i % 8 if i else None, "purchase", float(i)) for i in range(64)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+        found = catalog_ingest.emr_files(spark, str(tmp_path))
+        assert 0 < len(found.inputFiles()) <= files.task_count(spark) == 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = collections.Counter((i % 8, i // 4, "reject" if i % 8 in (3, 7) else "event") for i in range(1, 64) if (i * 250) % 41 and ((i * 250) % 37 == 0 or (i * 250) % 29))
+    got = {(r.patient_id, r.part, r.found): r.n for r in found.groupBy("patient_id", "part", "found").agg(F.sum("n").alias("n")).collect()}
+    kept = {k: 1 if k[2] == "reject" else n for k, n in want.items()}
+    assert got == kept
