@@ -16,7 +16,8 @@ from carelattice.functions.values import is_concerning, lab_flag
 from carelattice.lexicon import Lexicon
 from carelattice.operators.grounding import ground
 from carelattice.operators.trends import trend_summary
-from carelattice.session import PARALLEL_COMMIT, cut_lineage
+from carelattice.session import cut_lineage
+from carelattice.sources.files import in_few_tasks, last_key, write_files
 
 # --- fixed values -----------------------------------------------------------
 SPECIALTY_TITLES = [("primary_care", "Primary Care"), ("cardiology", "Cardiology"), ("nephrology", "Nephrology"),
@@ -246,17 +247,15 @@ def report_lines(briefs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def write_reports(lines: DataFrame, path: str) -> None:
-    """report_lines() as text files, one a report, its lines in order: ``path``/patient_id=../specialty=../.  Reports are dealt over
-    tasks and sorted outside memory where they must be, so a report may have any number of lines."""
-    order = ["patient_id", "specialty", "section_no", "part", F.col("observed_at").desc(), "seq", "text"]
-    (lines.repartition("patient_id", "specialty").sortWithinPartitions(*order).select("patient_id", "specialty", F.col("text").alias("value"))
-     .write.option(*PARALLEL_COMMIT).partitionBy("patient_id", "specialty").text(path))
+    """report_lines() as text files, one a report, its lines in order: ``path``/patient_id=../specialty=...txt."""
+    write_files(lines.withColumnRenamed("text", "value"), path, ["patient_id", "specialty"],
+                ["section_no", "part", F.col("observed_at").desc(), "seq", "value"])
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(patient_id, specialty, body) of written reports."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select("patient_id", "specialty", F.regexp_replace("value", r"\n\z", "").alias("body"))
+    whole = in_few_tasks(spark.read.text(path, wholetext=True))
+    return whole.select("patient_id", last_key("specialty", F.col("_metadata.file_path")).alias("specialty"), F.regexp_replace("value", r"\n\z", "").alias("body"))
 
 
 def merge_extracted(briefs: DataFrame, extracted: DataFrame, conversation: DataFrame | None = None) -> DataFrame:

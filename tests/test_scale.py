@@ -6,7 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from carelattice.operators import facts, grounding, proposals, search, similarity, tools
+from carelattice.operators import facts, grounding, proposals, reports, search, similarity, tools
 from carelattice.plans import activity, catalog, catalog_ingest
 from carelattice.session import cut_large
 from carelattice.sources import emr, files
@@ -127,6 +127,27 @@ def test_tools_store_without_a_pass_for_ranges(spark, tmp_path, monkeypatch):
     assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [1, 2, 3, 4]
 
 
+def test_small_files_are_written_by_all_tasks_and_read_by_few(spark, tmp_path):
+    """Few bytes in many files: the number of tasks does not follow the bytes, and nothing but the files is written."""
+    rows = [(p, s, 0, n, None, n, f"{p} {s} {n}") for p in range(30) for s in ("a", "b") for n in range(3)]
+    lines = spark.createDataFrame(rows, "patient_id long, specialty string, section_no int, part int, observed_at timestamp, seq long, text string").coalesce(1)
+    sc = spark.sparkContext
+    sc.setJobGroup("small files", "written")
+    reports.write_reports(lines, str(tmp_path / "r"))
+    sc.setJobGroup("other", "")
+    infos = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("small files") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert max(i.numTasks for i in infos if i) == files.task_count(spark) == 4
+    assert len([f for f in (tmp_path / "r").rglob("*") if f.is_file()]) == 60
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # a partition for each file
+        read = reports.read_reports(spark, str(tmp_path / "r"))
+        assert read.rdd.getNumPartitions() == 4
+        assert {(r.patient_id, r.specialty): r.body for r in read.collect()} == {(p, s): "\n".join(f"{p} {s} {n}" for n in range(3)) for p in range(30) for s in ("a", "b")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_names_of_small_files_give_their_keys(spark, tmp_path):
     odd = ["a/b", "x+y z", "100%", "v1.2", "a.txt", "ä=é", "%2F", "", None]
     lines = spark.createDataFrame([(i // 2, k, f"{k}") for i, k in enumerate(odd)], "a int, k string, value string")
