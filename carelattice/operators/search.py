@@ -106,9 +106,16 @@ def index_stats(tok: DataFrame, scope: list[str]) -> DataFrame:
 
 # -- BM25 --------------------------------------------------------------------------------------
 
+def bm25_rarity(df: Column, n: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25_weight(tf: Column, doc_len: Column, avg_len: Column) -> Column:
+    return tf / (tf + 0.5 + 1.5 * (doc_len / avg_len))
+
+
 def bm25_contribution(tf: Column, df: Column, n: Column, doc_len: Column, avg_len: Column) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * (tf / (tf + 0.5 + 1.5 * (doc_len / avg_len)))
+    return bm25_rarity(df, n) * bm25_weight(tf, doc_len, avg_len)
 
 
 def query_terms(queries: DataFrame, scope: list[str]) -> DataFrame:
@@ -183,22 +190,29 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = LE
     return _scored(posts, sizes.drop("buckets"), q, k, scope)
 
 
+def _with_sizes(rows: DataFrame, sizes: DataFrame, scope: list[str]) -> DataFrame:
+    if scope:
+        return rows.join(sizes, scope)
+    return rows.withColumn("n", sizes.select("n").scalar()).withColumn("avg_len", sizes.select("avg_len").scalar())
+
+
 def build_bounded_index(docs: DataFrame, path: str, scope: list[str] | None = None, parts: int = INDEX_BUCKETS) -> None:
-    """Writes each document's score for each of its terms, by parts of documents, and the largest score of a term in a part."""
+    """Writes the postings by parts of documents, how often a term occurs in a part and its largest weight there, and the number and
+    mean length of documents.  A score is a weight times the term's rarity, which the counts give for the terms of a query.
+
+    Texts are dealt by part once; a document's tokens are made and counted where it comes to, and its postings are stored once."""
     scope = scope or []
-    tok = cut_lineage(tokenized(docs, scope))
-    sizes = tok.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
-    posts = cut_lineage(postings(tok, scope))
-    p = posts.join(document_frequency(posts, scope), [*scope, "term"])
-    if scope:
-        p = p.join(sizes, scope)
-    else:
-        p = p.withColumn("n", sizes.select("n").scalar()).withColumn("avg_len", sizes.select("avg_len").scalar())
-    impact = bm25_contribution(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("avg_len"))
-    scored = p.select(*scope, "term", "doc_id", impact.alias("impact"), F.pmod(F.xxhash64(*scope, "doc_id"), F.lit(parts)).cast("int").alias("part"))
-    scored.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/impacts")
-    kept = docs.sparkSession.read.parquet(f"{path}/impacts")
-    kept.groupBy(*scope, "term", "part").agg(F.max("impact").alias("bound")).write.parquet(f"{path}/bounds")
+    part = F.pmod(F.xxhash64(*scope, "doc_id"), F.lit(parts)).cast("int")
+    here = [*scope, "part"]
+    tok = tokenized(docs.select(*scope, "doc_id", "title", "text", part.alias("part")).repartition("part"), here)
+    marked = tok.select(*here, "doc_id", "doc_len", F.array_append("tokens", F.lit(_MARKER)).alias("tokens"))  # as in bm25()
+    postings(marked, here).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+    stored = docs.sparkSession.read.parquet(f"{path}/postings")
+    (stored.filter(F.col("term") == _MARKER).groupBy(*scope)
+     .agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("doc_len")) / F.sum("tf")).alias("avg_len")).write.parquet(f"{path}/sizes"))
+    p = _with_sizes(stored.filter(F.col("term") != _MARKER), docs.sparkSession.read.parquet(f"{path}/sizes"), scope)
+    weight = bm25_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
+    p.groupBy(*scope, "term", "part").agg(F.count(F.lit(1)).alias("postings"), F.max(weight).alias("most")).write.parquet(f"{path}/bounds")
 
 
 def search_bounded_index(spark: SparkSession, path: str, queries: DataFrame, k: int = LEXICAL_K, scope: list[str] | None = None) -> tuple[DataFrame, list[int]]:
@@ -206,28 +220,48 @@ def search_bounded_index(spark: SparkSession, path: str, queries: DataFrame, k:
 
     A query's bound in a part is the sum of its terms' largest scores there.  The part with the highest bound is scored first; its
     k-th score is a limit that parts with a lower bound cannot reach, so those are not read for the query, and a part that no
-    query needs is not read at all."""
+    query needs is not read at all.  Of the scored documents only a query's best are stored; they alone get their terms."""
     scope = scope or []
-    group = [*scope, "query_id"]
+    group, key = [*scope, "query_id"], [*scope, "term"]
     q = cut_lineage(query_terms(queries, scope))
-    bounds = spark.read.parquet(f"{path}/bounds").join(q, [*scope, "term"])
-    sums = cut_lineage(bounds.groupBy(*group, "part").agg(F.sum(F.col("bound") * F.col("q_tf")).alias("bound")))
+    terms = cut_lineage(q.select(*key).distinct())  # stored, so that it has a known size and only postings of these leave a scan
+    bounds = cut_lineage(spark.read.parquet(f"{path}/bounds").join(terms, key, "left_semi"))
+    counted = bounds.groupBy(*key).agg(F.sum("postings").alias("df"))
+    q = cut_lineage(_with_sizes(q.join(counted, key), spark.read.parquet(f"{path}/sizes"), scope))
+    bound = bm25_rarity(F.col("df"), F.col("n")) * F.col("most") * F.col("q_tf")
+    sums = cut_lineage(bounds.join(q, key).groupBy(*group, "part").agg(F.sum(bound).alias("bound")))
     first = W.partitionBy(*group).orderBy(F.col("bound").desc(), "part")
     ranked = sums.withColumn("_r", F.row_number().over(first))
 
+    def rows(some: set[int]) -> DataFrame:
+        return spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(sorted(some))).join(terms, key, "left_semi")
+
     def scores(wanted: DataFrame) -> tuple[DataFrame, set[int]]:
+        wanted = cut_lineage(wanted.select(*group, "part"))
         some = {r["part"] for r in wanted.select("part").distinct().collect()}  # as many as the index has at most
-        rows = spark.read.parquet(f"{path}/impacts").filter(F.col("part").isin(sorted(some)))
-        asked = wanted.select(*group, "part").join(q, group)
-        hit = rows.join(asked, [*scope, "term", "part"]).groupBy(*group, "doc_id").agg(
-            F.sum(F.col("impact") * F.col("q_tf")).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
-        return cut_lineage(hit), some
+        score = F.sum(bm25_contribution(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("avg_len")) * F.col("q_tf"))
+        # a document's postings in one task, as in _scored()
+        hit = (rows(some).repartition(*scope, "doc_id").join(q, key).join(wanted, [*group, "part"], "left_semi")
+               .groupBy(*group, "doc_id").agg(score.alias("score")))
+        return cut_lineage(top_k(hit, group, k)), some
 
     best, one = scores(ranked.filter("_r = 1"))
-    limit = top_k(best, group, k).filter(F.col("rank") == k).select(*group, F.col("score").alias("limit"))
+    limit = best.filter(F.col("rank") == k).select(*group, F.col("score").alias("limit"))
     open_ = ranked.filter("_r > 1").join(limit, group, "left").filter(F.col("limit").isNull() | (F.round("bound", 9) >= F.round("limit", 9)))
-    others, two = scores(cut_lineage(open_))
-    return top_k(best.unionByName(others), group, k), sorted(one | two)
+    others, two = scores(open_)
+    best = cut_lineage(top_k(best.unionByName(others).drop("rank"), group, k))
+
+    def same(these: DataFrame, those: DataFrame, names: list[str]) -> list[Column]:
+        return [*(these[c] == those[c] for c in names), these["doc_id"].eqNullSafe(those["doc_id"])]
+
+    ids = cut_lineage(best.select(*scope, "doc_id").distinct())
+    found = rows(one | two)
+    found = found.join(ids, same(found, ids, scope), "left_semi").select(*key, "doc_id")
+    asked = cut_lineage(best.select(*group, "doc_id").join(q.select(*group, "term"), group))
+    matched = (asked.join(found, same(asked, found, key), "left_semi")
+               .groupBy(*group, "doc_id").agg(F.array_sort(F.collect_set("term")).alias("matched_terms")))
+    out = best.join(matched, same(best, matched, group))
+    return out.select(*(best[c] for c in [*group, "doc_id", "score"]), "matched_terms", "rank"), sorted(one | two)
 
 
 def top_k(hits: DataFrame, group: list[str], k: int, id_col: str = "doc_id") -> DataFrame:

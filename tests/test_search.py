@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -132,3 +133,36 @@ def test_bounds_leave_out_parts_and_no_hit(spark, tmp_path):
         assert len(read) < 16 if "rare" in text and len(text) < 20 else len(read) <= 16
     both = spark.createDataFrame([(1, "alpha"), (2, "rare50 delta")], "query_id int, query_text string")
     assert search.search_bounded_index(spark, str(tmp_path / "i"), both, 3)[0].count() == 6
+
+
+def test_bounded_index_stores_postings_once_and_only_the_best_hits(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "", "alpha " * (1 + i % 5) + f"w{i % 9}") for i in range(600)], "doc_id long, title string, text string")
+    stored, own = [], search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: (kept := own(df), stored.append(kept.count()))[0])
+    search.build_bounded_index(docs, str(tmp_path / "i"), parts=4)
+    assert not stored and spark.read.parquet(str(tmp_path / "i" / "postings")).count() == 3 * 600  # two terms and the document itself
+    hits, _ = search.search_bounded_index(spark, str(tmp_path / "i"), spark.createDataFrame([(1, "alpha w3")], "query_id int, query_text string"), 5)
+    assert max(stored) <= 10 and [(r["rank"], len(r.matched_terms)) for r in hits.orderBy("rank").collect()] == [(i, 2) for i in range(1, 6)]
+
+
+def test_bounded_index_with_repeated_and_null_documents_in_scopes(spark, tmp_path):
+    rows = [("p", 1, "kidney labs"), ("p", 1, "kidney labs"), ("p", 1, "kidney"), ("p", 2, "labs labs stable"), ("p", None, "kidney kidney"), ("p", 3, ""),
+            ("q", 1, "kidney stable"), ("q", 4, "nothing"), (None, 5, "kidney")]
+    docs = spark.createDataFrame([(p, d, "", t) for p, d, t in rows], "patient_id string, doc_id long, title string, text string")
+    queries = spark.createDataFrame([("p", "a", "kidney labs labs"), ("q", "a", "kidney"), (None, "a", "kidney"), ("q", None, "kidney")], "patient_id string, query_id string, query_text string")
+    search.build_bounded_index(docs, str(tmp_path / "i"), ["patient_id"], parts=3)
+    hits, _ = search.search_bounded_index(spark, str(tmp_path / "i"), queries, 8, ["patient_id"])
+    got = {(r.patient_id, r.query_id, r.doc_id): (round(r.score, 9), r.matched_terms) for r in hits.collect()}
+
+    def brute(texts: list[tuple], asked: list[str]) -> dict:
+        """Equal documents count each, but have one posting a term."""
+        n, mean = len(texts), sum(len(t.split()) for _, t in texts) / len(texts)
+        tf = collections.Counter((t, d, len(x.split())) for d, x in texts for t in x.split())
+        df, out = collections.Counter(t for t, _, _ in tf), {}
+        for (t, d, size), f in tf.items():
+            if t in asked:
+                out[d] = out.get(d, 0) + asked.count(t) * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f / (f + 0.5 + 1.5 * size / mean)
+        return {d: (round(v, 9), sorted({t for t, e, _ in tf if e == d and t in asked})) for d, v in out.items()}
+
+    want = {("p", "a", d): v for d, v in brute([(d, t) for p, d, t in rows if p == "p"], ["kidney", "labs", "labs"]).items()}
+    assert got == want | {("q", "a", d): v for d, v in brute([(d, t) for p, d, t in rows if p == "q"], ["kidney"]).items()} and len(got) == 4
